@@ -21,7 +21,7 @@ def consecutive_snapshots(snapshots: DataFrame) -> DataFrame:
         .select("snapshot_id", "s.solution_path", "s.analyzed_at")
         .withColumn("at", F.struct("analyzed_at", "snapshot_id"))
     )
-    month = F.floor(F.unix_seconds("analyzed_at") / F.lit(30 * 86_400)).cast("long")
+    month = F.floor(F.datediff("analyzed_at", F.lit("1970-01-01").cast("date")) / F.lit(30)).cast("long")
     return (
         blocked_neighbours(once, ["solution_path"], "at", ["snapshot_id"], month)
         .where(F.col("prev.snapshot_id").isNotNull())

@@ -104,7 +104,7 @@ atexit.register(_clean)
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; for a file scan, the bytes of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def shuffle_width(df: DataFrame, bytes_each: int = 64 << 20) -> int:
