@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import percentiles, tokenizer, topn
+from plumbline.llm import langid, mixing, percentiles, tokenizer, topn
 from plumbline.session import durable
 from plumbline.sources.tables import table
 
@@ -58,12 +58,45 @@ def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("doc_id", same.alias("same_text"), F.length("text").cast("bigint").alias("n_chars"))
 
 
+def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, list[mixing.Source]]:
+    targets = table(spark, folder, "mix_targets")
+    wanted = targets.select("source").where("source is not null").distinct()
+    tokens = tokenizer.encode_texts(table(spark, folder, "documents").join(wanted, "source", "left_semi"), ["doc_id", "source"], count_only=True)
+    mixture, sources = mixing.mix(tokens, targets)
+    return mixture, targets, sources
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder)[0].where("copies > 0")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.reached_shares(*_mixture(spark, folder))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.unnamed_languages(langid.language_segments(table(spark, folder, "documents")))
+
+
+def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.language_segments(table(spark, folder, "documents"))
+
+
+def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.document_languages(langid.language_segments(table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "p2_percentiles": p2_percentiles,
     "p2_merged_days": p2_merged_days,
     "p5_found": p5_found,
     "p7_ids": p7_ids,
     "p7_round_trip": p7_round_trip,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_segments": p9_segments,
+    "p9_documents": p9_documents,
 }
 
 _VALUES = """
