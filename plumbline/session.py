@@ -11,6 +11,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast, count, lit
 
 _lock = threading.Lock()
 _shipped: set[str] = set()
@@ -107,6 +108,26 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def broadcast_if_small(table: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """A durable table with a broadcast hint if it is small by its files' size, else as it is.
+
+    Parquet packs keys and counts, so a file's bytes are taken eightfold. Beyond the bound the join
+    that uses the table is an ordinary shuffled one.
+    """
+    return broadcast(table) if input_bytes(table) * 8 <= most else table
+
+
+def distinct_by(df: DataFrame, key: str) -> DataFrame:
+    """One row per ``key`` where rows that repeat a key are equal in all that is kept.
+
+    Only the keys are counted, and only rows of repeated keys are shuffled; all others stay in their input
+    splits, where rows of one group often lie together. Rows with a null key all stay.
+    """
+    repeated = durable(df.groupBy(key).agg(count(lit(1)).alias("_n")).where("_n > 1").select(key))
+    repeated = broadcast_if_small(repeated)
+    return df.join(repeated, key, "left_anti").unionByName(df.join(repeated, key, "left_semi").dropDuplicates([key]))
+
+
 def shuffle_width(df: DataFrame, bytes_each: int = 64 << 20) -> int:
     """Partitions for a fixed-width exchange: the session's number, more where the input is larger."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
