@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import metrics as fn
 from plumbline.operators import coupling, diff, rollup, snapshot_diff
 from plumbline.operators.snapshot_pairs import consecutive_snapshots, snapshot_roles
+from plumbline.operators.tokens import OPERAND_WORDS, OPERATOR_SYMBOLS, OPERATOR_WORDS, PATTERN, RESERVED, depth_of_inheritance, halstead
 from plumbline.session import durable
+from plumbline.sources.frontend import source_facts
 from plumbline.sources.model import Model
+from plumbline.sources.reports import compact_projects, compact_reports, graph_document, hierarchical_reports
+from plumbline.sources.tables import table
+from plumbline.streaming.edges import drain, edge_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -427,3 +432,119 @@ def d2_diagnostic_counts(m: Model) -> DataFrame:
 @query("a25_average_maintainability", f"{_with('m')} SELECT snapshot_id, coalesce(round_even(avg(mi) * 10, 0) / 10, 0) AS avg_mi FROM m GROUP BY 1")
 def a25_average_maintainability(m: Model) -> DataFrame:
     return diff.average_maintainability(m.methods())
+
+
+# ---- tokens, inheritance, streams, documents
+
+_OPS = ", ".join("'" + t + "'" for t in OPERATOR_SYMBOLS + OPERATOR_WORDS)
+_PASSIVE = ", ".join("'" + t + "'" for t in RESERVED if t not in OPERAND_WORDS)
+_TOKENS = PATTERN.replace("'", "''")
+
+
+@query(
+    "a39_halstead",
+    f"""WITH k AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_TOKENS}', 0) AS t FROM documents),
+    o AS (SELECT doc_id, list_filter(t, lambda x: list_contains([{_OPS}], x)) AS a, list_filter(t, lambda x: regexp_matches(x[1], '[A-Za-z_0-9"'']') AND NOT list_contains([{_OPS}], x) AND NOT list_contains([{_PASSIVE}], x)) AS b FROM k),
+    c AS (SELECT doc_id, CAST(len(list_distinct(a)) AS INTEGER) AS n1, CAST(len(list_distinct(b)) AS INTEGER) AS n2, CAST(len(a) AS INTEGER) AS total1, CAST(len(b) AS INTEGER) AS total2 FROM o),
+    v AS (SELECT *, CASE WHEN total1 + total2 > 0 AND n1 + n2 > 1 THEN (total1 + total2) * log2(n1 + n2) ELSE 0 END AS v, CASE WHEN n2 > 0 THEN (n1 / 2.0::DOUBLE) * (total2::DOUBLE / n2) ELSE 0 END AS d FROM c)
+    SELECT doc_id, n1, n2, total1, total2, round_even(v * 100, 0) / 100 AS volume, round_even(d * 100, 0) / 100 AS difficulty FROM v""",
+)
+def a39_halstead(m: Model) -> DataFrame:
+    rows = halstead(table(m.spark, m.folder, "documents"), "text", ["doc_id"]).drop("effort")
+    return _rounded(rows, "volume", "difficulty", digits=2)
+
+
+@query(
+    "f9_inheritance",
+    """WITH RECURSIVE b AS (SELECT p_partkey AS k, CASE WHEN p_partkey >= 10 THEN p_partkey // 10 END AS base FROM part),
+    c(k, up, depth) AS (SELECT k, base, CASE WHEN base IS NULL THEN 0 ELSE 1 END FROM b UNION ALL SELECT c.k, b.base, c.depth + 1 FROM c JOIN b ON c.up = b.k WHERE b.base IS NOT NULL)
+    SELECT CAST(k AS VARCHAR) AS name, max(depth) AS depth FROM c GROUP BY 1""",
+)
+def f9_inheritance(m: Model) -> DataFrame:
+    parts = table(m.spark, m.folder, "part").select(F.col("p_partkey").cast("string").alias("k"), F.when(F.col("p_partkey") >= 10, F.floor(F.col("p_partkey") / 10).cast("string")).alias("base"))
+    return depth_of_inheritance(parts, "k", "base")
+
+
+@query("st1_streamed_edges", f"{_with('e')} SELECT snapshot_id, from_entity, to_entity, dep_type, CAST(sum(n) AS BIGINT) AS reference_count, count(*) AS times_added FROM e GROUP BY ALL")
+def st1_streamed_edges(m: Model) -> DataFrame:
+    batch = table(m.spark, m.folder, "dependencies")
+    path = f"{m.folder.rstrip('/')}/dependencies.parquet"
+    one_file = len(files := batch.inputFiles()) == 1 and files[0].endswith("/dependencies.parquet")
+    stream = edge_stream(m.spark, m.folder if one_file else path, batch.schema, "dependencies.parquet" if one_file else None)
+    return drain(stream)
+
+
+def _compact_projects(m: Model) -> DataFrame:
+    mi = rollup.hierarchy(rollup.type_rollup(m.types(), m.methods())).where("level = 'project'")
+    return compact_projects(m.projects(), coupling.project_coupling(m.edges(), m.projects()), mi, a31_diagnostics_per_project(m))
+
+
+@query(
+    "k2_compact_projects",
+    f"""{_with('m', 't', 'pt', 'pr', 'e', 'a', 'd')}, {_PROJECT_ROLES}, c AS ({_measure_sql('r0')}),
+    q AS (SELECT snapshot_id, project, round_even(CASE WHEN sum(min_) > 0 THEN CAST(sum(mis) AS DOUBLE) / sum(min_) ELSE 0 END * 10, 0) / 10 AS mi FROM pt GROUP BY 1, 2),
+    g AS (SELECT snapshot_id, project, {_LEVELS} FROM d GROUP BY 1, 2)
+    SELECT pr.snapshot_id, project_name AS n, coalesce(type_count, 0) AS tc, coalesce(method_count, 0) AS mc, coalesce(total_cc, 0) AS cc, coalesce(total_loc, 0) AS loc, coalesce(max_dit, 0) AS dit,
+           coalesce(mi, 0) AS mi, coalesce(id, 0) AS id, coalesce(idx, 0) AS idx, coalesce(round_even(dr * 100, 0) / 100, 0) AS dr, coalesce(ed, 0) AS ed, coalesce(edb, 0) AS edb, coalesce(edp, 0) AS edp,
+           nullif(errors, 0) AS err, nullif(warnings, 0) AS warn
+    FROM pr LEFT JOIN q ON q.snapshot_id = pr.snapshot_id AND q.project = project_name LEFT JOIN c ON c.snapshot_id = pr.snapshot_id AND entity = project_name
+    LEFT JOIN g ON g.snapshot_id = pr.snapshot_id AND g.project = project_name WHERE project_name IS NOT NULL""",
+)
+def k2_compact_projects(m: Model) -> DataFrame:
+    return _compact_projects(m)
+
+
+@query("k2_compact_reports")
+def k2_compact_reports(m: Model) -> DataFrame:
+    return compact_reports(m.snapshots(), _compact_projects(m))
+
+
+@query("k3_hierarchical_reports")
+def k3_hierarchical_reports(m: Model) -> DataFrame:
+    return hierarchical_reports(m.types(), m.methods())
+
+
+@query("k2_graph_layers")
+def k2_graph_layers(m: Model) -> DataFrame:
+    nodes = durable(_namespace_nodes(m))
+    return graph_document(nodes, coupling.graph_edges(m.edges(), nodes, coupling.NAMESPACE, loops=False), ["node_id", "name", "loc", "cc", "mi", "tc", "mc"])
+
+
+@query(
+    "a42_viewer_totals",
+    f"{_with('pr')} SELECT snapshot_id, CAST(coalesce(sum(error_count), 0) AS BIGINT) AS errors, CAST(coalesce(sum(warning_count), 0) AS BIGINT) AS warnings, CAST(coalesce(sum(total_cc), 0) AS BIGINT) AS cc, CAST(coalesce(sum(total_loc), 0) AS BIGINT) AS loc, CAST(coalesce(sum(coalesce(error_count, 0) * 5 + coalesce(warning_count, 0)), 0) AS BIGINT) AS score FROM pr GROUP BY 1",
+)
+def a42_viewer_totals(m: Model) -> DataFrame:
+    zero = F.lit(0).cast("bigint")
+    sums = {"errors": "error_count", "warnings": "warning_count", "cc": "total_cc", "loc": "total_loc"}
+    return m.projects().groupBy("snapshot_id").agg(*[F.coalesce(F.sum(c).cast("bigint"), zero).alias(n) for n, c in sums.items()], F.coalesce(F.sum(fn.diagnostics_score("error_count", "warning_count")).cast("bigint"), zero).alias("score"))
+
+
+@query(
+    "f33_heat_colours",
+    f"""{_with('pr')}, w AS (SELECT snapshot_id, project_row_id, coalesce(total_cc, 0)::DOUBLE AS v FROM pr), r AS (SELECT *, CASE WHEN max(v) OVER p > min(v) OVER p THEN (v - min(v) OVER p) / (max(v) OVER p - min(v) OVER p) ELSE 0 END AS q FROM w WINDOW p AS (PARTITION BY snapshot_id)),
+    z AS (SELECT *, CASE WHEN q < 0.5 THEN q * 2 ELSE (q - 0.5) * 2 END AS t FROM r)
+    SELECT snapshot_id, project_row_id, 'rgb(' || CAST(floor(CASE WHEN q < 0.5 THEN 168 + t * 72 ELSE 240 - t * 8 END + 0.5) AS BIGINT) || ', ' || CAST(floor(CASE WHEN q < 0.5 THEN 213 + t * 17 ELSE 230 - t * 46 END + 0.5) AS BIGINT) || ', ' || CAST(floor(CASE WHEN q < 0.5 THEN 186 - t * 2 ELSE 184 + t * 0 END + 0.5) AS BIGINT) || ')' AS colour FROM z""",
+)
+def f33_heat_colours(m: Model) -> DataFrame:
+    rows = m.projects().select("snapshot_id", "project_row_id", F.coalesce("total_cc", F.lit(0)).cast("double").alias("v"))
+    return rows.select("snapshot_id", "project_row_id", fn.heat_colour(coupling.min_max("v", ["snapshot_id"])).alias("colour"))
+
+
+@query(
+    "t12_largest_changes",
+    f"""{_with('s', 'pairs', 'pr')}, {_J1} SELECT head AS head_snapshot_id, project, total_cc_delta, CAST(rn AS INTEGER) AS rank_no FROM (
+        SELECT *, row_number() OVER (PARTITION BY head ORDER BY abs(total_cc_delta) DESC, project) AS rn FROM j WHERE NOT is_added AND NOT is_removed) WHERE rn <= 10""",
+)
+def t12_largest_changes(m: Model) -> DataFrame:
+    both = j1_project_diff(m).where("not is_added and not is_removed")
+    w = Window.partitionBy("head_snapshot_id").orderBy(F.abs("total_cc_delta").desc(), "project")
+    return both.withColumn("rank_no", F.row_number().over(w)).where("rank_no <= 10").select("head_snapshot_id", "project", "total_cc_delta", "rank_no")
+
+
+@query("sf_source_facts")
+def sf_source_facts(m: Model) -> DataFrame:
+    """The C# front end over the code blocks of documents, each wrapped in a type so that it has members."""
+    blocks = F.regexp_extract_all("text", F.lit(r"(?is)```csharp\s(.*?)```"), 1)
+    rows = table(m.spark, m.folder, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".cs")).alias("path"), F.explode(blocks).alias("code"))
+    return source_facts(rows.withColumn("content", F.concat(F.lit("class Snippet {\n"), "code", F.lit("\n}"))))
