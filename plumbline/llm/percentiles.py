@@ -15,10 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import durable
+from plumbline.session import broadcast_if_small, durable
 
-#: Bits of the three digits, from the top: sign and exponent with 4 bits of the mantissa, 16 more, the rest.
-DIGITS = (16, 16, 32)
+#: Bits of a digit; the first holds sign and exponent with 4 bits of the mantissa.
+DIGIT = 16
 
 
 def order_code(value: Column) -> Column:
@@ -63,13 +63,19 @@ class Measure:
     high: float
 
 
-def unpivot(df: DataFrame, keys: list[str], measures: list[Measure]) -> DataFrame:
-    """``keys, measure, code`` of every possible value; null, NaN and impossible values give no row."""
-    cells = []
+def with_codes(df: DataFrame, keys: list[str], measures: list[Measure]) -> DataFrame:
+    """``keys`` and one order code per measure, null for null, NaN and impossible values."""
+    codes = []
     for m in measures:
         value = F.col(m.name).cast("double")
-        cells.append(F.struct(F.lit(m.name).alias("measure"), F.when((value >= m.low) & (value <= m.high), order_code(value)).alias("code")))
-    return df.select(*keys, F.inline(F.array(*cells))).where("code is not null")
+        codes.append(F.when((value >= m.low) & (value <= m.high), order_code(value)).alias(m.name))
+    return df.select(*keys, *codes)
+
+
+def unpivot(coded: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """``keys, measure, code`` of every possible value."""
+    cells = [F.struct(F.lit(m).alias("measure"), F.col(m).alias("code")) for m in measures]
+    return coded.select(*keys, F.inline(F.array(*cells))).where("code is not null")
 
 
 def digit_histogram(values: DataFrame, keys: list[str], bits: int = 24) -> DataFrame:
@@ -113,7 +119,15 @@ def _follow(histogram: DataFrame, targets: DataFrame, keys: list[str], on: list[
     return (
         running.alias("h")
         .join(targets.alias("t"), match & within)
-        .select(*[F.col(f"t.{c}").alias(c) for c in keys], F.col("t.measure").alias("measure"), "t.n_values", "t.basis", (F.col("t.rank_left") - F.col("h.before")).alias("rank_left"), F.col("h.digit").alias("digit"))
+        .select(
+            *[F.col(f"t.{c}").alias(c) for c in keys],
+            F.col("t.measure").alias("measure"),
+            "t.n_values",
+            "t.basis",
+            (F.col("t.rank_left") - F.col("h.before")).alias("rank_left"),
+            F.col("h.digit").alias("digit"),
+            *[F.col(f"h.{c}").alias(c) for c in ("low", "high") if c in histogram.columns],
+        )
     )
 
 
@@ -127,46 +141,56 @@ def percentiles_from_histogram(histogram: DataFrame, keys: list[str], percents:
     return found.select(*keys, "measure", (F.col("basis") / F.lit(100.0)).alias("percent"), "n_values", code_value(low).alias("low"), code_value(low + F.lit((1 << (64 - bits)) - 1)).alias("high"))
 
 
-def radix_percentiles(values: DataFrame, finest: list[str], groupings: dict[str, list[str]], percents: list[float]) -> DataFrame:
+def _contains(wanted: Column, digit: Column) -> Column:
+    return F.coalesce(F.array_contains(wanted, digit), F.lit(False))
+
+
+def radix_percentiles(rows: DataFrame, measures: list[str], groupings: dict[str, Column], percents: list[float]) -> DataFrame:
     """Exact percentiles ``grouping, key, measure, percent, n_values, value`` for several groupings at once.
 
-    ``values`` has the columns ``finest``, ``measure`` and ``code`` and is read once per digit. ``groupings``
-    names subsets of ``finest``; ``key`` is the grouping's columns as text joined by ``|`` (null where
-    a single column is null). Groups without any possible value give no rows.
+    ``rows`` has one order code per measure (null where there is no possible value) and is read once per
+    digit; cut its lineage first. ``groupings`` gives each grouping's key as text. The first pass
+    histograms the first digit; each later one only rows whose digits so far are those of a rank still sought,
+    and a rank is settled as soon as its digit holds a single value. At most 65,536 digits are summed per
+    rank and pass, however many rows a group has. Groups without any possible value give no rows; null
+    keys form a group. The digits sought are broadcast only while they are small.
     """
-    kinds = F.array(*[F.struct(F.lit(name).alias("grouping"), _key(columns).alias("key")) for name, columns in groupings.items()])
     keys = ["grouping", "key"]
-
-    def coarse(counts: DataFrame, on: list[str]) -> DataFrame:
-        spread = counts.select("n", "digit", *on, F.inline(kinds))
-        return spread.groupBy(*keys, *on, "digit").agg(F.sum("n").alias("n"))
-
-    taken = DIGITS[0]
-    first = durable(digit_histogram(values, finest, taken))
-    total = durable(coarse(first, ["measure"]))
-    found = durable(_follow(total, _targets(total, keys, percents), keys, ["measure"]))
-    known = first.select(*finest, "measure", F.col("digit").alias("prefix"))
-    for width in DIGITS[1:]:
-        wanted = found.select(*keys, "measure", F.col("digit").alias("prefix")).distinct()
-        spread = known.select(*finest, "measure", "prefix", F.inline(kinds)).alias("k")
-        match = reduce(lambda a, b: a & b, [F.col(f"k.{c}").eqNullSafe(F.col(f"w.{c}")) for c in (*keys, "measure", "prefix")])
-        followed = spread.join(wanted.alias("w"), match, "left_semi").select(*finest, "measure", "prefix").distinct()
-        rows = values.withColumn("prefix", prefix(F.col("code"), taken)).alias("v")
-        match = reduce(lambda a, b: a & b, [F.col(f"v.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*finest, "measure", "prefix")])
-        kept = rows.join(followed.alias("f"), match, "left_semi")
-        taken += width
-        counts = durable(
-            kept.groupBy(*finest, "measure", "prefix", prefix(F.col("code"), taken).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
-        )
-        summed = coarse(counts, ["measure", "prefix"])
-        targets = found.withColumnRenamed("digit", "prefix")
-        match = reduce(lambda a, b: a & b, [F.col(f"s.{c}").eqNullSafe(F.col(f"w.{c}")) for c in (*keys, "measure", "prefix")])
-        summed = summed.alias("s").join(wanted.alias("w"), match, "left_semi")
-        found = durable(_follow(summed, targets, keys, ["measure", "prefix"]))
-        known = counts.select(*finest, "measure", F.col("digit").alias("prefix")).distinct()
-    return found.select(*keys, "measure", (F.col("basis") / F.lit(100.0)).alias("percent"), "n_values", code_value(F.col("digit")).alias("value"))
-
-
-def _key(columns: list[str]) -> Column:
-    texts = [F.col(c).cast("string") for c in columns]
-    return texts[0] if len(texts) == 1 else F.concat_ws("|", *[F.coalesce(t, F.lit("")) for t in texts])
+    counted = [F.count(F.lit(1)).alias("n"), F.min("code").alias("low"), F.max("code").alias("high")]
+    cells = [
+        F.struct(F.lit(g).alias("grouping"), key.alias("key"), F.lit(m).alias("measure"), prefix(F.col(m), DIGIT).alias("digit"), F.col(m).alias("code"))
+        for g, key in groupings.items()
+        for m in measures
+    ]
+    first = rows.select(F.inline(F.array(*cells))).where("code is not null")
+    counts = durable(first.groupBy(*keys, "measure", "digit").agg(*counted))
+    found = durable(_follow(counts, _targets(counts, keys, percents), keys, ["measure"]))
+    settled = []
+    for bits in range(2 * DIGIT, 64 + DIGIT, DIGIT):
+        settled.append(found.where("low = high"))
+        open_ones = found.where("low != high")
+        if bits > 64 or open_ones.isEmpty():
+            break
+        followed = []
+        for g, key in groupings.items():
+            wanted = (
+                open_ones.where(F.col("grouping") == g)
+                .groupBy("key")
+                .agg(*[F.collect_set(F.when(F.col("measure") == m, F.col("digit"))).alias(f"want_{m}") for m in measures])
+            )
+            wanted = broadcast_if_small(durable(wanted)).withColumnRenamed("key", "_key")
+            near = [
+                F.when(_contains(F.col(f"want_{m}"), prefix(F.col(m), bits - DIGIT)), F.struct(F.lit(m).alias("measure"), F.col(m).alias("code")))
+                for m in measures
+            ]
+            kept = rows.withColumn("key", key).join(wanted, F.col("key").eqNullSafe(F.col("_key")))
+            cut = kept.select("key", F.inline(F.filter(F.array(*near), lambda x: x.isNotNull())))
+            followed.append(
+                cut.groupBy("key", "measure", prefix(F.col("code"), bits - DIGIT).alias("prefix"), prefix(F.col("code"), bits).alias("digit"))
+                .agg(*counted)
+                .select(F.lit(g).alias("grouping"), "*")
+            )
+        counts = reduce(lambda a, b: a.unionByName(b), followed)
+        found = durable(_follow(counts, open_ones.withColumnRenamed("digit", "prefix"), keys, ["measure", "prefix"]))
+    whole = reduce(lambda a, b: a.unionByName(b), settled)
+    return whole.select(*keys, "measure", (F.col("basis") / F.lit(100.0)).alias("percent"), "n_values", code_value(F.col("low")).alias("value"))

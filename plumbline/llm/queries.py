@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import langid, mixing, percentiles, tokenizer, topn
-from plumbline.session import durable
+from plumbline.session import distinct_by, durable
 from plumbline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,24 +19,24 @@ MEASURES = [
     percentiles.Measure("lines_of_executable_code", 0, float(2**31 - 1)),
 ]
 PERCENTS = [25.0, 50.0, 75.0, 90.0, 99.0]
-FINEST = ["project", "snapshot_id", "day"]
-GROUPINGS = {"project": ["project"], "snapshot": ["snapshot_id"], "day": ["day"]}
 
 
-def _method_values(spark: SparkSession, folder: str) -> DataFrame:
-    """Measures of each method once; the repeated rows of a method_id are equal but for loaded_at."""
+def _method_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Order codes of each method once; the repeated rows of a method_id are equal but for loaded_at."""
     names = [m.name for m in MEASURES]
-    rows = table(spark, folder, "method_metrics").select("method_id", "project", "snapshot_id", F.to_date("measured_at").alias("day"), *names)
-    return percentiles.unpivot(durable(rows.dropDuplicates(["method_id"]).drop("method_id")), FINEST, MEASURES)
+    rows = table(spark, folder, "method_metrics").select("method_id", "project", F.col("snapshot_id").alias("snapshot"), F.to_date("measured_at").cast("string").alias("day"), *names)
+    return percentiles.with_codes(distinct_by(rows, "method_id"), ["project", "snapshot", "day"], MEASURES)
 
 
 def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    return percentiles.radix_percentiles(_method_values(spark, folder), FINEST, GROUPINGS, PERCENTS)
+    groupings = {name: F.col(name) for name in ("project", "snapshot", "day")}
+    return percentiles.radix_percentiles(durable(_method_codes(spark, folder)), [m.name for m in MEASURES], groupings, PERCENTS)
 
 
 def p2_merged_days(spark: SparkSession, folder: str) -> DataFrame:
     """Bounds per project from histograms that were made per day and project and then merged."""
-    daily = percentiles.digit_histogram(_method_values(spark, folder), ["project", "day"])
+    values = percentiles.unpivot(_method_codes(spark, folder), ["project", "day"], [m.name for m in MEASURES])
+    daily = percentiles.digit_histogram(values, ["project", "day"])
     return percentiles.percentiles_from_histogram(percentiles.merge_histograms([daily], ["project"]), ["project"], PERCENTS)
 
 
