@@ -28,7 +28,7 @@ def project_items(files: DataFrame, item: str) -> DataFrame:
     Trimmed, without blanks, once per file without regard to case (the first in binary order stands).
     """
     refs = F.expr(f"xpath(content, \"//*[local-name()='{item}']/@Include\")")
-    rows = files.select("path", F.trim(F.explode(refs)).alias("ref")).where("ref != ''")
+    rows = files.select("path", F.explode(refs).alias("ref")).select("path", F.trim("ref").alias("ref")).where("ref != ''")
     return rows.groupBy("path", F.lower("ref").alias("_k")).agg(F.min("ref").alias("ref")).drop("_k")
 
 
