@@ -22,6 +22,8 @@ from plumbline.session import durable
 STEPS, PRECISION = 60, 1e-7
 #: Slots of the first and second histogram by which rates are rounded.
 SLOTS = 4_096
+#: Share of a source's tokens that rounding may leave before further copies make up for it.
+SHORT = 1e-3
 _HIGHEST = 60.0
 
 
@@ -155,25 +157,47 @@ def _round_up(rated: DataFrame, sources: list[Source]) -> Column:
     left = {s.name: max(0.0, s.wanted - (firm.get(s.name) or 0)) for s in sources}
     open_rows = rated.where(fraction > 0)
 
-    def cut(rows: DataFrame, number: Column) -> dict[str, int]:
-        """Per source the number of leading slots that fit whole; ``left`` becomes what they leave."""
+    def slots_of(rows: DataFrame, number: Column) -> list[tuple[str, int, int]]:
+        """Tokens by source and slot, at most SLOTS rows per source whatever the input."""
+        sums = rows.groupBy("source", number.alias("k")).agg(F.sum("n_tokens").alias("t"))
+        return sorted((r["source"], r["k"], r["t"]) for r in sums.collect())
+
+    def lead(slots: list[tuple[str, int, int]]) -> dict[str, int]:
+        """Per source the first slot that no longer fits; ``left`` becomes what those before it leave."""
         out: dict[str, int] = {}
-        sums = rows.groupBy("source", number.alias("k")).agg(F.sum("n_tokens").alias("t")).orderBy("source", "k")
-        for r in sums.collect():  # at most SLOTS rows per source, whatever the input
-            name = r["source"]
+        for name, k, t in slots:
             if name not in out:
-                if r["t"] > left[name]:
-                    out[name] = r["k"]
+                if t > left[name]:
+                    out[name] = k
                 else:
-                    left[name] -= r["t"]
+                    left[name] -= t
+        return out
+
+    def later(slots: list[tuple[str, int, int]], firsts: dict[str, int]) -> dict[str, list[int]]:
+        """Slots behind the first misfit that still fit whole, in their order."""
+        out: dict[str, list[int]] = {}
+        for name, k, t in slots:
+            if name in firsts and k > firsts[name] and t <= left[name]:
+                left[name] -= t
+                out.setdefault(name, []).append(k)
         return out
 
-    first = cut(open_rows, slot)
+    def among(chosen: dict[str, list[int]], number: Column) -> Column:
+        out = F.lit(False)
+        for name, ks in chosen.items():
+            out = out | ((F.col("source") == name) & number.isin(ks))
+        return out
+
+    coarse = slots_of(open_rows, slot)
+    first = lead(coarse)
     at = _by_source(sources, lambda s: first.get(s.name, SLOTS + 1), "int")
-    then = cut(open_rows.where(slot == at), second)
+    fine = slots_of(open_rows.where(slot == at), second)
+    then = lead(fine)
     at2 = _by_source(sources, lambda s: then.get(s.name, 0), "int")
-    taken = (fraction > 0) & ((slot < at) | ((slot == at) & (second < at2)))
-    # What is left is less than one document's tokens there; a few documents of fitting lengths fill it.
+    finer = among(later(fine, then), second)
+    coarser = among(later(coarse, first), slot)
+    taken = (fraction > 0) & ((slot < at) | ((slot == at) & ((second < at2) | finer)) | coarser)
+    # What is left is less than any slot; a few documents of fitting lengths fill it.
     room = _by_source(sources, lambda s: left[s.name], "double")
     spare = open_rows.where(~taken & (F.col("n_tokens") <= room)).groupBy("source", "n_tokens").agg(F.min_by("doc_id", claim).alias("doc_id"))
     extra = []
@@ -184,12 +208,41 @@ def _round_up(rated: DataFrame, sources: list[Source]) -> Column:
     return taken | ((fraction > 0) & F.col("doc_id").isin(extra)) if extra else taken
 
 
+def _top_up(copied: DataFrame, sources: list[Source]) -> DataFrame:
+    """Further copies, within the repeats, where rounding left a source short of its tokens.
+
+    That happens where single documents hold much of a source, which one copy more or less misses by as much.
+    Each round adds a copy to whole hash slots of the documents that still may be used and fit.
+    """
+    for _ in range(max((s.repeats for s in sources), default=0)):
+        used = {r["source"]: r["t"] for r in copied.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("t")).collect()}
+        left = {s.name: s.wanted - (used.get(s.name) or 0) for s in sources}
+        if not any(left[s.name] > SHORT * s.wanted for s in sources):
+            break
+        room = _by_source(sources, lambda s: left[s.name], "double")
+        may = (F.col("copies") < _by_source(sources, lambda s: s.repeats, "int")) & (F.col("n_tokens") > 0) & (F.col("n_tokens") <= room)
+        slot = F.pmod(F.xxhash64("doc_id", F.lit("more")), F.lit(SLOTS)).cast("int")
+        chosen: dict[str, list[int]] = {}
+        for r in copied.where(may).groupBy("source", slot.alias("k")).agg(F.sum("n_tokens").alias("t")).orderBy("source", "k").collect():
+            if r["t"] <= left[r["source"]]:
+                left[r["source"]] -= r["t"]
+                chosen.setdefault(r["source"], []).append(r["k"])
+        if not chosen:
+            break
+        picked = F.lit(False)
+        for name, ks in chosen.items():
+            picked = picked | ((F.col("source") == name) & slot.isin(ks))
+        copied = durable(copied.withColumn("copies", (F.col("copies") + F.when(may & picked, 1).otherwise(0)).cast("int")))
+    return copied
+
+
 def mix(tokens: DataFrame, targets: DataFrame) -> tuple[DataFrame, list[Source]]:
     """``doc_id, source, n_tokens, rate, copies`` of every document of the targets' sources, and the sources.
 
     ``tokens`` has ``doc_id, source, n_tokens``. Sources are spelled exactly; documents of other or no
     sources take no part; a document without tokens has 0 copies. Copies never exceed the repeats. Per
-    source the tokens of all copies stay below what is wanted by a few tokens at most where lengths allow.
+    source the tokens of all copies never exceed what is wanted and fall short of it by less than a
+    thousandth, unless no document that may still be used is short enough.
     """
     sources = read_targets(targets)
     known = tokens.where(F.col("source").isin([s.name for s in sources])) if sources else tokens.limit(0)
@@ -204,7 +257,8 @@ def mix(tokens: DataFrame, targets: DataFrame) -> tuple[DataFrame, list[Source]]
     balance(lengths, sources)
     rated = known.withColumn("rate", F.when(F.col("n_tokens") > 0, _rate(sources)).otherwise(F.lit(0.0)))
     more = _round_up(rated, sources)
-    return rated.withColumn("copies", (F.floor("rate") + F.when(more, 1).otherwise(0)).cast("int")), sources
+    copied = durable(rated.withColumn("copies", (F.floor("rate") + F.when(more, 1).otherwise(0)).cast("int")))
+    return _top_up(copied, sources), sources
 
 
 def reached_shares(mixture: DataFrame, targets: DataFrame, sources: list[Source]) -> DataFrame:

@@ -166,7 +166,7 @@ def radix_percentiles(rows: DataFrame, measures: list[str], groupings: dict[str,
     counts = durable(first.groupBy(*keys, "measure", "digit").agg(*counted))
     found = durable(_follow(counts, _targets(counts, keys, percents), keys, ["measure"]))
     settled = []
-    for bits in range(2 * DIGIT, 64 + DIGIT, DIGIT):
+    for bits in range(2 * DIGIT, 64 + 2 * DIGIT, DIGIT):
         settled.append(found.where("low = high"))
         open_ones = found.where("low != high")
         if bits > 64 or open_ones.isEmpty():
