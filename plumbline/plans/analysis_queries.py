@@ -349,7 +349,7 @@ def a32_diagnostics_totals(m: Model) -> DataFrame:
     return per.groupBy("snapshot_id").agg(*[F.sum(n).alias(n) for n in ("hidden_n", "info", "warnings", "errors")])
 
 
-@query("p11_minimum_level", f"{_with('d')} SELECT project, count(*) AS n FROM d WHERE severity >= 2 GROUP BY 1")
+@query("pr11_minimum_level", f"{_with('d')} SELECT project, count(*) AS n FROM d WHERE severity >= 2 GROUP BY 1")
 def p11_minimum_level(m: Model) -> DataFrame:
     return m.diagnostics().where(F.col("severity") >= 2).groupBy("project").agg(F.count(F.lit(1)).alias("n"))
 
@@ -373,7 +373,7 @@ def j1_project_diff(m: Model) -> DataFrame:
     return diff.project_diff(m.projects(), _pairs(m))
 
 
-@query("p12_changed_projects", f"{_with('s', 'pairs', 'pr')}, {_J1} SELECT head AS head_snapshot_id, project, total_cc_delta, CASE WHEN total_cc_delta > 50 OR (base_total_cc > 0 AND total_cc_delta::DOUBLE / base_total_cc > 0.1) THEN 'bad_increase' ELSE 'neutral' END AS semantic, CASE WHEN warning_count_delta > 0 THEN '+' || warning_count_delta ELSE CAST(warning_count_delta AS VARCHAR) END AS warnings_shown FROM j WHERE NOT is_added AND NOT is_removed AND (total_cc_delta <> 0 OR total_loc_delta <> 0 OR type_count_delta <> 0 OR warning_count_delta <> 0)")
+@query("pr12_changed_projects", f"{_with('s', 'pairs', 'pr')}, {_J1} SELECT head AS head_snapshot_id, project, total_cc_delta, CASE WHEN total_cc_delta > 50 OR (base_total_cc > 0 AND total_cc_delta::DOUBLE / base_total_cc > 0.1) THEN 'bad_increase' ELSE 'neutral' END AS semantic, CASE WHEN warning_count_delta > 0 THEN '+' || warning_count_delta ELSE CAST(warning_count_delta AS VARCHAR) END AS warnings_shown FROM j WHERE NOT is_added AND NOT is_removed AND (total_cc_delta <> 0 OR total_loc_delta <> 0 OR type_count_delta <> 0 OR warning_count_delta <> 0)")
 def p12_changed_projects(m: Model) -> DataFrame:
     rows = diff.changed_projects(j1_project_diff(m))
     return rows.select("head_snapshot_id", "project", "total_cc_delta", fn.complexity_semantic("total_cc_delta", "base_total_cc").alias("semantic"), fn.signed_delta("warning_count_delta").alias("warnings_shown"))
