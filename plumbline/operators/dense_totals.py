@@ -9,6 +9,7 @@ summed slot by slot; a block's size depends on its distinct keys and never on th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +115,10 @@ def dense_key_totals(df: DataFrame, key: str, value: str, blocks: int | None = N
     return partial.repartitionById(n, F.col("block")).mapInArrow(_sum_arrays(), "key string, rows bigint, total bigint")
 
 
-def heavy_keys(totals: DataFrame, all_rows: Column, share: float = 0.02) -> DataFrame:
-    """Keys of ``dense_key_totals`` that hold more than ``share`` of all rows; the null key is none."""
-    return totals.where(F.col("key").isNotNull() & (F.col("rows") > F.lit(share) * all_rows))
+def heavy_keys(totals: DataFrame, all_rows: Column, share: str = "0.02") -> DataFrame:
+    """Keys of ``dense_key_totals`` that hold more than ``share`` of all rows; the null key is none.
+
+    The share is a decimal or a fraction as text and is compared in whole numbers.
+    """
+    exact = Fraction(share)
+    return totals.where(F.col("key").isNotNull() & (F.col("rows") * F.lit(exact.denominator) > all_rows * F.lit(exact.numerator)))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.metrics import is_generated_path, namespace_of
 from plumbline.operators.tokens import OPERAND_WORDS, OPERATOR_SYMBOLS, OPERATOR_WORDS, PATTERN, RESERVED
 from plumbline.session import ship
 
@@ -136,13 +138,16 @@ def _match(tokens: list[tuple[str, int]], at: int) -> int:
 
 
 def analyse(path: str, text: str) -> list[tuple]:
-    """Rows ``kind, file_path, name, parent, start_line, end_line, complexity, lines, volume, index, bases`` of one file.
+    """Rows ``kind, file_path, name, parent, start_line, end_line, complexity, lines, volume, index, bases, uses`` of one file.
 
-    Kinds are type, method and using. Methods of nested types belong to the nested type.
+    Kinds are type, method, using and use. Methods and uses of nested types belong to the nested type. A use is
+    a capitalised name in a type, its bases included, that is no member of something else; ``uses`` counts it.
     """
     tokens = lex(text)
     words = [t for t, _ in tokens]
     rows: list[tuple] = []
+    owners: list[tuple[int, int, str]] = []
+    spaces: list[str] = []
 
     def scan(i: int, end: int, scope: str, in_type: bool) -> None:
         while i < end:
@@ -151,12 +156,13 @@ def analyse(path: str, text: str) -> list[tuple]:
             if t == "using" and not in_type and after not in ("(", "var", ""):
                 stop = next((k for k in range(i, end) if words[k] == ";"), end)
                 name = "".join(w for w in words[i + 1 : stop] if w != "static")
-                rows.append(("using", path, name.rpartition("=")[2], scope, line, line, None, None, None, None, None))
+                rows.append(("using", path, name.rpartition("=")[2], scope, line, line, None, None, None, None, None, None))
                 i = stop + 1
             elif t == "namespace":
                 stop = next((k for k in range(i, end) if words[k] in ("{", ";")), end)
                 name = "".join(words[i + 1 : stop])
                 inner = f"{scope}.{name}" if scope else name
+                spaces.append(inner)
                 if stop < end and words[stop] == "{":
                     close = _match(tokens, stop)
                     scan(stop + 1, close, inner, False)
@@ -169,7 +175,8 @@ def analyse(path: str, text: str) -> list[tuple]:
                 full = f"{scope}.{after}" if scope else after
                 bases = "".join(words[words.index(":", i, stop) + 1 : stop]) if ":" in words[i:stop] else ""
                 close = _match(tokens, stop) if stop < end and words[stop] == "{" else min(stop, end - 1)
-                rows.append(("type", path, full, scope, line, tokens[close][1], None, None, None, None, bases))
+                rows.append(("type", path, full, scope, line, tokens[close][1], None, None, None, None, bases, None))
+                owners.append((i, close, full))
                 if stop < end and words[stop] == "{":
                     scan(stop + 1, close, full, True)
                 i = close + 1
@@ -193,7 +200,7 @@ def analyse(path: str, text: str) -> list[tuple]:
                     shown = (m.complexity, m.lines or 1, m.volume, m.index())
                 else:
                     last, shown = stop, (1, 0, 0.0, 100.0)
-                rows.append(("method", path, name, scope, tokens[first][1], tokens[last][1], *shown, None))
+                rows.append(("method", path, name, scope, tokens[first][1], tokens[last][1], *shown, None, None))
                 i = last + 1
             elif in_type and t in ("{", "="):
                 i = _match(tokens, i) + 1 if t == "{" else next((k for k in range(i, end) if words[k] == ";"), end) + 1
@@ -201,6 +208,16 @@ def analyse(path: str, text: str) -> list[tuple]:
                 i += 1
 
     scan(0, len(tokens), "", False)
+    if spaces:  # an import before any namespace is one of the file's first namespace
+        rows = [(*r[:3], spaces[0], *r[4:]) if r[0] == "using" and not r[3] else r for r in rows]
+    counts: Counter = Counter()
+    for begin, close, full in owners:
+        nested = [(b, c) for b, c, _ in owners if begin < b and c <= close]
+        for i in range(begin + 2, close):
+            w = words[i]
+            if w[0].isupper() and words[i - 1] != "." and not any(b <= i <= c for b, c in nested):
+                counts[full, w] += 1
+    rows.extend(("use", path, w, full, None, None, None, None, None, None, None, n) for (full, w), n in counts.items())
     return rows
 
 
@@ -217,8 +234,8 @@ def _parameters(words: list[str]) -> str:
     return ", ".join(parts)
 
 
-SCHEMA = "kind string, file_path string, name string, parent string, start_line int, end_line int, complexity int, lines int, volume double, maintainability double, bases string"
-_TYPES = [pa.string()] * 4 + [pa.int32()] * 4 + [pa.float64()] * 2 + [pa.string()]
+SCHEMA = "kind string, file_path string, name string, parent string, start_line int, end_line int, complexity int, lines int, volume double, maintainability double, bases string, uses int"
+_TYPES = [pa.string()] * 4 + [pa.int32()] * 4 + [pa.float64()] * 2 + [pa.string(), pa.int32()]
 
 
 def _analysing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +248,33 @@ def _analysing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def source_facts(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Types, methods and imports of each source text; generated files and null texts give no rows."""
-    from plumbline.functions.metrics import is_generated_path
-
     ship(files.sparkSession)
     return files.where(~F.coalesce(is_generated_path(path), F.lit(False))).select(F.col(path).cast("string").alias("p"), F.col(content).cast("string").alias("c")).mapInArrow(_analysing, SCHEMA)
+
+
+def reference_edges(facts: DataFrame) -> DataFrame:
+    """``from_entity, to_entity, dep_type, reference_count`` of source facts: type edges (3) and namespace edges (2).
+
+    A use refers to a declared type of that short name in the own namespace, in one around it, or in an
+    imported one, the first of these that has it; names that none declares give no edge. Type edges
+    across namespaces give a namespace edge each, and so does each import of another namespace.
+    """
+    types = facts.where("kind = 'type'").select(F.col("name").alias("to_entity"), F.substring_index("name", ".", -1).alias("short"), namespace_of("name", "").alias("to_space")).distinct()
+    imports = facts.where("kind = 'using'").select(F.col("file_path").alias("_file"), F.col("name").alias("_space")).distinct()
+    uses = facts.where("kind = 'use'").select("file_path", F.col("parent").alias("from_entity"), F.col("name").alias("short"), namespace_of("parent", "").alias("from_space"), "uses")
+    near = uses.join(types, "short").join(imports, (F.col("file_path") == F.col("_file")) & (F.col("to_space") == F.col("_space")), "left")
+    around = (F.col("to_space") == "") | F.col("from_space").startswith(F.concat("to_space", F.lit(".")))
+    rank = F.when(F.col("to_space") == F.col("from_space"), 0).when(around, 1).when(F.col("_space").isNotNull(), 2)
+    best = (
+        near.withColumn("rank", rank)
+        .where("rank is not null")
+        .groupBy("file_path", "from_entity", "from_space", "short", "uses")
+        .agg(F.min(F.struct("rank", -F.length("to_space"), "to_entity", "to_space")).alias("b"))
+    )
+    found = best.select("from_entity", "from_space", "b.to_entity", "b.to_space", F.col("uses").cast("bigint").alias("reference_count")).where("from_entity != to_entity")
+    crossing = found.where("from_space != to_space and to_space != ''")
+    opened = facts.where("kind = 'using' and parent != '' and parent != name")
+    edge = lambda df, a, b, kind, n: df.select(F.col(a).alias("from_entity"), F.col(b).alias("to_entity"), F.lit(kind).alias("dep_type"), n.alias("reference_count"))
+    count = F.col("reference_count")
+    every = edge(found, "from_entity", "to_entity", 3, count).unionByName(edge(crossing, "from_space", "to_space", 2, count)).unionByName(edge(opened, "parent", "name", 2, F.lit(1).cast("bigint")))
+    return every.groupBy("from_entity", "to_entity", "dep_type").agg(F.sum("reference_count").alias("reference_count"))

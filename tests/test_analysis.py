@@ -143,6 +143,14 @@ record R(int X);
     assert [r["name"] for r in rows if r["kind"] == "using"] == ["System.Text"]
 
 
+def test_reference_edges(spark):
+    one = "using B;\nnamespace A { class X : Base { B.Y y; Y z; Other.Y w; void M() { Y.Go(); Helper h; Unknown u; } } class Helper { X x; } }"
+    two = "namespace B { class Y { } class Base { } } namespace C { class Y { } }"
+    df = spark.createDataFrame([("1.cs", one), ("2.cs", two)], "path string, content string")
+    got = {tuple(r) for r in frontend.reference_edges(frontend.source_facts(df)).collect()}
+    assert got == {("A.X", "B.Y", 3, 2), ("A.X", "B.Base", 3, 1), ("A.X", "A.Helper", 3, 1), ("A.Helper", "A.X", 3, 1), ("A", "B", 2, 4)}
+
+
 def test_project_files(spark, tmp_path):
     (tmp_path / "App").mkdir()
     (tmp_path / "App" / "App.csproj").write_text('<Project xmlns="http://x"><ItemGroup><PackageReference Include=" B "/><PackageReference Include="b"/><PackageReference Include=" "/><ProjectReference Include="..\\Lib\\Lib.Core.csproj"/><ProjectReference Include="..\\Other\\O.csproj"/></ItemGroup></Project>')

@@ -200,6 +200,11 @@ def test_dense_totals_with_hot_null_and_extreme_keys(spark):
     assert dense_totals.dense_key_totals(df.limit(0), "k", "v").count() == 0
 
 
+def test_heavy_keys_need_more_than_their_share(spark):
+    totals = spark.createDataFrame([("a", 7, 0), ("b", 8, 0), (None, 99, 0)], "key string, rows long, total long")
+    assert [r["key"] for r in dense_totals.heavy_keys(totals, F.lit(350)).collect()] == ["b"]
+
+
 def test_scatter_sum_is_exact_for_large_and_negative_values():
     import numpy as np
 
