@@ -10,6 +10,8 @@ from plumbline.session import durable
 
 PROJECT, NAMESPACE, TYPE = 0, 2, 3
 _SCOPE = "snapshot_id"
+#: Column that marks a table of aggregated edges.
+_TOTAL = "_aggregated"
 
 
 def aggregate_edges(edges: DataFrame) -> DataFrame:
@@ -18,7 +20,9 @@ def aggregate_edges(edges: DataFrame) -> DataFrame:
 
 
 def edges_of_type(edges: DataFrame, kind: int) -> DataFrame:
-    return aggregate_edges(edges.where(F.col("dep_type") == kind))
+    """Aggregated edges of one type; edges that ``aggregate_edges`` has cut down already stay as they are."""
+    own = edges.where(F.col("dep_type") == kind)
+    return own if _TOTAL in edges.columns else aggregate_edges(own)
 
 
 def collector_stats(edges: DataFrame) -> DataFrame:
@@ -35,16 +39,19 @@ def missing_edges(declared: DataFrame, supplied: DataFrame) -> DataFrame:
 
 
 def _measures(roles: DataFrame) -> DataFrame:
-    """Measures per entity from rows ``entity, role, other, reference_count``; roles are out, in, ext."""
-    distinct = roles.groupBy(_SCOPE, "entity", "role", "other").agg(F.sum("reference_count").alias("strength"))
+    """Measures per entity from rows ``entity, role, other, reference_count``; roles are out, in, ext.
+
+    The rows come from aggregated edges, so each (entity, role, other) occurs once and counting is counting
+    distinct ones: one aggregation, summed map-side.
+    """
     count = lambda c: F.count_if(c).alias("n").cast("bigint")
     bcl = is_bcl("other")
-    out = distinct.groupBy(_SCOPE, "entity").agg(
+    out = roles.groupBy(_SCOPE, "entity").agg(
         count(F.col("role") == "out").alias("id"),
         count(F.col("role") == "in").alias("idx"),
         count((F.col("role") == "ext") & bcl).alias("edb"),
         count((F.col("role") == "ext") & ~bcl).alias("edp"),
-        F.coalesce(F.sum(F.when(F.col("role") != "none", F.col("strength"))), F.lit(0).cast("bigint")).alias("strength"),
+        F.coalesce(F.sum(F.when(F.col("role") != "none", F.col("reference_count"))), F.lit(0).cast("bigint")).alias("strength"),
     )
     return out.select(_SCOPE, "entity", "id", "idx", dependency_ratio().alias("dr"), (F.col("edb") + F.col("edp")).alias("ed"), "edb", "edp", "strength")
 
@@ -70,7 +77,7 @@ def entity_coupling(edges: DataFrame, kind: int) -> DataFrame:
     One aggregation, one join for the internal flag and one aggregation by role; edges are never
     scanned once per side. An entity that is only a target has its incoming edges.
     """
-    own = durable(edges_of_type(edges, kind))
+    own = edges_of_type(edges, kind)
     inside = own.select(_SCOPE, F.col("from_entity").alias("_inside")).distinct()
     flagged = own.join(inside.withColumnRenamed(_SCOPE, "_scope"), (F.col(_SCOPE) == F.col("_scope")) & (F.col("to_entity") == F.col("_inside")), "left")
     return _measures(_both_roles(flagged, F.col("_inside").isNotNull(), "ext"))
@@ -87,7 +94,8 @@ def project_coupling(edges: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def all_coupling(edges: DataFrame, projects: DataFrame) -> DataFrame:
-    """The three layers on end, with their order."""
+    """The three layers on end, with their order, from one aggregation of the edges."""
+    edges = durable(aggregate_edges(edges)).withColumn(_TOTAL, F.lit(True))
     layer = lambda df, name, at: df.select(F.lit(name).alias("layer"), F.lit(at).alias("layer_no"), "*")
     return (
         layer(project_coupling(edges, projects), "project", 0)

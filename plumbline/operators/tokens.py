@@ -29,13 +29,13 @@ PATTERN = (
 def token_counts(code: Column | str) -> Column:
     """``n1, n2, total1, total2``: distinct operators and operands by text, then all of each. Null text counts as empty."""
     tokens = F.regexp_extract_all(F.coalesce(fn.col(code), F.lit("")), F.lit(PATTERN), 0)
-    operators = F.array(*[F.lit(t) for t in OPERATOR_SYMBOLS + OPERATOR_WORDS])
-    passive = F.array(*[F.lit(t) for t in RESERVED if t not in OPERAND_WORDS])
-    ops = F.filter(tokens, lambda t: F.array_contains(operators, t))
+    operators = OPERATOR_SYMBOLS + OPERATOR_WORDS
+    no_operands = sorted({*operators, *RESERVED} - {*OPERAND_WORDS})  # looked up as hash sets
+    ops = F.filter(tokens, lambda t: t.isin(operators))
     first = lambda t: F.substring(t, 1, 1)
     operands = F.filter(
         tokens,
-        lambda t: (first(t).rlike(r"[A-Za-z_0-9\"']")) & ~F.array_contains(operators, t) & ~F.array_contains(passive, t),
+        lambda t: (first(t).rlike(r"[A-Za-z_0-9\"']")) & ~t.isin(no_operands),
     )
     return F.struct(
         F.size(F.array_distinct(ops)).alias("n1"), F.size(F.array_distinct(operands)).alias("n2"), F.size(ops).alias("total1"), F.size(operands).alias("total2")
