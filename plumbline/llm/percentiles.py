@@ -21,21 +21,32 @@ from plumbline.session import broadcast_if_small, durable
 DIGIT = 16
 
 
+def _exponent(value: Column) -> Column:
+    """The binary exponent of a finite double, possibly off by one; null for 0 and null."""
+    return F.least(F.floor(F.log2(F.abs(value))).cast("int"), F.lit(1023))
+
+
+def _code(value: Column, exponent: Column, power: Column) -> Column:
+    """The code from a value, its estimated exponent and two to that exponent."""
+    size = F.abs(value)
+    less, more = power > size, power * 2.0 <= size
+    exact = exponent + F.when(less, -1).when(more, 1).otherwise(0)
+    scale = F.when(less, power / 2.0).when(more, power * 2.0).otherwise(power)
+    normal = (exact + 1023).cast("bigint") * F.lit(1 << 52) + ((size / scale - 1.0) * F.lit(float(1 << 52))).cast("bigint")
+    tiny = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint")
+    code = F.when(size == 0, F.lit(0).cast("bigint")).when(size < F.lit(2.0**-1022), tiny).otherwise(normal)
+    return F.when(value < 0, -code).otherwise(code)
+
+
 def order_code(value: Column) -> Column:
     """A bigint that sorts as the double does: the bits of its absolute value, signed.
 
     Exact for every finite double, subnormals included; null for null, NaN and infinities; -0 is 0.
     """
-    size = F.abs(value.cast("double"))
-    guess = F.floor(F.log2(size)).cast("int")
-    guess = F.when(F.pow(F.lit(2.0), guess) > size, guess - 1).when(F.pow(F.lit(2.0), guess + 1) <= size, guess + 1).otherwise(guess)
-    guess = F.least(guess, F.lit(1023))
-    mantissa = size * F.pow(F.lit(2.0), -guess) - 1.0
-    normal = (guess + 1023).cast("bigint") * F.lit(1 << 52) + (mantissa * F.lit(float(1 << 52))).cast("bigint")
-    tiny = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint")
-    code = F.when(size == 0, F.lit(0).cast("bigint")).when(size < F.lit(2.0**-1022), tiny).otherwise(normal)
-    finite = value.isNotNull() & ~F.isnan(value.cast("double")) & (size < F.lit(float("inf")))
-    return F.when(finite, F.when(value < 0, -code).otherwise(code))
+    double = value.cast("double")
+    finite = F.when(F.abs(double) < F.lit(float("inf")), double)
+    exponent = _exponent(finite)
+    return F.when(finite.isNotNull(), _code(finite, exponent, F.pow(F.lit(2.0), exponent)))
 
 
 def code_value(code: Column) -> Column:
@@ -64,12 +75,19 @@ class Measure:
 
 
 def with_codes(df: DataFrame, keys: list[str], measures: list[Measure]) -> DataFrame:
-    """``keys`` and one order code per measure, null for null, NaN and impossible values."""
-    codes = []
+    """``keys`` and one order code per measure, null for null, NaN and impossible values.
+
+    Logarithm and power are columns of their own, so that each is computed once per value.
+    """
+    names = [m.name for m in measures]
+    values = []
     for m in measures:
-        value = F.col(m.name).cast("double")
-        codes.append(F.when((value >= m.low) & (value <= m.high), order_code(value)).alias(m.name))
-    return df.select(*keys, *codes)
+        v = F.col(m.name).cast("double")
+        values.append(F.when((v >= m.low) & (v <= m.high) & (F.abs(v) < F.lit(float("inf"))), v).alias(m.name))
+    rows = df.select(*keys, *values)
+    rows = rows.select("*", *[_exponent(F.col(n)).alias(f"_exponent_{n}") for n in names])
+    rows = rows.select("*", *[F.pow(F.lit(2.0), F.col(f"_exponent_{n}")).alias(f"_power_{n}") for n in names])
+    return rows.select(*keys, *[F.when(F.col(n).isNotNull(), _code(F.col(n), F.col(f"_exponent_{n}"), F.col(f"_power_{n}"))).alias(n) for n in names])
 
 
 def unpivot(coded: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
