@@ -75,6 +75,17 @@ def p6_project_changes(spark: SparkSession, folder: str) -> DataFrame:
     return changes.select(F.col("pair").alias("head_snapshot_id"), F.col("key").alias("project_key"), "base_key", "head_key", "outcome", F.array_join("changed_fields", ",").alias("changed_fields"))
 
 
+def _level_sql(name: str, source: str, field: str, path: str) -> str:
+    """One level of a payload in DuckDB: the objects that ``field`` of each object of ``source`` holds."""
+    return f"""{name} AS (SELECT report_id, node, parent_node, o FROM (
+            SELECT report_id, CASE WHEN path = '' THEN '' ELSE path || '.' END || '{field}[' || i || ']' AS node, path AS parent_node,
+                   CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[' || i || ']') ELSE v END AS o
+            FROM (SELECT report_id, path, v, unnest(range(CASE json_type(v) WHEN 'ARRAY' THEN CAST(json_array_length(v) AS BIGINT) WHEN 'OBJECT' THEN 1 ELSE 0 END)) AS i
+                  FROM (SELECT report_id, {path} AS path, json_extract(o, '$.{field}') AS v FROM {source}))) WHERE json_type(o) = 'OBJECT')"""
+
+
+_LEVELS = [("p", "r", "prj", "''"), ("n", "p", "ns", "node"), ("t1", "p", "types", "node"), ("t2", "n", "types", "node"), ("m1", "t1", "m", "node"), ("m2", "t2", "m", "node")]
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_objects": p1_objects,
@@ -91,6 +102,9 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "p1_found": "WITH r AS (SELECT report_id, CAST(payload AS JSON) AS o FROM (SELECT * FROM compact_reports WHERE json_valid(payload)) WHERE json_type(payload) = 'OBJECT'), "
+    + ", ".join(_level_sql(*level) for level in _LEVELS)
+    + " UNION ALL ".join(f" SELECT report_id, node, parent_node FROM {level[0]}" for level in _LEVELS),
     "p4_found": """
         SELECT from_entity FROM dependencies WHERE from_entity IS NOT NULL
         GROUP BY from_entity HAVING count(*) > 0.02 * (SELECT count(*) FROM dependencies)""",
