@@ -49,7 +49,8 @@ _MULTIPLIER = np.uint64(0x100000001B3)
 _FENCE = re.compile(r"^[ \t]*```.*?(?:^[ \t]*```[^\n]*|\Z)", re.S | re.M)
 _BLANKED = re.compile(r"`[^`\n]*`|</?[A-Za-z][^<>\n]{0,200}>|&(?:lt|gt|amp|quot|nbsp|#\d+);|\x1b\[[0-9;]*m|https?://\S+|[\u200b\u200c\u200d\u2060\ufeff]+")
 _LINE = re.compile(r"[^\r\n  \x85\x0b\x0c]+")
-_NO_PROSE = re.compile(r"^\s*(?:#|\||[{}]|//(?!/))|[;{}|]\s*$")
+_NO_PROSE = re.compile(r"^\s*(?:#|\||[{}])|[;{}|]\s*$")
+_COMMENT = re.compile(r"^\s*//(?!/)")
 _SENTENCE = re.compile(r".+?(?:[.!?…]+(?=[\s\"'”’»)\]]|$)|[。！？]+|$)", re.S)
 _ENDED = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -120,7 +121,8 @@ def words_of(sentence: str) -> str:
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """Full sentences of prose: start and end in ``text``, and the words that count.
 
-    Code, tables, headings, tags, identifiers and fragments without an end mark are left out.
+    Code, tables, headings, tags, identifiers and fragments without an end mark are left out. A line comment
+    is judged by its text, so that commented-out code is left out as code is.
     """
     blank = lambda m: re.sub(r"[^\r\n]", " ", m[0])
     shown = _BLANKED.sub(blank, _FENCE.sub(blank, text) if "```" in text else text)
@@ -128,7 +130,7 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     for line in _LINE.finditer(shown):
         if _NO_PROSE.search(line[0]):
             continue
-        for m in _SENTENCE.finditer(line[0]):
+        for m in _SENTENCE.finditer(_COMMENT.sub(blank, line[0])):
             if not _ENDED.search(m[0]):
                 continue
             words = words_of(m[0])

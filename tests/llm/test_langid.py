@@ -66,6 +66,16 @@ def test_what_is_no_prose():
         assert L.sentences(text) == [], text
 
 
+def test_line_comments_are_judged_by_their_text(profiles):
+    for code, text in CLEAN.items():
+        for mark in ("// ", "//", "    // "):
+            found = L.sentences(f"var x = 1;\n{mark}{text}\n")
+            assert [f"var x = 1;\n{mark}{text}\n"[b:e] for b, e, _ in found] == [text], mark + text
+            assert [L.LANGUAGES[b] for b in profiles.classify([w for _, _, w in found])[0]] == [code]
+    for text in ["// var total = Sum(a, b, c);", "// if (the type is public) {", "// }", "// the next steps of the analysis", "// src/A.B/C.cs(3,4): CS9101", "//", "```csharp\n// The type needs a smaller public surface.\n```"]:
+        assert L.sentences(text) == [], text
+
+
 def test_positions_are_of_the_text(profiles):
     text = f"# Title\n\n{CLEAN['de']} {CLEAN['en']}\n```\ncode here.\n```\n{CLEAN['ja']}"
     found = L.sentences(text)
