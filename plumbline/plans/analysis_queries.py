@@ -14,7 +14,7 @@ from plumbline.operators.tokens import OPERAND_WORDS, OPERATOR_SYMBOLS, OPERATOR
 from plumbline.session import durable
 from plumbline.sources.frontend import source_facts
 from plumbline.sources.model import Model
-from plumbline.sources.reports import compact_projects, compact_reports, graph_document, hierarchical_reports
+from plumbline.sources.reports import compact_projects, compact_reports, graph_document, graphs_of_layers, hierarchical_reports
 from plumbline.sources.tables import table
 from plumbline.streaming.edges import drain, edge_stream
 
@@ -494,9 +494,17 @@ def k2_compact_projects(m: Model) -> DataFrame:
     return _compact_projects(m)
 
 
+def _graphs(m: Model) -> DataFrame:
+    projects, spaces = durable(_project_nodes(m)), durable(g5_namespace_nodes(m))
+    return graphs_of_layers(
+        graph_document(projects, coupling.graph_edges(m.edges(), projects, coupling.PROJECT, loops=True), ["node_id", "name", "loc"]),
+        graph_document(spaces, coupling.graph_edges(m.edges(), spaces, coupling.NAMESPACE, loops=False), ["node_id", "name", "loc", "cc", "mi", "tc", "mc", "id", "idx", "dr", "ed"]),
+    )
+
+
 @query("k2_compact_reports")
 def k2_compact_reports(m: Model) -> DataFrame:
-    return compact_reports(m.snapshots(), _compact_projects(m))
+    return compact_reports(m.snapshots(), _compact_projects(m), _graphs(m), m.diagnostics())
 
 
 @query("k3_hierarchical_reports")

@@ -17,10 +17,24 @@ from plumbline.functions import metrics as fn
 EXTENSIONS = {"html": "html", "compact": "slr", "json": "json"}
 
 
+#: A graph layer without nodes.
+NO_LAYER = '{"n":[],"e":[]}'
+
+
 def _sorted_list(*columns: Column) -> Column:
     return F.array_sort(F.collect_list(F.struct(*columns)))
 
 
+def _positional(*columns: Column) -> Column:
+    """A JSON array of values of several types, as text; a missing value is ``null``."""
+    cells = [F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"}) for c in columns]
+    return F.concat(F.lit("["), F.concat_ws(",", *[F.substring(c, F.lit(6), F.length(c) - 6) for c in cells]), F.lit("]"))
+
+
+def _listed(items: Column) -> Column:
+    return F.concat(F.lit("["), F.coalesce(F.array_join(items, ","), F.lit("")), F.lit("]"))
+
+
 def compact_projects(projects: DataFrame, coupling: DataFrame, maintainability: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """Project rows under the short names of the compact format, one per project and snapshot.
 
@@ -37,10 +51,25 @@ def compact_projects(projects: DataFrame, coupling: DataFrame, maintainability:
     return joined.na.fill(0, ["id", "idx", "ed", "edb", "edp"]).na.fill(0.0, ["mi", "dr"]).select(*keys, "tc", "mc", "cc", "loc", "dit", "mi", "id", "idx", "dr", "ed", "edb", "edp", F.nullif("err", F.lit(0)).alias("err"), F.nullif("warn", F.lit(0)).alias("warn"))
 
 
-def compact_reports(snapshots: DataFrame, projects: DataFrame) -> DataFrame:
+def diagnostic_documents(diagnostics: DataFrame) -> DataFrame:
+    """``snapshot_id, diag``: three counts and one positional array per diagnostic, in order of position.
+
+    Every diagnostic is listed, also one without a project; a missing or unknown severity is 0.
+    """
+    code = F.when(F.col("severity").between(1, 3), F.col("severity")).otherwise(0)
+    item = _positional(F.col("project"), F.col("id"), code, F.col("message"), F.col("file"), F.col("line"), F.col("col_no"))
+    counts = [F.count_if(F.col("severity") == k).alias(n) for k, n in ((3, "e"), (2, "w"), (1, "i"))]
+    per = diagnostics.groupBy("snapshot_id").agg(*counts, F.transform(_sorted_list(F.col("pos"), item.alias("r")), lambda s: s["r"]).alias("d"))
+    head = F.concat(*[part for n in ("e", "w", "i") for part in (F.lit(f'"{n}":'), F.col(n).cast("string"), F.lit(","))])
+    return per.select("snapshot_id", F.concat(F.lit("{"), head, F.lit('"d":'), _listed(F.col("d")), F.lit("}")).alias("diag"))
+
+
+def compact_reports(snapshots: DataFrame, projects: DataFrame, graphs: DataFrame | None = None, diagnostics: DataFrame | None = None) -> DataFrame:
     """``snapshot_id, report``: one compact JSON document per snapshot, projects in name order.
 
-    A document holds the projects of one snapshot, which bounds it; nulls and defaults are left out.
+    A document holds the projects of one snapshot, which bounds it; nulls and defaults are left out. With
+    ``graphs`` (``snapshot_id, graph``) each has ``g``, with empty layers where there is none; with
+    ``diagnostics`` each snapshot that has any has ``diag``.
     """
     columns = [c for c in projects.columns if c != "snapshot_id"]
     listed = projects.groupBy("snapshot_id").agg(_sorted_list(*[F.col(c) for c in columns]).alias("prj"))
@@ -57,7 +86,15 @@ def compact_reports(snapshots: DataFrame, projects: DataFrame) -> DataFrame:
         F.col("tool_version").alias("toolVer"),
         (F.lower("analysis_mode") == "full").alias("hasCm"),
     )
-    return joined.select("snapshot_id", F.to_json(body, {"ignoreNullFields": "true"}).alias("report"))
+    text = F.to_json(body, {"ignoreNullFields": "true"})
+    parts = []
+    if graphs is not None:
+        joined = joined.join(graphs, "snapshot_id", "left")
+        parts.append(F.concat(F.lit(',"g":'), F.coalesce("graph", F.lit(f'{{"p":{NO_LAYER},"ns":{NO_LAYER}}}'))))
+    if diagnostics is not None:
+        joined = joined.join(diagnostic_documents(diagnostics), "snapshot_id", "left")
+        parts.append(F.coalesce(F.concat(F.lit(',"diag":'), F.col("diag")), F.lit("")))
+    return joined.select("snapshot_id", F.concat(F.substring(text, F.lit(1), F.length(text) - 1), *parts, F.lit("}")).alias("report"))
 
 
 def hierarchical_reports(types: DataFrame, methods: DataFrame) -> DataFrame:
@@ -75,14 +112,18 @@ def hierarchical_reports(types: DataFrame, methods: DataFrame) -> DataFrame:
 
 def graph_document(nodes: DataFrame, edges: DataFrame, columns: list[str]) -> DataFrame:
     """``snapshot_id, layer``: nodes and edges as positional arrays in one JSON object."""
-    cell = lambda c: F.to_json(F.struct(F.col(c).alias("x")))
-    value = lambda c: F.regexp_extract(cell(c), r'^\{"x":(.*)\}$', 1)
-    row = lambda cs: F.concat(F.lit("["), F.concat_ws(",", *[value(c) for c in cs]), F.lit("]"))
+    row = lambda cs: _positional(*[F.col(c) for c in cs])
     n = nodes.groupBy("snapshot_id").agg(F.transform(_sorted_list(F.col(columns[0]).alias("k"), row(columns).alias("r")), lambda s: s["r"]).alias("n"))
     e = edges.groupBy("snapshot_id").agg(F.array_sort(F.collect_list(row(["source", "target", "weight"]))).alias("e"))
     both = n.join(e, "snapshot_id", "left")
-    text = lambda c: F.concat(F.lit("["), F.coalesce(F.array_join(c, ","), F.lit("")), F.lit("]"))
-    return both.select("snapshot_id", F.concat(F.lit('{"n":'), text("n"), F.lit(',"e":'), text("e"), F.lit("}")).alias("layer"))
+    return both.select("snapshot_id", F.concat(F.lit('{"n":'), _listed(F.col("n")), F.lit(',"e":'), _listed(F.col("e")), F.lit("}")).alias("layer"))
+
+
+def graphs_of_layers(projects: DataFrame, namespaces: DataFrame) -> DataFrame:
+    """``snapshot_id, graph``: both layers in one JSON object; a layer that a snapshot lacks is empty."""
+    both = projects.withColumnRenamed("layer", "p").join(namespaces.withColumnRenamed("layer", "ns"), "snapshot_id", "full")
+    part = lambda c: F.coalesce(F.col(c), F.lit(NO_LAYER))
+    return both.select("snapshot_id", F.concat(F.lit('{"p":'), part("p"), F.lit(',"ns":'), part("ns"), F.lit("}")).alias("graph"))
 
 
 def write_json(df: DataFrame, path: str) -> None:

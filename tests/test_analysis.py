@@ -3,14 +3,18 @@
 import json
 import random
 from datetime import datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import coupling, diff, rollup
 from plumbline.operators.tokens import depth_of_inheritance, halstead
+from plumbline.plans import analysis_queries as A
 from plumbline.sources import files, frontend, reports
+from plumbline.sources.model import Model
 from plumbline.streaming.edges import drain, edge_stream, running_edges
+from tests.conftest import MIDDLE
 
 EDGE = "snapshot_id string, from_entity string, to_entity string, dep_type int, reference_count long"
 
@@ -195,6 +199,51 @@ def test_compact_report(spark):
     assert got["t"]["prj"] == [] and got["t"]["hasCm"] is False and "gitDirty" not in got["t"]
 
 
+def test_compact_report_holds_graph_and_diagnostics(spark):
+    snaps = spark.createDataFrame([(s, "x.sln", datetime(2025, 1, 1), "1", "Full", None, None, None, False) for s in "st"], "snapshot_id string, solution_path string, analyzed_at timestamp, tool_version string, analysis_mode string, commit_sha string, branch_name string, remote_url string, is_dirty boolean")
+    projects = spark.createDataFrame([("s", "A", 1)], "snapshot_id string, n string, tc int")
+    nodes = spark.createDataFrame([("s", 0, "A", 5), ("s", 1, 'B"\u2028', 0)], "snapshot_id string, node_id int, name string, loc int")
+    edges = spark.createDataFrame([("s", 1, 0, 7)], "snapshot_id string, source int, target int, weight int")
+    layer = reports.graph_document(nodes, edges, ["node_id", "name", "loc"])
+    graphs = reports.graphs_of_layers(layer, layer.limit(0))
+    found = [("s", 2, "A", "CS1", 3, 'no "x"\n\u2028', "a.cs", 4, 5), ("s", 1, None, "CS2", 2, None, "b.cs", None, 6), ("s", 10, "A", "CS3", 1, "m", "c.cs", 1, 1), ("s", 11, "A", "CS4", None, "m", "c.cs", 1, 1)]
+    diagnostics = spark.createDataFrame(found, "snapshot_id string, pos bigint, project string, id string, severity int, message string, file string, line int, col_no int")
+    got = {r["snapshot_id"]: json.loads(r["report"]) for r in reports.compact_reports(snaps, projects, graphs, diagnostics).collect()}
+    empty = {"n": [], "e": []}
+    assert got["s"]["g"] == {"p": {"n": [[0, "A", 5], [1, 'B"\u2028', 0]], "e": [[1, 0, 7]]}, "ns": empty}
+    assert got["s"]["diag"] == {"e": 1, "w": 1, "i": 1, "d": [[None, "CS2", 2, None, "b.cs", None, 6], ["A", "CS1", 3, 'no "x"\n\u2028', "a.cs", 4, 5], ["A", "CS3", 1, "m", "c.cs", 1, 1], ["A", "CS4", 0, "m", "c.cs", 1, 1]]}
+    assert got["t"]["g"] == {"p": empty, "ns": empty} and "diag" not in got["t"] and got["t"]["prj"] == []
+
+
+def test_reports_of_the_tables_hold_all_edges_and_diagnostics(spark):
+    m = Model(spark, MIDDLE)
+    got = {r["snapshot_id"]: json.loads(r["report"]) for r in A.QUERIES["k2_compact_reports"](spark, MIDDLE).collect()}
+    kept = m.diagnostics().join(m.snapshots().select("snapshot_id"), "snapshot_id", "left_semi")
+    assert sum(len(r["diag"]["d"]) for r in got.values() if "diag" in r) == kept.count() > 0
+    for layer, nodes, edges in (("p", "g4_project_nodes", "g4_project_edges"), ("ns", "g5_namespace_nodes", "g5_namespace_edges")):
+        want = {}
+        for r in A.QUERIES[edges](spark, MIDDLE).collect():
+            want.setdefault(r["snapshot_id"], []).append([r["source"], r["target"], r["weight"]])
+        assert (want or layer == "ns") and {s: sorted(r["g"][layer]["e"]) for s, r in got.items() if r["g"][layer]["e"]} == {s: sorted(e) for s, e in want.items() if s in got}
+        assert sum(len(r["g"][layer]["n"]) for r in got.values()) == sum(r["snapshot_id"] in got for r in A.QUERIES[nodes](spark, MIDDLE).collect())
+    assert {len(n) for r in got.values() for n in r["g"]["ns"]["n"]} == {11}
+
+
+def small_model(spark):
+    """One snapshot of two projects and two namespaces; the first uses the second at each level."""
+    return SimpleNamespace(
+        edges=lambda: spark.createDataFrame([("s", *r) for r in [("P", "Q", 0, 2), ("P", "Q", 0, 1), ("P", "Q", 0, 0), ("P.A", "Q.B", 2, 3), ("P.A", "Q.B", 2, 4), ("P.A", "P.A", 2, 9), ("Q.B", "System", 2, 1), ("P.A", "System.IO", 2, 1)]], EDGE),
+        projects=lambda: spark.createDataFrame([("s", "Q", None), ("s", "P", 7), ("s", None, 1)], "snapshot_id string, project_name string, total_loc int"),
+        types=lambda: spark.createDataFrame([(1, "s", "P", "P.A.T", "f", 1), (2, "s", "Q", "Q.B.U", "f", 1)], "type_id long, snapshot_id string, project string, full_name string, file_path string, depth_of_inheritance int"),
+        methods=lambda: spark.createDataFrame([(1, "s", "P", 1, "P.A.T.M()", 3, 5, 80.0)], "method_id long, snapshot_id string, project string, type_id long, full_name string, cyclomatic_complexity int, lines_of_executable_code int, maintainability_index double"),
+    )
+
+
+def test_graph_of_a_report_has_both_layers_and_all_fields(spark):
+    got = {r["snapshot_id"]: json.loads(r["graph"]) for r in A._graphs(small_model(spark)).collect()}
+    assert got == {"s": {"p": {"n": [[0, "P", 7], [1, "Q", 0]], "e": [[0, 1, 3]]}, "ns": {"n": [[0, "P.A", 5, 3, 80.0, 1, 1, 2, 1, 0.67, 1], [1, "Q.B", 0, 0, 0.0, 1, 0, 0, 1, 0.0, 1]], "e": [[0, 1, 7]]}}}
+
+
 def test_rendered_texts():
     totals = {f"{s}_{n}": 0 for s in ("base", "head") for n in ("projects", "types", "methods", "cc", "loc", "errors", "warnings", "info")} | {f"{n}_delta": 0 for n in ("projects", "types", "methods", "cc", "loc")}
     totals |= {"base_errors": 10, "head_errors": 3, "base_warnings": 5, "head_warnings": 15, "base_avg_mi": 85.0, "head_avg_mi": 70.0}
