@@ -514,8 +514,7 @@ def k3_hierarchical_reports(m: Model) -> DataFrame:
 
 @query("k2_graph_layers")
 def k2_graph_layers(m: Model) -> DataFrame:
-    nodes = durable(_namespace_nodes(m))
-    return graph_document(nodes, coupling.graph_edges(m.edges(), nodes, coupling.NAMESPACE, loops=False), ["node_id", "name", "loc", "cc", "mi", "tc", "mc"])
+    return _graphs(m)
 
 
 @query(

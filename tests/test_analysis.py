@@ -244,6 +244,13 @@ def test_graph_of_a_report_has_both_layers_and_all_fields(spark):
     assert got == {"s": {"p": {"n": [[0, "P", 7], [1, "Q", 0]], "e": [[0, 1, 3]]}, "ns": {"n": [[0, "P.A", 5, 3, 80.0, 1, 1, 2, 1, 0.67, 1], [1, "Q.B", 0, 0, 0.0, 1, 0, 0, 1, 0.0, 1]], "e": [[0, 1, 7]]}}}
 
 
+def test_graph_layers_query_gives_both_layers(spark):
+    got = [json.loads(r["graph"]) for r in A.QUERIES["k2_graph_layers"](spark, MIDDLE).collect()]
+    assert {len(n) for g in got for n in g["p"]["n"]} == {3} and {len(n) for g in got for n in g["ns"]["n"]} == {11}
+    assert sum(len(g["p"]["n"]) for g in got) == A.QUERIES["g4_project_nodes"](spark, MIDDLE).count()
+    assert sum(len(g["ns"]["n"]) for g in got) == A.QUERIES["g5_namespace_nodes"](spark, MIDDLE).count()
+
+
 def test_rendered_texts():
     totals = {f"{s}_{n}": 0 for s in ("base", "head") for n in ("projects", "types", "methods", "cc", "loc", "errors", "warnings", "info")} | {f"{n}_delta": 0 for n in ("projects", "types", "methods", "cc", "loc")}
     totals |= {"base_errors": 10, "head_errors": 3, "base_warnings": 5, "head_warnings": 15, "base_avg_mi": 85.0, "head_avg_mi": 70.0}
