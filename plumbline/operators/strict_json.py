@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
+from decimal import MAX_EMAX, MIN_EMIN, Context, Decimal
+from uuid import uuid4
 
 #: Payloads nested deeper than the parser's stack count as unreadable.
 _UNREADABLE = (ValueError, RecursionError)
@@ -12,7 +15,50 @@ def _no_constant(name: str) -> None:
     raise ValueError(name)
 
 
-_decoder = json.JSONDecoder(parse_constant=_no_constant)
+_NUMBER = re.compile(r"(-?)(0|[1-9]\d*)(?:\.(\d+))?(?:[eE]([+-]?\d+))?", re.ASCII)
+#: Digits up to which Python reads an integer at its default setting, with some room.
+_DIGITS = 4_000
+
+
+def spelled_number(text: str) -> str | None:
+    """One spelling per number, digits and power of ten, or None; never expands an exponent."""
+    m = _NUMBER.fullmatch(text)
+    if m is None:
+        return None
+    sign, whole, fraction, power = m[1], m[2], m[3] or "", m[4] or "0"
+    digits = (whole + fraction).lstrip("0")
+    short = digits.rstrip("0")
+    return f"n{sign}{short}e{_shifted(power, len(digits) - len(short) - len(fraction))}" if short else "n0"
+
+
+def _shifted(power: str, by: int) -> str:
+    if len(power) <= _DIGITS:
+        return str(int(power) + by)
+    context = Context(prec=len(power) + 20, Emax=MAX_EMAX, Emin=MIN_EMIN)
+    return format(context.add(Decimal(power), by), "f")
+
+
+class Number:
+    """A number that neither an integer of Python's usual length nor a double can hold, by its spelling."""
+
+    def __init__(self, text: str, kind: str):
+        self.text, self.kind = text, kind
+
+
+def _decimal(text: str) -> float | Number:
+    value = float(text)
+    if value - value == 0 and (value or spelled_number(text) == "n0"):
+        return value
+    return Number(spelled_number(text)[1:], "decimal")
+
+
+def _integer(text: str) -> int | Number:
+    return int(text) if len(text) <= _DIGITS else Number(text, "integer")
+
+
+_decoder = json.JSONDecoder(parse_constant=_no_constant, parse_float=_decimal)
+#: Slower, for texts with an integer that the first one refuses.
+_long_decoder = json.JSONDecoder(parse_constant=_no_constant, parse_float=_decimal, parse_int=_integer)
 
 
 def read_object(text: str | None) -> dict | None:
@@ -20,17 +66,34 @@ def read_object(text: str | None) -> dict | None:
 
     None for null, empty and blank texts, texts that break off or go on after the object, values
     other than objects, NaN and infinities. White space around the object is allowed; of a repeated
-    key the last value counts.
+    key the last value counts. A number beyond a double or of very many digits is a ``Number``.
     """
     if not text:
         return None
     try:
-        value = _decoder.decode(text)
+        try:
+            value = _decoder.decode(text)
+        except json.JSONDecodeError:
+            return None
+        except ValueError:
+            value = _long_decoder.decode(text)
     except _UNREADABLE:
         return None
     return value if isinstance(value, dict) else None
 
 
+#: Stands before a ``Number`` while it is written as a string; no text holds it by chance.
+_MARK = uuid4().hex
+_MARKED = re.compile(f'"{_MARK}([^"]*)"')
+
+
+def _marked(value: object) -> str:
+    if isinstance(value, Number):
+        return _MARK + value.text
+    raise TypeError(type(value))
+
+
 def canonical(value: object) -> str:
     """One spelling per value: sorted keys, no layout, ASCII only."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True, default=_marked)
+    return _MARKED.sub(r"\1", text) if _MARK in text else text

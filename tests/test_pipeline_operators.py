@@ -334,3 +334,21 @@ def test_blocked_windows_equal_plain_ones(spark):
 def test_strict_reader():
     assert read_object(' {"a":1} ') == {"a": 1} and read_object('{"a":1,"a":2}') == {"a": 2}
     assert read_object("﻿{}") is None and read_object('{"a":Infinity}') is None
+
+
+def test_numbers_beyond_a_double_and_of_very_many_digits(spark):
+    long = "7" * 5000
+    texts = [f'{{"a": 1e400, "b": {long}, "v": 1e400, "prj": [{{"n": "P", "x": 1e400, "y": {long}}}]}}', f'{{"a": 10.0e399, "c": {long}, "d": -1e-400, "f": 1e{long}}}', f'{{"a": 1, "b": {long}, "x": NaN}}', f'{{"b": {long}']
+    assert [read_object(t) is None for t in texts] == [False, False, True, True]
+    first, second = read_object(texts[0]), read_object(texts[1])
+    assert drift.json_type(first["a"]) == "decimal" and drift.json_type(first["b"]) == "integer"
+    assert drift.value_keys(first["a"]) == drift.value_keys(second["a"]) == ("n1e400", "n1e400") == drift.value_keys("1e400")[1:] * 2
+    assert drift.value_keys(first["b"]) == drift.value_keys(second["c"]) and drift.value_keys(second["d"]) == ("n-1e-400",) * 2
+    assert drift.value_keys(second["f"]) == (f"n1e{long}",) * 2
+    assert nested.canonical(first["prj"]) == f'[{{"n":"P","x":1e400,"y":{long}}}]'
+    df = spark.createDataFrame([("f", i, i, t) for i, t in enumerate(texts)], "feed string, seq_no long, report_id long, payload string")
+    got = {r["seq_no"]: r["_rescued"] for r in drift.ingest(df).collect()}
+    assert set(got) == {0, 1} and '"v":1e400' in got[0] and f'"b":{long}' in got[0]
+    events = {(r["seq_no"], r["field_name"], r["drift_kind"], r["old_field_name"]) for r in drift.drift_events(drift.ingest(df)).collect()}
+    assert {(1, "c", "renamed", "b"), (1, "d", "added", ""), (1, "v", "removed", "")} <= events and not any(e[1] == "a" for e in events)
+    assert [(r["report_id"], r["node"]) for r in nested.shred(df).collect()] == [(0, "prj[0]")]
