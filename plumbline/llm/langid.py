@@ -118,19 +118,27 @@ def words_of(sentence: str) -> str:
     return f" {' '.join(kept)} " if kept else ""
 
 
+def _outside_code(text: str) -> str:
+    """The text with code, tags and links blanked, at unchanged positions."""
+    return _BLANKED.sub(_blank, _FENCE.sub(_blank, text) if "```" in text else text)
+
+
+def _blank(found: re.Match[str]) -> str:
+    return re.sub(r"[^\r\n]", " ", found[0])
+
+
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """Full sentences of prose: start and end in ``text``, and the words that count.
 
     Code, tables, headings, tags, identifiers and fragments without an end mark are left out. A line comment
     is judged by its text, so that commented-out code is left out as code is.
     """
-    blank = lambda m: re.sub(r"[^\r\n]", " ", m[0])
-    shown = _BLANKED.sub(blank, _FENCE.sub(blank, text) if "```" in text else text)
+    shown = _outside_code(text)
     out = []
     for line in _LINE.finditer(shown):
         if _NO_PROSE.search(line[0]):
             continue
-        for m in _SENTENCE.finditer(_COMMENT.sub(blank, line[0])):
+        for m in _SENTENCE.finditer(_COMMENT.sub(_blank, line[0])):
             if not _ENDED.search(m[0]):
                 continue
             words = words_of(m[0])
@@ -300,56 +308,71 @@ def classify_known(profiles: Profiles, texts: list[str], known: dict[str, tuple[
     return np.array([b for b, _ in got]), np.array([x for _, x in got])
 
 
-def detect_batch(batch: pa.RecordBatch, profiles: Profiles, known: dict[str, tuple[int, float]] | None = None) -> pa.RecordBatch | None:
-    """Segment rows of one batch of (doc_id, text, lang)."""
+#: Language of a text of which nothing is known.
+UNKNOWN = "und"
+
+
+def nearest_language(text: str | None, profiles: Profiles) -> str:
+    """The nearest language of all words outside code, ``und`` where none is known."""
+    words = words_of(_outside_code(text)) if text else ""
+    best = profiles.classify([words])[0][0] if words else -1
+    return LANGUAGES[best] if best >= 0 else UNKNOWN
+
+
+def detect_batch(batch: pa.RecordBatch, profiles: Profiles, known: dict[str, tuple[int, float]] | None = None, every: bool = False) -> pa.RecordBatch | None:
+    """Segment rows of one batch of (doc_id, text, lang); with ``every``, a row without sentences for each other text."""
     held, flat = [], []
     for text in batch.column(1).to_pylist():
         got = sentences(text) if text else []
         held.append((len(flat), got))
         flat.extend(w for _, _, w in got)
-    if not flat:
+    if not flat and not every:
         return None
     best, lead = classify_known(profiles, flat, {} if known is None else known)
     rows = []
-    for doc, label, (at, got) in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), held, strict=True):
-        if got:
-            span = slice(at, at + len(got))
-            named = label_language(label)
-            rows.extend((doc, named, i, *x) for i, x in enumerate(segments_of(got, best[span], lead[span])))
+    for at_row, (doc, label, (at, got)) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), held, strict=True)):
+        named = label_language(label)
+        span = slice(at, at + len(got))
+        own = segments_of(got, best[span], lead[span]) if got else []
+        if every and not own:
+            text = batch.column(1)[at_row].as_py()
+            own = [(0, len(text or ""), nearest_language(text, profiles), 0.0, 0)]
+        rows.extend((doc, named, i, *x) for i, x in enumerate(own))
     types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32()]
     names = [c.split()[0] for c in SEGMENT.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names) if rows else None
 
 
-def _detecting(profiles: Profiles):
+def _detecting(profiles: Profiles, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, float]] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                out = detect_batch(batch.slice(at, 512), profiles, known)
+                out = detect_batch(batch.slice(at, 512), profiles, known, every)
                 if out is not None:
                     yield out
 
     return run
 
 
-def language_segments(documents: DataFrame, profiles: Profiles | None = None) -> DataFrame:
+def language_segments(documents: DataFrame, profiles: Profiles | None = None, every: bool = False) -> DataFrame:
     """Passages in one language: ``doc_id, lang_named, segment, begin, stop, lang, confidence, sentences``.
 
     ``begin`` and ``stop`` are character positions in the text, ``lang_named`` is the language its label
-    names (null for none). Null, empty and blank texts and texts without a full sentence give no rows.
+    names (null for none). Null, empty and blank texts and texts without a full sentence give no rows, or
+    with ``every`` one of no sentences and no confidence, in the language nearest to their words, else ``und``.
     One pass over whole texts, without a shuffle.
     """
     ship(documents.sparkSession)
     profiles = profiles or fit_profiles(labelled_sample(documents))
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").mapInArrow(_detecting(profiles), SEGMENT)
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").mapInArrow(_detecting(profiles, every), SEGMENT)
 
 
 def document_languages(segments: DataFrame) -> DataFrame:
-    """``doc_id, lang, confidence``: the language of most sentences, ties by code."""
-    per = segments.groupBy("doc_id", "lang").agg(F.sum("sentences").alias("n"), (F.sum(F.col("confidence") * F.col("sentences")) / F.sum("sentences")).alias("confidence"))
+    """``doc_id, lang, confidence, share``: the language of most sentences, ties by code; 0 where there is none."""
+    per = segments.groupBy("doc_id", "lang").agg(F.sum("sentences").alias("n"), F.coalesce(F.try_divide(F.sum(F.col("confidence") * F.col("sentences")), F.sum("sentences")), F.lit(0.0)).alias("confidence"))
     best = per.groupBy("doc_id").agg(F.min_by(F.struct("lang", "confidence"), F.struct(-F.col("n"), F.col("lang"))).alias("b"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    return best.select("doc_id", "b.lang", F.round("b.confidence", 6).alias("confidence"), (F.col("most") / F.col("all")).alias("share"))
+    return best.select("doc_id", "b.lang", F.round("b.confidence", 6).alias("confidence"), F.coalesce(F.try_divide("most", "all"), F.lit(0.0)).alias("share"))
 
 
 def unnamed_languages(segments: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return langid.document_languages(langid.language_segments(table(spark, folder, "documents")))
+    return langid.document_languages(langid.language_segments(table(spark, folder, "documents"), every=True))
 
 
 QUERIES: dict[str, Query] = {

@@ -112,3 +112,14 @@ def test_sample_is_bounded_and_whole_query_agrees_with_labels(spark):
 def test_no_labels_at_all_gives_no_languages(spark):
     df = spark.createDataFrame([(1, CLEAN["en"], None)], "doc_id long, text string, lang string")
     assert L.language_segments(df).count() == 0
+
+
+def test_every_document_has_a_language(spark, profiles):
+    texts = [None, "", "  ", "```csharp\nvar x = 1;\n```", "0x12 #536", "# " + CLEAN["de"][:-1], CLEAN["fr"], "Der nächtliche Bericht zählt alle Warnungen"]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in L.document_languages(L.language_segments(df, profiles, every=True)).collect()}
+    assert [got[i]["lang"] for i in range(len(texts))] == ["und"] * 5 + ["de", "fr", "de"]
+    assert [got[i]["confidence"] > 0 for i in range(len(texts))] == [False] * 6 + [True, False] and got[6]["share"] == 1.0
+    blank = df.where("doc_id < 3")
+    assert L.document_languages(L.language_segments(blank, profiles, every=True)).count() == 3 and L.language_segments(blank, profiles).count() == 0
+    assert queries.p9_documents(spark, MIDDLE).count() == spark.read.parquet(f"{MIDDLE}/documents.parquet").count()
