@@ -35,16 +35,28 @@ def _listed(items: Column) -> Column:
     return F.concat(F.lit("["), F.coalesce(F.array_join(items, ","), F.lit("")), F.lit("]"))
 
 
-def compact_projects(projects: DataFrame, coupling: DataFrame, maintainability: DataFrame, diagnostics: DataFrame) -> DataFrame:
+def package_counts(references: DataFrame) -> DataFrame:
+    """``snapshot_id, n, ed, edb, edp``: package references of each project in all, of the framework and of others.
+
+    ``references`` has ``snapshot_id, project, ref``, each reference of a project once, as ``project_items`` gives them.
+    """
+    per = references.groupBy("snapshot_id", F.col("project").alias("n")).agg(F.count("ref").alias("ed"), F.count_if(fn.is_bcl("ref")).alias("edb"))
+    return per.withColumn("edp", F.col("ed") - F.col("edb"))
+
+
+def compact_projects(projects: DataFrame, coupling: DataFrame, maintainability: DataFrame, diagnostics: DataFrame, references: DataFrame | None = None) -> DataFrame:
     """Project rows under the short names of the compact format, one per project and snapshot.
 
-    What is missing of a project's coupling, methods or diagnostics reads as zero.
+    What is missing of a project's coupling, methods or diagnostics reads as zero. ``ed``, ``edb`` and ``edp`` count
+    the package ``references``; without these they are those of the coupling, which has no external edges.
     """
     keys = ["snapshot_id", "n"]
     own = projects.where("project_name is not null").select(
         "snapshot_id", F.col("project_name").alias("n"), *[F.coalesce(F.col(c), F.lit(0)).alias(a) for c, a in (("type_count", "tc"), ("method_count", "mc"), ("total_cc", "cc"), ("total_loc", "loc"), ("max_dit", "dit"))]
     )
     ties = coupling.select("snapshot_id", F.col("entity").alias("n"), "id", "idx", fn.round_even("dr", 2).alias("dr"), "ed", "edb", "edp")
+    if references is not None:
+        ties = ties.drop("ed", "edb", "edp").join(package_counts(references), keys, "full_outer")
     mi = maintainability.select("snapshot_id", F.col("project").alias("n"), fn.round_even("avg_mi", 1).alias("mi"))
     found = diagnostics.select("snapshot_id", F.col("project").alias("n"), F.col("errors").alias("err"), F.col("warnings").alias("warn"))
     joined = own.join(mi, keys, "left").join(ties, keys, "left").join(found, keys, "left")

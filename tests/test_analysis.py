@@ -251,6 +251,19 @@ def test_graph_layers_query_gives_both_layers(spark):
     assert sum(len(g["ns"]["n"]) for g in got) == A.QUERIES["g5_namespace_nodes"](spark, MIDDLE).count()
 
 
+def test_compact_projects_count_package_references(spark):
+    names = spark.createDataFrame([("s", p, 1, 1, 1, 1, 1) for p in ("P", "Q", "R")], "snapshot_id string, project_name string, type_count int, method_count int, total_cc int, total_loc int, max_dit int")
+    ties = coupling.project_coupling(spark.createDataFrame([("s", "P", "Q", 0, 1)], EDGE), names.where("project_name != 'R'"))
+    mi = spark.createDataFrame([("s", "P", 80.0)], "snapshot_id string, project string, avg_mi double")
+    found = spark.createDataFrame([("s", "P", 1, 0)], "snapshot_id string, project string, errors int, warnings int")
+    texts = {"P": ["System.Text.Json", "Microsoft.Extensions.Options", "Tarnval", "tarnval"], "R": ["SystemX"]}
+    read = spark.createDataFrame([(p, "<P>" + "".join(f'<PackageReference Include="{r}"/>' for r in refs) + "</P>") for p, refs in texts.items()], "path string, content string")
+    refs = files.project_items(read, "PackageReference").select(F.lit("s").alias("snapshot_id"), F.col("path").alias("project"), "ref")
+    counts = lambda df: {r["n"]: (r["id"], r["idx"], r["ed"], r["edb"], r["edp"]) for r in df.collect()}
+    assert counts(reports.compact_projects(names, ties, mi, found, refs)) == {"P": (1, 0, 3, 2, 1), "Q": (0, 1, 0, 0, 0), "R": (0, 0, 1, 0, 1)}
+    assert counts(reports.compact_projects(names, ties, mi, found)) == {"P": (1, 0, 0, 0, 0), "Q": (0, 1, 0, 0, 0), "R": (0, 0, 0, 0, 0)}
+
+
 def test_rendered_texts():
     totals = {f"{s}_{n}": 0 for s in ("base", "head") for n in ("projects", "types", "methods", "cc", "loc", "errors", "warnings", "info")} | {f"{n}_delta": 0 for n in ("projects", "types", "methods", "cc", "loc")}
     totals |= {"base_errors": 10, "head_errors": 3, "base_warnings": 5, "head_warnings": 15, "base_avg_mi": 85.0, "head_avg_mi": 70.0}
