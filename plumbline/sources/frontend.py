@@ -27,6 +27,10 @@ _KINDS = frozenset(["class", "struct", "interface", "record"])
 _BRANCH = frozenset(["if", "while", "for", "foreach", "do", "catch", "&&", "||", "??", "case"])
 _BLOCKS = frozenset(["if", "while", "for", "foreach", "do", "switch", "try", "using", "lock"])
 _OPEN, _CLOSE = "([{", ")]}"
+_MODIFIERS = frozenset("public internal private protected static sealed abstract partial readonly unsafe file ref async extern global".split())
+_PREDEFINED = frozenset("void int string bool double float decimal long short byte char object uint ulong ushort sbyte".split())
+#: Type of a file's top-level statements.
+PROGRAM = "<Program>$"
 
 
 @dataclass
@@ -137,24 +141,90 @@ def _match(tokens: list[tuple[str, int]], at: int) -> int:
     return len(tokens) - 1
 
 
+def _name_start(words: list[str], at: int) -> int | None:
+    """The place of the method name before the parenthesis at ``at``, its type parameters stepped over; None for none."""
+    i, depth = at - 1, 0
+    while i >= 0 and (depth or set(words[i]) == {">"}):
+        depth += words[i].count(">") - words[i].count("<")
+        if depth < 0 or words[i] == "operator" or not re.fullmatch(r"\w+|[<>]+|[,.?\[\]]", words[i]):
+            return None
+        i -= 1
+    return i if i >= 0 and re.fullmatch(r"[A-Za-z_]\w*", words[i]) and words[i] not in _PASSIVE else None
+
+
+def _local_functions(words: list[str]) -> list[tuple[int, int, int, int]]:
+    """First token, name, begin of the body and last token of each function declared among statements."""
+    out, pairs = [], [(w, 0) for w in words]
+    for i, t in enumerate(words):
+        name = _name_start(words, i) if t == "(" else None
+        before = words[name - 1] if name else ""
+        if not (before in _PREDEFINED or before in (">", "]", "?", ")") or re.fullmatch(r"[A-Za-z_]\w*", before) and before not in _PASSIVE and before not in ("await", "new", "return", "async")):
+            continue
+        close = _match(pairs, i)
+        stop = close + 1
+        if words[stop : stop + 1] == ["where"]:
+            stop = next((k for k in range(stop, len(words)) if words[k] in ("{", ";", "=>")), len(words))
+        if stop >= len(words) or words[stop] not in ("{", "=>"):
+            continue
+        last = _match(pairs, stop) if words[stop] == "{" else next((k for k in range(stop, len(words)) if words[k] == ";"), len(words) - 1)
+        first = name - 1
+        while first > 0 and words[first - 1] not in (";", "{", "}"):
+            first -= 1
+        out.append((first, name, stop, last))
+    return out
+
+
 def analyse(path: str, text: str) -> list[tuple]:
     """Rows ``kind, file_path, name, parent, start_line, end_line, complexity, lines, volume, index, bases, uses`` of one file.
 
     Kinds are type, method, using and use. Methods and uses of nested types belong to the nested type. A use is
     a capitalised name in a type, its bases included, that is no member of something else; ``uses`` counts it.
+    Statements outside types are the method Main of a type ``<Program>$``, which is measured with all bodies of the file,
+    and their local functions are further methods of it.
     """
     tokens = lex(text)
     words = [t for t, _ in tokens]
     rows: list[tuple] = []
     owners: list[tuple[int, int, str]] = []
     spaces: list[str] = []
+    loose: list[tuple[str, int]] = []
+    bodies: list[str] = []
+    directives = {n for n, x in enumerate(text.split("\n"), 1) if x.lstrip().startswith("#")}
+
+    def statement(i: int, end: int) -> int:
+        """The place after the statement at ``i``, or after what is none: an attribute, a modifier, an enum or a delegate."""
+        t, line = tokens[i]
+        if t in ("}", ";") or line in directives:
+            return i + 1
+        if t == "[":
+            return _match(tokens, i) + 1
+        ahead = i
+        while ahead < end and words[ahead] in _MODIFIERS:
+            ahead += 1
+        if ahead < end and words[ahead] in {*_KINDS, "enum", "delegate", "using", "namespace", "alias"}:
+            if words[ahead] == "enum":
+                return _match(tokens, next((k for k in range(ahead, end) if words[k] == "{"), end - 1)) + 1
+            if words[ahead] in ("delegate", "alias"):
+                return next((k for k in range(ahead, end) if words[k] == ";"), end) + 1
+            if ahead > i:
+                return ahead
+        k = i
+        while k < end and words[k] != ";":
+            if words[k] in _OPEN:
+                k = _match(tokens, k)
+                if words[k] == "}" and words[k + 1 : k + 2] not in ([";"], [","], ["."], [")"], ["while"]):
+                    break
+            k += 1
+        loose.extend(x for x in tokens[i : min(k + 1, end)] if x[1] not in directives)
+        return k + 1
 
     def scan(i: int, end: int, scope: str, in_type: bool) -> None:
+        begin = i
         while i < end:
             t, line = tokens[i]
             after = words[i + 1] if i + 1 < end else ""
-            if t == "using" and not in_type and after not in ("(", "var", ""):
-                stop = next((k for k in range(i, end) if words[k] == ";"), end)
+            stop = next((k for k in range(i, end) if words[k] == ";"), end) if t == "using" else end
+            if t == "using" and not in_type and after not in ("(", "var", "") and not (scope == "" and {"(", "new"} & set(words[i + 1 : stop])):
                 name = "".join(w for w in words[i + 1 : stop] if w != "static")
                 rows.append(("using", path, name.rpartition("=")[2], scope, line, line, None, None, None, None, None, None))
                 i = stop + 1
@@ -180,22 +250,26 @@ def analyse(path: str, text: str) -> list[tuple]:
                 if stop < end and words[stop] == "{":
                     scan(stop + 1, close, full, True)
                 i = close + 1
-            elif in_type and t == "(" and i and re.fullmatch(r"[A-Za-z_]\w*", words[i - 1]) and words[i - 1] not in _PASSIVE:
+            elif in_type and t == "[" and (i == begin or words[i - 1] in (";", "{", "}", "]")):
+                i = _match(tokens, i) + 1
+            elif in_type and t == "(" and (named := _name_start(words, i)) is not None and named >= begin:
                 close = _match(tokens, i)
                 stop = next((k for k in range(close, end) if words[k] in ("{", ";", "=>", "=")), end)
                 if stop >= end or words[stop] == "=":
                     i = close + 1
                     continue
-                first = i - 1
+                first = named
                 while first > 0 and words[first - 1] not in (";", "{", "}"):
                     first -= 1
-                name = f"{scope}.{words[i - 1]}({_parameters(words[i + 1 : close])})"
+                name = f"{scope}.{''.join(words[named:i]).replace(',', ', ')}({_parameters(words[i + 1 : close])})"
                 if words[stop] == "{":
                     last = _match(tokens, stop)
+                    bodies.extend(words[stop + 1 : last])
                     m = measure(words[stop + 1 : last])
                     shown = (m.complexity, m.lines, m.volume, m.index())
                 elif words[stop] == "=>":
                     last = next((k for k in range(stop, end) if words[k] == ";"), end - 1)
+                    bodies.extend(words[stop + 1 : last])
                     m = measure(words[stop + 1 : last])
                     shown = (m.complexity, m.lines or 1, m.volume, m.index())
                 else:
@@ -205,9 +279,18 @@ def analyse(path: str, text: str) -> list[tuple]:
             elif in_type and t in ("{", "="):
                 i = _match(tokens, i) + 1 if t == "{" else next((k for k in range(i, end) if words[k] == ";"), end) + 1
             else:
-                i += 1
+                i = i + 1 if in_type or scope else statement(i, end)
 
     scan(0, len(tokens), "", False)
+    if loose:
+        said = [t for t, _ in loose]
+        m = measure(said + bodies)
+        rows.append(("type", path, PROGRAM, "", loose[0][1], loose[-1][1], None, None, None, None, "", None))
+        rows.append(("method", path, f"{PROGRAM}.Main(string[])", PROGRAM, loose[0][1], loose[-1][1], m.complexity, m.lines, m.volume, m.index(), None, None))
+        for first, name, stop, last in _local_functions(said):
+            m = measure(said[stop + 1 : last])
+            lines = m.lines or (1 if said[stop] == "=>" else 0)
+            rows.append(("method", path, f"{PROGRAM}.{said[name]}()", PROGRAM, loose[first][1], loose[last][1], m.complexity, lines, m.volume, m.index(), None, None))
     if spaces:  # an import before any namespace is one of the file's first namespace
         rows = [(*r[:3], spaces[0], *r[4:]) if r[0] == "using" and not r[3] else r for r in rows]
     counts: Counter = Counter()

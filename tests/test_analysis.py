@@ -147,6 +147,41 @@ record R(int X);
     assert [r["name"] for r in rows if r["kind"] == "using"] == ["System.Text"]
 
 
+def test_source_facts_of_generic_methods_attributes_and_statements():
+    code = """using System;
+namespace A;
+[Serializable("x")]
+public class C {
+    T Load<T>(int x) { if (x > 1) { return f; } return g; }
+    [Obsolete("x")] public void Foo() { f++; }
+    [A, B(1)]
+    [C(2)]
+    public Map<K, List<V>> Twice<K, V>(K k) where K : new() => k;
+    int[] g = new[] { 1 };
+    public static bool operator >(C a, C b) { return true; }
+}
+"""
+    methods = {r[2]: r[6:8] for r in frontend.analyse("x.cs", code) if r[0] == "method"}
+    assert methods == {"A.C.Load<T>(int)": (2, 3), "A.C.Foo()": (1, 1), "A.C.Twice<K, V>(K)": (1, 1)}
+    program = """#nullable enable
+using System;
+[assembly: X("y")]
+var b = Make(1);
+if (b > 1) { Console.WriteLine(Add(1, 2)); } else { b--; }
+using var r = Open("x");
+static int Add(int x, int y) => x + y;
+T Get<T>(T t) where T : class { while (true) { t = null; } }
+public enum E { A, B }
+internal delegate void D(int x);
+public sealed class K { void Go() { if (f) { f(); } } }
+"""
+    rows = frontend.analyse("p.cs", program)
+    assert [r[2] for r in rows if r[0] == "type"] == ["K", "<Program>$"] and [r[2] for r in rows if r[0] == "using"] == ["System"]
+    methods = {r[2]: r[4:8] for r in rows if r[0] == "method"}
+    assert methods["<Program>$.Main(string[])"][:3] == (4, 8, 4) and methods["<Program>$.Add()"] == (7, 7, 1, 1) and methods["<Program>$.Get()"] == (8, 8, 2, 2) and set(methods) == {"K.Go()", "<Program>$.Main(string[])", "<Program>$.Add()", "<Program>$.Get()"}
+    assert not any("Program" in r[2] for r in frontend.analyse("q.cs", "using A;\n#if X\nusing B;\n#endif\n[X]\npublic enum E { A }\npublic partial record R(int X);\nclass C { }\n}"))
+
+
 def test_reference_edges(spark):
     one = "using B;\nnamespace A { class X : Base { B.Y y; Y z; Other.Y w; void M() { Y.Go(); Helper h; Unknown u; } } class Helper { X x; } }"
     two = "namespace B { class Y { } class Base { } } namespace C { class Y { } }"
