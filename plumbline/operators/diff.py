@@ -9,6 +9,8 @@ from plumbline.functions.metrics import is_bcl, round_even
 
 #: Measures of a project that are compared.
 PROJECT_MEASURES = ["type_count", "method_count", "total_cc", "total_loc", "max_dit", "error_count", "warning_count"]
+#: Those of the index, the coupling and the packages, with the digits of their deltas.
+FURTHER_MEASURES = {"mi": 1, "id": 0, "idx": 0, "dr": 2, "ed": 0, "edb": 0, "edp": 0}
 
 
 def _sides(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -17,19 +19,23 @@ def _sides(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return base, head
 
 
-def project_diff(projects: DataFrame, pairs: DataFrame) -> DataFrame:
+def project_diff(projects: DataFrame, pairs: DataFrame, further: dict[str, int] | None = None) -> DataFrame:
     """Full outer join of the projects of each pair by name without regard to case, with deltas.
 
-    The missing side reads as zeros. The shown name is the head's, else the base's.
+    The missing side reads as zeros. The shown name is the head's, else the base's. ``further`` measures are
+    compared too, by their names with the digits to which their deltas are rounded.
     """
+    further = further or {}
+    measures = [*PROJECT_MEASURES, *further]
+    kind = {m: "double" if further.get(m) else "bigint" for m in measures}
     key = F.lower("project_name")
-    own = projects.where("project_name is not null").select("snapshot_id", key.alias("key"), "project_name", *[F.coalesce(F.col(m).cast("bigint"), F.lit(0).cast("bigint")).alias(m) for m in PROJECT_MEASURES])
+    own = projects.where("project_name is not null").select("snapshot_id", key.alias("key"), "project_name", *[F.coalesce(F.col(m).cast(kind[m]), F.lit(0).cast(kind[m])).alias(m) for m in measures])
     base, head = _sides(own, pairs)
-    base = base.select("head_snapshot_id", "key", F.struct("project_name", *PROJECT_MEASURES).alias("b"))
-    head = head.select("head_snapshot_id", "key", F.struct("project_name", *PROJECT_MEASURES).alias("h"))
-    zero = F.lit(0).cast("bigint")
-    side = lambda s, m: F.coalesce(F.col(f"{s}.{m}"), zero)
-    columns = [c for m in PROJECT_MEASURES for c in (side("b", m).alias(f"base_{m}"), side("h", m).alias(f"head_{m}"), (side("h", m) - side("b", m)).alias(f"{m}_delta"))]
+    base = base.select("head_snapshot_id", "key", F.struct("project_name", *measures).alias("b"))
+    head = head.select("head_snapshot_id", "key", F.struct("project_name", *measures).alias("h"))
+    side = lambda s, m: F.coalesce(F.col(f"{s}.{m}"), F.lit(0).cast(kind[m]))
+    delta = lambda m: round_even(side("h", m) - side("b", m), further[m]) if further.get(m) else side("h", m) - side("b", m)
+    columns = [c for m in measures for c in (side("b", m).alias(f"base_{m}"), side("h", m).alias(f"head_{m}"), delta(m).alias(f"{m}_delta"))]
     return base.join(head, ["head_snapshot_id", "key"], "full_outer").select(
         "head_snapshot_id", F.coalesce("h.project_name", "b.project_name").alias("project"), F.col("b").isNull().alias("is_added"), F.col("h").isNull().alias("is_removed"), *columns
     )

@@ -549,6 +549,21 @@ def t12_largest_changes(m: Model) -> DataFrame:
     return both.withColumn("rank_no", F.row_number().over(w)).where("rank_no <= 10").select("head_snapshot_id", "project", "total_cc_delta", "rank_no")
 
 
+@query("j1_all_measures")
+def j1_all_measures(m: Model) -> DataFrame:
+    """All 14 measures of a project; ``j1_project_diff`` has the seven that its SQL has."""
+    more = _compact_projects(m).select(F.col("snapshot_id").alias("_s"), "n", *diff.FURTHER_MEASURES)
+    wide = m.projects().join(more, (F.col("snapshot_id") == F.col("_s")) & (F.col("project_name") == F.col("n")), "left")
+    return diff.project_diff(durable(wide.drop("_s", "n")), _pairs(m), diff.FURTHER_MEASURES)
+
+
+@query("t12_maintainability_changes")
+def t12_maintainability_changes(m: Model) -> DataFrame:
+    both = j1_all_measures(m).where("not is_added and not is_removed")
+    w = Window.partitionBy("head_snapshot_id").orderBy(F.abs("mi_delta").desc(), "project")
+    return both.withColumn("rank_no", F.row_number().over(w)).where("rank_no <= 10").select("head_snapshot_id", "project", "mi_delta", "rank_no")
+
+
 @query("sf_source_facts")
 def sf_source_facts(m: Model) -> DataFrame:
     """The C# front end over the code blocks of documents, each wrapped in a type so that it has members."""

@@ -299,6 +299,28 @@ def test_compact_projects_count_package_references(spark):
     assert counts(reports.compact_projects(names, ties, mi, found)) == {"P": (1, 0, 0, 0, 0), "Q": (0, 1, 0, 0, 0), "R": (0, 0, 0, 0, 0)}
 
 
+def test_all_measures_of_a_project_are_compared(spark):
+    measures = [*diff.PROJECT_MEASURES, *diff.FURTHER_MEASURES]
+    rows = [("a", "P", *[1] * 7, 70.06, 2, 1, 0.666, 0, 0, 0), ("b", "p", *[3] * 7, 60.0, 1, 1, 0.5, 3, 2, 1), ("b", "Q", *[2] * 7, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "snapshot_id string, project_name string, " + ", ".join(f"{m} {'double' if m in ('mi', 'dr') else 'long'}" for m in measures))
+    pairs = spark.createDataFrame([("b", "a")], "head_snapshot_id string, base_snapshot_id string")
+    got = by(diff.project_diff(df, pairs, diff.FURTHER_MEASURES), "project")
+    assert len(measures) == 14 and [got["p"][f"{m}_delta"] for m in measures] == [2] * 7 + [-10.1, -1, 0, -0.17, 3, 2, 1]
+    assert got["Q"]["is_added"] and got["Q"]["mi_delta"] == 0 and set(by(diff.project_diff(df, pairs), "project")) == {"p", "Q"}
+
+
+def test_rank_by_maintainability_agrees_with_the_measures(spark):
+    got = A.QUERIES["j1_all_measures"](spark, MIDDLE).collect()
+    narrow = A.QUERIES["j1_project_diff"](spark, MIDDLE)
+    assert sorted(tuple(r[c] for c in narrow.columns) for r in got) == sorted(map(tuple, narrow.collect())) and any(r["mi_delta"] for r in got)
+    want = {}
+    for r in got:
+        if not r["is_added"] and not r["is_removed"]:
+            want.setdefault(r["head_snapshot_id"], []).append((-abs(r["mi_delta"]), r["project"]))
+    ranked = {(r["head_snapshot_id"], r["rank_no"]): r["project"] for r in A.QUERIES["t12_maintainability_changes"](spark, MIDDLE).collect()}
+    assert ranked == {(s, i + 1): p for s, v in want.items() for i, (_, p) in enumerate(sorted(v)[:10])}
+
+
 def test_rendered_texts():
     totals = {f"{s}_{n}": 0 for s in ("base", "head") for n in ("projects", "types", "methods", "cc", "loc", "errors", "warnings", "info")} | {f"{n}_delta": 0 for n in ("projects", "types", "methods", "cc", "loc")}
     totals |= {"base_errors": 10, "head_errors": 3, "base_warnings": 5, "head_warnings": 15, "base_avg_mi": 85.0, "head_avg_mi": 70.0}
