@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.strict_json import canonical, read_object
-from plumbline.session import ship
+from plumbline.session import broadcast_if_small, durable, ship
 
 
 @dataclass(frozen=True)
@@ -41,6 +41,19 @@ COMPACT = Shape(
     },
 )
 
+#: Levels that the engine's JSON functions read; an own field nested deeper stands in the body as a string of its JSON text.
+_ENGINE_DEPTH = 900
+
+
+def _deeper(value: list | dict, most: int) -> bool:
+    level: list = [value]
+    for _ in range(most):
+        level = [y for x in level for y in (x.values() if isinstance(x, dict) else x) if isinstance(y, (list, dict))]
+        if not level:
+            return False
+    return True
+
+
 BRIDGE = "report_id bigint, level string, node string, parent_node string, field string, ordinal int, object_hash string, parent_hash string, body string"
 
 
@@ -70,6 +83,8 @@ class _Shredder:
                     rest[str(position)] = element
             own[field] = {"length": len(elements), "array": isinstance(item, list)} | ({"rest": rest} if rest else {})
         body = canonical(own)
+        if body.count("[") + body.count("{") > _ENGINE_DEPTH:
+            body = canonical({k: canonical(v) if isinstance(v, (list, dict)) and _deeper(v, _ENGINE_DEPTH) else v for k, v in own.items()})
         links = "".join(f"\n{field}[{position}]{digest}" for _, _, field, position, digest, _ in sorted(held, key=lambda h: (h[2], h[3])))
         mine = blake2b(f"{level}\n{body}{links}".encode(), digest_size=16).hexdigest()
         self.rows.extend((report, kind, at, path, field, position, digest, mine, child) for kind, at, field, position, digest, child in held)
@@ -82,10 +97,7 @@ def shred_one(report: int | None, payload: str | None, shape: Shape = COMPACT) -
     if value is None:
         return []
     shredder = _Shredder(shape)
-    try:
-        shredder.identity(shape.top, value, "", report)
-    except RecursionError:
-        return []
+    shredder.identity(shape.top, value, "", report)
     return shredder.rows
 
 
@@ -135,6 +147,9 @@ def object_store(bridge: DataFrame) -> DataFrame:
     return bridge.groupBy("object_hash", "level").agg(F.max("body").alias("body"), F.count(F.lit(1)).alias("occurrences"))
 
 
+#: Occurrences from which an object is spread over salts, and their number. There are at most rows / HOT such objects.
+HOT, SALTS = 100_000, 64
+
 #: Fixed short names of the compact report format with the names and types of the flat tables.
 COLUMNS = {
     "project": {"n": ("name", "string"), "tc": ("type_count", "int"), "mc": ("method_count", "int"), "cc": ("total_cc", "int"), "loc": ("total_loc", "int"), "dit": ("max_dit", "int"), "mi": ("avg_mi", "double"), "id": ("internal_deps", "int"), "idx": ("internal_dependents", "int"), "dr": ("dependency_ratio", "double"), "ed": ("external_deps", "int"), "edb": ("external_bcl", "int"), "edp": ("external_packages", "int"), "err": ("errors", "int"), "warn": ("warnings", "int")},
@@ -148,13 +163,22 @@ def flat_table(bridge: DataFrame, level: str) -> DataFrame:
     """The rows of one level with their own fields as typed columns and the link to their parent.
 
     ``bridge`` is read twice (occurrences and bodies); cut its lineage first. Fields are read from an
-    object's stored body, once per distinct object; a value that does not fit its type is null.
+    object's stored body, once per distinct object; a value that does not fit its type is null. An object that
+    may occur in a large part of all rows is spread: its stored row is repeated once per salt, and its
+    occurrences take salts in turn, so that no task gets all of them.
     """
     own = bridge.where(F.col("level") == level)
-    fields = [F.expr(f"try_cast(get_json_object(body, '$.{short}') as {kind})").alias(name) for short, (name, kind) in COLUMNS[level].items()]
-    objects = object_store(own).select(F.col("object_hash").alias("_hash"), *fields)
+    names = COLUMNS[level]
+    store = durable(object_store(own))
+    read = F.from_json("body", ", ".join(f"`{short}` string" for short in names)).alias("b")
+    fields = [F.expr(f"try_cast(b.`{short}` as {kind})").alias(name) for short, (name, kind) in names.items()]
+    last = F.when(F.col("occurrences") > HOT, SALTS - 1).otherwise(0)
+    objects = store.select(F.col("object_hash").alias("_hash"), read, F.explode(F.sequence(F.lit(0), last)).alias("_salt")).select("_hash", "_salt", *fields)
+    hot = broadcast_if_small(durable(store.where(F.col("occurrences") > HOT).select(F.col("object_hash").alias("_hot"))))
+    occurrences = own.select("report_id", "node", "parent_node", "field", "ordinal", "object_hash", "parent_hash").join(hot, F.col("object_hash") == F.col("_hot"), "left")
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("report_id", "node"), F.lit(SALTS)).cast("int")).otherwise(0)
     return (
-        own.select("report_id", "node", "parent_node", "field", "ordinal", "object_hash", "parent_hash")
-        .join(objects, F.col("object_hash") == F.col("_hash"))
-        .drop("_hash")
+        occurrences.withColumn("_at", salt)
+        .join(objects, (F.col("object_hash") == F.col("_hash")) & (F.col("_at") == F.col("_salt")))
+        .drop("_hash", "_hot", "_at", "_salt")
     )

@@ -1,15 +1,13 @@
-"""Strict reading and canonical writing of JSON texts."""
+"""Strict reading and canonical writing of JSON texts, whatever their depth."""
 
 from __future__ import annotations
 
 import json
 import re
 from decimal import MAX_EMAX, MIN_EMIN, Context, Decimal
+from json.decoder import scanstring
 from uuid import uuid4
 
-#: Payloads nested deeper than the parser's stack count as unreadable.
-_UNREADABLE = (ValueError, RecursionError)
-
 
 def _no_constant(name: str) -> None:
     raise ValueError(name)
@@ -46,10 +44,12 @@ class Number:
 
 
 def _decimal(text: str) -> float | Number:
+    """A double where it is worth exactly what is spelled; a double of up to 15 digits always is."""
     value = float(text)
-    if value - value == 0 and (value or spelled_number(text) == "n0"):
+    if len(text) <= 16 and "e" not in text and "E" not in text:
         return value
-    return Number(spelled_number(text)[1:], "decimal")
+    spelled = spelled_number(text)
+    return value if value - value == 0 and spelled_number(repr(value)) == spelled else Number(spelled[1:], "decimal")
 
 
 def _integer(text: str) -> int | Number:
@@ -60,26 +60,140 @@ _decoder = json.JSONDecoder(parse_constant=_no_constant, parse_float=_decimal)
 #: Slower, for texts with an integer that the first one refuses.
 _long_decoder = json.JSONDecoder(parse_constant=_no_constant, parse_float=_decimal, parse_int=_integer)
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_ATOM = re.compile(r"(-?(?:0|[1-9]\d*)((?:\.\d+)?(?:[eE][+-]?\d+)?))|true|false|null", re.ASCII)
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _key(text: str, at: int) -> tuple[str, int]:
+    """The key at ``at`` or after the space there, and the place behind its colon."""
+    at = _SPACE.match(text, at).end()
+    if text[at : at + 1] != '"':
+        raise ValueError(at)
+    key, at = scanstring(text, at + 1, True)
+    at = _SPACE.match(text, at).end()
+    if text[at : at + 1] != ":":
+        raise ValueError(at)
+    return key, at + 1
+
+
+def _deep_value(text: str, at: int) -> tuple[object, int]:
+    """The value at ``at`` and the place behind it, read with a stack of its own instead of the interpreter's."""
+    open_ones: list[tuple[dict | list, str | None]] = []
+    while True:
+        at = _SPACE.match(text, at).end()
+        sign = text[at : at + 1]
+        if sign in ("{", "["):
+            held: dict | list = {} if sign == "{" else []
+            after = _SPACE.match(text, at + 1).end()
+            if text[after : after + 1] == ("}" if sign == "{" else "]"):
+                value, at = held, after + 1
+            else:
+                key, at = _key(text, after) if sign == "{" else (None, after)
+                open_ones.append((held, key))
+                continue
+        elif sign == '"':
+            value, at = scanstring(text, at + 1, True)
+        else:
+            m = _ATOM.match(text, at)
+            if m is None:
+                raise ValueError(at)
+            at = m.end()
+            value = _WORDS[m[0]] if m[1] is None else _decimal(m[0]) if m[2] else _integer(m[0])
+        while True:  # the value is complete: it goes to what holds it, which may be complete too
+            if not open_ones:
+                return value, at
+            held, key = open_ones[-1]
+            if key is None:
+                held.append(value)
+            else:
+                held[key] = value
+            at = _SPACE.match(text, at).end()
+            sign = text[at : at + 1]
+            if sign == ",":
+                if key is not None:
+                    key, at = _key(text, at + 1)
+                    open_ones[-1] = (held, key)
+                else:
+                    at += 1
+                break
+            if sign != ("]" if key is None else "}"):
+                raise ValueError(at)
+            value, at = held, at + 1
+            open_ones.pop()
+
+
+def _whole(text: str) -> object:
+    value, at = _deep_value(text, 0)
+    if _SPACE.match(text, at).end() != len(text):
+        raise ValueError(at)
+    return value
+
+
+def read_value(text: str) -> object:
+    """The value that ``text`` is; ValueError where it is none."""
+    for read in (_decoder.decode, _long_decoder.decode, _whole):
+        try:
+            return read(text)
+        except json.JSONDecodeError:
+            raise
+        except (ValueError, RecursionError):
+            if read is _whole:
+                raise
+
 
 def read_object(text: str | None) -> dict | None:
     """The object that ``text`` is, or None.
 
     None for null, empty and blank texts, texts that break off or go on after the object, values
     other than objects, NaN and infinities. White space around the object is allowed; of a repeated
-    key the last value counts. A number beyond a double or of very many digits is a ``Number``.
+    key the last value counts. A number beyond a double or of very many digits is a ``Number``. Depth
+    has no limit.
     """
     if not text:
         return None
     try:
+        value = read_value(text)
+    except ValueError:
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def read_fields(text: str | None) -> dict[str, tuple[object, str]] | None:
+    """The fields of the object that ``text`` is, each with its value and its own text, or None as ``read_object``."""
+    if not text:
+        return None
+    for scan in (_decoder.scan_once, _long_decoder.scan_once, _deep_value):
         try:
-            value = _decoder.decode(text)
-        except json.JSONDecodeError:
+            return _fields(text, scan)
+        except (json.JSONDecodeError, StopIteration):
             return None
-        except ValueError:
-            value = _long_decoder.decode(text)
-    except _UNREADABLE:
+        except (ValueError, RecursionError):
+            continue
+    return None
+
+
+def _fields(text: str, scan) -> dict[str, tuple[object, str]] | None:
+    at = _SPACE.match(text).end()
+    if text[at : at + 1] != "{":
         return None
-    return value if isinstance(value, dict) else None
+    out: dict[str, tuple[object, str]] = {}
+    at = _SPACE.match(text, at + 1).end()
+    if text[at : at + 1] == "}":
+        at += 1
+    else:
+        while True:
+            key, at = _key(text, at)
+            begin = _SPACE.match(text, at).end()
+            value, stop = scan(text, begin)
+            out[key] = (value, text[begin:stop])
+            at = _SPACE.match(text, stop).end()
+            sign, at = text[at : at + 1], at + 1
+            if sign == "}":
+                break
+            if sign != ",":
+                return None
+    return out if _SPACE.match(text, at).end() == len(text) else None
 
 
 #: Stands before a ``Number`` while it is written as a string; no text holds it by chance.
@@ -93,7 +207,37 @@ def _marked(value: object) -> str:
     raise TypeError(type(value))
 
 
+_encoder = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=True, default=_marked)
+
+
 def canonical(value: object) -> str:
-    """One spelling per value: sorted keys, no layout, ASCII only."""
-    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True, default=_marked)
+    """One spelling per value: sorted keys, no layout, ASCII only. Depth has no limit."""
+    try:
+        text = _encoder.encode(value)
+    except RecursionError:
+        text = _deep_text(value)
     return _MARKED.sub(r"\1", text) if _MARK in text else text
+
+
+def _deep_text(value: object) -> str:
+    """``canonical`` with a list of what is still to write; a tuple there is finished text."""
+    out: list[str] = []
+    todo: list[object] = [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            out.append(x[0])
+        elif isinstance(x, list):
+            todo.append(("]",))
+            for i in range(len(x) - 1, -1, -1):
+                todo.extend((x[i], ("," if i else "",)))
+            todo.append(("[",))
+        elif isinstance(x, dict):
+            todo.append(("}",))
+            names = sorted(x)
+            for i in range(len(names) - 1, -1, -1):
+                todo.extend((x[names[i]], (f"{',' if i else ''}{_encoder.encode(names[i])}:",)))
+            todo.append(("{",))
+        else:
+            out.append(_encoder.encode(x))
+    return "".join(out)

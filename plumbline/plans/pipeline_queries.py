@@ -36,9 +36,9 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The consistent table of all files, with ``run`` and ``toolVer`` promoted from the rescued fields."""
-    rows = drift.ingest(table(spark, folder, "compact_reports")).drop("_fields")
-    return drift.promote(drift.promote(rows, "run", "bigint"), "toolVer", "string")
+    """The consistent table of all files: found renames and other types replayed from the rescued values."""
+    rows = durable(drift.ingest(table(spark, folder, "compact_reports")))
+    return drift.consistent_table(rows, drift.drift_events(rows)).withColumn("_rescued", drift.rescued_json())
 
 
 def _totals(spark: SparkSession, folder: str) -> DataFrame:
