@@ -10,6 +10,7 @@ they are shuffled, and no row is ever compared with another.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.blocked import blocked_rank, int_block
-from plumbline.session import durable, ship
+from plumbline.session import broadcast_if_small, distinct_by, durable, ship
 
-_PRESENT = "*"
+_PRESENT = -1
 
 
 def fold(column: str) -> Column:
@@ -36,45 +37,46 @@ def identity(columns: list[str], tag: str) -> tuple[Column, Column]:
 def keyed_cells(rows: DataFrame, roles: DataFrame, snapshot: str, key: Column, row_id: str, fields: list[str]) -> DataFrame:
     """Signed cells ``pair, key, field, value, sign, row_id`` of rows with a natural key.
 
-    A key that occurs several times in one snapshot is represented by its smallest ``row_id``,
-    which makes repeated deliveries count once. Null fields read as 0.
+    ``key`` is a hash of it; the key itself is the value of the presence marker, which is field -1, and the others are
+    numbered as in ``fields``. A key that occurs several times in one snapshot is represented by its smallest
+    ``row_id``, which makes repeated deliveries count once. Null fields read as 0.
     """
     own = [F.col(row_id).alias("_id"), *[F.coalesce(F.col(f).cast("string"), F.lit("0")).alias(f) for f in fields]]
     once = rows.groupBy(F.col(snapshot).alias("snapshot_id"), key.alias("key")).agg(F.min(F.struct(*own)).alias("r"))
-    cells = F.array(
-        F.struct(F.lit(_PRESENT).alias("field"), F.lit("").alias("value")),
-        *[F.struct(F.lit(f).alias("field"), F.col(f"r.{f}").alias("value")) for f in fields],
-    )
-    return once.join(roles, "snapshot_id").select("pair", "key", "sign", F.col("r._id").alias("row_id"), F.inline(cells))
+    cell = lambda number, value: F.struct(F.lit(number).cast("tinyint").alias("field"), value.alias("value"))
+    cells = F.array(cell(_PRESENT, F.col("key")), *[cell(i, F.col(f"r.{f}")) for i, f in enumerate(fields)])
+    return once.join(broadcast_if_small(roles), "snapshot_id").select("pair", F.xxhash64("key").alias("key"), "sign", F.col("r._id").alias("row_id"), F.inline(cells))
 
 
-def settle_cells(cells: DataFrame) -> DataFrame:
+def settle_cells(cells: DataFrame, fields: list[str]) -> DataFrame:
     """``pair, key, base_key, head_key, outcome, changed_fields`` of every key that changed.
 
     ``outcome`` is added, removed or changed; a missing row id is -1; ``changed_fields`` is sorted and
     empty unless the outcome is changed. Two equal snapshots give no rows.
     """
+    present = F.col("field") == _PRESENT
     netted = (
         cells.groupBy("pair", "key", "field", "value")
         .agg(
             F.sum("sign").alias("net"),
-            F.min(F.when(F.col("sign") < 0, F.col("row_id"))).alias("base_id"),
-            F.min(F.when(F.col("sign") > 0, F.col("row_id"))).alias("head_id"),
+            F.min(F.when(present & (F.col("sign") < 0), F.col("row_id"))).alias("base_id"),
+            F.min(F.when(present & (F.col("sign") > 0), F.col("row_id"))).alias("head_id"),
         )
-        .where((F.col("net") != 0) | (F.col("field") == _PRESENT))
+        .where((F.col("net") != 0) | present)
     )
-    present = F.col("field") == _PRESENT
+    names = F.array(*[F.lit(f) for f in fields])
     per_key = netted.groupBy("pair", "key").agg(
         F.max(F.when(present, F.col("net"))).alias("presence"),
-        F.min(F.when(present, F.col("base_id"))).alias("base_id"),
-        F.min(F.when(present, F.col("head_id"))).alias("head_id"),
-        F.array_sort(F.collect_set(F.when(~present, F.col("field")))).alias("fields"),
+        F.max(F.when(present, F.col("value"))).alias("name"),
+        F.min("base_id").alias("base_id"),
+        F.min("head_id").alias("head_id"),
+        F.array_sort(F.collect_set(F.when(~present, F.element_at(names, F.col("field") + 1)))).alias("fields"),
     )
     outcome = F.when(F.col("presence") > 0, "added").when(F.col("presence") < 0, "removed").when(F.size("fields") > 0, "changed")
     minus = F.lit(-1).cast("bigint")
     return per_key.withColumn("outcome", outcome).where("outcome is not null").select(
         "pair",
-        "key",
+        F.col("name").alias("key"),
         F.coalesce("base_id", minus).alias("base_key"),
         F.coalesce("head_id", minus).alias("head_key"),
         "outcome",
@@ -144,26 +146,43 @@ def pair_nearest(base: list[tuple[int, int, int]], head: list[tuple[int, int, in
     return out
 
 
-_SETTLED = pa.schema([("pair", pa.string()), ("base_key", pa.int64()), ("head_key", pa.int64()), ("outcome", pa.string())])
+#: Fields of a finding that may change while it stays the same finding.
+PLACE = ("line", "col_no")
+SETTLED = "pair string, base_key bigint, head_key bigint, outcome string, changed_fields array<string>"
+
+
+def settle_slot(base: list[int | None] | None, head: list[int | None] | None) -> tuple[str, list[str]]:
+    """Outcome and changed fields of one slot by its cells' signed sums; a side is the values of ``PLACE``, or None.
+
+    A slot is a key that one row of each side at most holds. Its presence marker and the cell of each value are summed,
+    +1 for the newer and -1 for the older row.
+    """
+    sums: Counter = Counter()
+    for sign, row in ((-1, base), (1, head)):
+        if row is not None:
+            sums[_PRESENT, None] += sign
+            for field, value in zip(PLACE, row, strict=True):
+                sums[field, value] += sign
+    presence = sums[_PRESENT, None]
+    if presence:
+        return ("added" if presence > 0 else "removed"), []
+    return "changed", sorted({field for (field, _), net in sums.items() if net})
 
 
 def _settle_moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by pair and key: one group is held at a time, as numbers only."""
+    """Over leftover rows sorted by pair and key: one group is held at a time, as numbers only."""
     group, base, head = None, [], []
-    pairs: list[str] = []
-    bases: list[int] = []
-    heads: list[int] = []
+    rows: list[tuple] = []
 
     def close() -> None:
-        for b, h in pair_nearest(base, head):
-            pairs.append(group[0])
-            bases.append(b)
-            heads.append(h)
+        at = [{pos: place for pos, *place in side} for side in (base, head)]
+        known = [[(pos, line or 0, col or 0) for pos, line, col in side] for side in (base, head)]
+        rows.extend((group[0], b, h, *settle_slot(at[0].get(b), at[1].get(h))) for b, h in pair_nearest(*known))
 
     def flush() -> pa.RecordBatch:
-        outcome = ["added" if b < 0 else "removed" if h < 0 else "changed" for b, h in zip(bases, heads, strict=True)]
-        out = pa.RecordBatch.from_arrays([pa.array(pairs, pa.string()), pa.array(bases, pa.int64()), pa.array(heads, pa.int64()), pa.array(outcome, pa.string())], schema=_SETTLED)
-        pairs.clear(), bases.clear(), heads.clear()
+        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())]
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in SETTLED.split(", ")])
+        rows.clear()
         return out
 
     for batch in batches:
@@ -174,66 +193,72 @@ def _settle_moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     close()
                 group, base, head = (pair, ka, kb), [], []
             (head if sign > 0 else base).append((pos, line, col))
-        if len(pairs) > 20_000:
+        if len(rows) > 20_000:
             yield flush()
     if group is not None:
         close()
-    if pairs:
+    if rows:
         yield flush()
 
 
 def surplus_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that no equal row of the other side cancels, equal rows pairing off in the order of ``pos``.
 
-    ``rows`` has ``keys``, ``sign`` and ``pos``. The signed presence markers of a key are summed
-    before any row moves; only keys whose sum is not zero and which hold several rows are ranked.
+    ``rows`` has ``keys``, ``sign`` and ``pos``. The signed presence markers of a key are summed map-side before
+    anything is written; what is left over of a key are the last rows of the side with the surplus. A key
+    with several left over is ranked over its rows, in blocks.
     """
-    net = (
-        rows.groupBy(*keys)
-        .agg(F.sum("sign").alias("net"), F.count(F.lit(1)).alias("n"), F.max("pos").alias("pos"))
-        .where("net != 0")
-    )
-    single = net.where("n = 1").select(*keys, F.col("net").cast("int").alias("sign"), "pos")
-    several = net.where("n > 1").select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.signum("net").cast("int").alias("_side"), F.abs("net").alias("_spare"))
+    last = lambda s: F.max(F.when(F.col("sign") == s, F.col("pos")))
+    net = durable(rows.groupBy(*keys).agg(F.sum("sign").alias("net"), last(-1).alias("_base"), last(1).alias("_head")).where("net != 0"))
+    one = net.where("abs(net) = 1").select(*keys, F.col("net").cast("int").alias("sign"), F.when(F.col("net") > 0, F.col("_head")).otherwise(F.col("_base")).alias("pos"))
+    several = net.where("abs(net) > 1").select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.signum("net").cast("int").alias("_side"), F.abs("net").alias("_spare"))
+    if several.isEmpty():
+        return one
     on = F.col("sign") == F.col("_side")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
-    ranked = blocked_rank(
-        rows.join(several, on).select(*keys, "sign", "pos", "_spare", (-F.col("pos")).alias("_back")), keys, "_back", int_block("_back"), "_rank"
-    ).where("_rank <= _spare")
-    return single.unionByName(ranked.select(*keys, "sign", "pos"))
+    own = durable(rows.join(broadcast_if_small(durable(several)), on).select(*keys, "sign", "pos", "_spare", (-F.col("pos")).alias("_back")))
+    ranked = blocked_rank(own, [*keys, "sign"], "_back", int_block("_back"), "_rank").where("_rank <= _spare")
+    return one.unionByName(ranked.select(*keys, "sign", "pos"))
+
+
+def diagnostic_cells(items: DataFrame, roles: DataFrame) -> DataFrame:
+    """Signed presence markers ``pair, ka, kb, line, col, sign, pos`` of diagnostics, one per row and pair of its snapshot.
+
+    The key is the whole row without its position: ``ka`` and ``kb`` stand for project, id, severity, message and file,
+    which say whether two findings are the same. Rows without snapshot or position take no part; of several
+    deliveries of a (snapshot, position) the latest counts.
+    """
+    text = ["project", "id", "severity", "message", "file"]
+    latest = ["loaded_at"] if "loaded_at" in items.columns else []
+    known = items.where("snapshot_id is not null and pos is not null").select("snapshot_id", F.col("pos").cast("bigint").alias("pos"), *text, "line", "col_no", *latest)
+    once = distinct_by(known, ["snapshot_id", "pos"], *latest)
+    ka, kb = identity(text, "d")
+    narrow = once.select("snapshot_id", "pos", ka.alias("ka"), kb.alias("kb"), F.col("line").cast("int").alias("line"), F.col("col_no").cast("int").alias("col"))
+    return narrow.join(broadcast_if_small(roles), "snapshot_id").select("pair", "ka", "kb", "line", "col", "sign", "pos")
 
 
 def diagnostic_changes(items: DataFrame, roles: DataFrame) -> DataFrame:
-    """``pair, base_key, head_key, outcome`` of diagnostics; keys are positions, -1 for none.
+    """``pair, base_key, head_key, outcome, changed_fields`` of diagnostics; keys are positions, -1 for none.
 
-    Rows equal in project, id, severity, message, file, line and column cancel first. What is left
-    pairs within project, id, severity, message and file by ``pair_nearest``. A missing line or
-    column differs from 0 when rows are compared for equality and reads as 0 in distances. Rows
-    without snapshot or position take no part; repeated (snapshot, position) rows count once.
+    Presence markers of whole rows cancel first. What is left pairs within project, id, severity, message and file by
+    ``pair_nearest``, which gives each leftover row its slot; the cells of a slot say what became of it and which of line
+    and column changed. A missing line or column differs from 0, but reads as 0 in distances.
     """
     ship(items.sparkSession)
-    ka, kb = identity(["project", "id", "severity", "message", "file"], "d")
-    once = (
-        items.where("snapshot_id is not null and pos is not null")
-        .select("snapshot_id", F.col("pos").cast("bigint").alias("pos"), ka.alias("ka"), kb.alias("kb"), F.col("line").cast("int").alias("line"), F.col("col_no").cast("int").alias("col"))
-        .groupBy("snapshot_id", "pos")
-        .agg(*[F.min(c).alias(c) for c in ("ka", "kb", "line", "col")])
-    )
-    signed = durable(once.join(roles, "snapshot_id").select("pair", "sign", "pos", "ka", "kb", "line", "col"))
-    left = surplus_rows(signed, ["pair", "ka", "kb", "line", "col"])
-    ordered = (
-        left.select("pair", "ka", "kb", "sign", "pos", F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("col", F.lit(0)).alias("col"))
-        .repartition("pair", "ka", "kb")
-        .sortWithinPartitions("pair", "ka", "kb")
-    )
-    return ordered.mapInArrow(_settle_moves, "pair string, base_key bigint, head_key bigint, outcome string")
+    left = surplus_rows(diagnostic_cells(items, roles), ["pair", "ka", "kb", "line", "col"])
+    ordered = left.select("pair", "ka", "kb", "sign", "pos", "line", "col").repartition("pair", "ka", "kb").sortWithinPartitions("pair", "ka", "kb")
+    return ordered.mapInArrow(_settle_moves, SETTLED)
+
+
+#: Fields by which projects are compared.
+PROJECT_FIELDS = ["type_count", "method_count", "total_cc", "total_loc"]
 
 
 def project_changes(projects: DataFrame, roles: DataFrame) -> DataFrame:
     """``settle_cells`` of project_metrics: the key is the project's name without regard to case."""
     named = projects.where("snapshot_id is not null")
-    return settle_cells(keyed_cells(named, roles, "snapshot_id", F.lower("project_name"), "project_row_id", ["type_count", "method_count", "total_cc", "total_loc"]))
+    return settle_cells(keyed_cells(named, roles, "snapshot_id", F.lower("project_name"), "project_row_id", PROJECT_FIELDS), PROJECT_FIELDS)
 
 
-__all__ = ["diagnostic_changes", "keyed_cells", "pair_nearest", "project_changes", "settle_cells", "surplus_rows"]
+__all__ = ["diagnostic_cells", "diagnostic_changes", "keyed_cells", "pair_nearest", "project_changes", "settle_cells", "settle_slot", "surplus_rows"]

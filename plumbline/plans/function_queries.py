@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import metrics as fn
-from plumbline.operators import coupling, diff, rollup
+from plumbline.operators import coupling, diff, rollup, snapshot_diff
 from plumbline.plans import analysis_queries as base
+from plumbline.session import durable
 from plumbline.sources.model import Model
 
 _with, query = base._with, base.query
@@ -155,11 +156,11 @@ def t6_most_added_references(m: Model) -> DataFrame:
     SELECT head AS head_snapshot_id, CAST(sum(least(nb, nh)) AS BIGINT) AS exact, CAST(sum(nb) AS BIGINT) AS base_rows, CAST(sum(nh) AS BIGINT) AS head_rows FROM x GROUP BY 1""",
 )
 def j13_exact_matches(m: Model) -> DataFrame:
-    roles = base.snapshot_roles(base._pairs(m))
-    folded = [F.lower(c).alias(c) for c in ("project", "id", "message", "file")]
-    rows = m.diagnostics().join(roles, "snapshot_id").select("pair", "sign", "severity", "line", "col_no", *folded)
-    per = rows.groupBy("pair", "severity", "line", "col_no", "project", "id", "message", "file").agg(F.count_if(F.col("sign") < 0).alias("nb"), F.count_if(F.col("sign") > 0).alias("nh"))
-    return per.groupBy(F.col("pair").alias("head_snapshot_id")).agg(F.sum(F.least("nb", "nh")).alias("exact"), F.sum("nb").alias("base_rows"), F.sum("nh").alias("head_rows"))
+    cells = durable(snapshot_diff.diagnostic_cells(m.diagnostics(), base.snapshot_roles(base._pairs(m))))
+    left = snapshot_diff.surplus_rows(cells, ["pair", "ka", "kb", "line", "col"])
+    every = cells.select("pair", "sign", F.lit(0).alias("left")).unionByName(left.select("pair", "sign", F.lit(1).alias("left")))
+    count = lambda sign, of: F.count_if((F.col("sign") == sign) & (F.col("left") == of))
+    return every.groupBy(F.col("pair").alias("head_snapshot_id")).agg((count(-1, 0) - count(-1, 1)).alias("exact"), count(-1, 0).alias("base_rows"), count(1, 0).alias("head_rows"))
 
 
 @query("x22_external_only", f"{_with('e', 'a')}, {base._coupling_sql(2)}, c AS ({base._measure_sql('r2')}) SELECT snapshot_id, entity, ed FROM c WHERE ed > 0")

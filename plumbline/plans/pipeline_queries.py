@@ -70,6 +70,18 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p6_diagnostic_changes(spark: SparkSession, folder: str) -> DataFrame:
+    changes = snapshot_diff.diagnostic_changes(table(spark, folder, "diagnostic_items"), _roles(spark, folder))
+    return changes.select(F.col("pair").alias("head_snapshot_id"), "base_key", "head_key", "outcome", F.array_join("changed_fields", ",").alias("changed_fields"))
+
+
+def p6_unmatched_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The diagnostics of both snapshots of a pair that no equal one of the other cancels."""
+    cells = snapshot_diff.diagnostic_cells(table(spark, folder, "diagnostic_items"), _roles(spark, folder))
+    left = snapshot_diff.surplus_rows(cells, ["pair", "ka", "kb", "line", "col"])
+    return left.select(F.col("pair").alias("head_snapshot_id"), "sign", "pos")
+
+
 def p6_project_changes(spark: SparkSession, folder: str) -> DataFrame:
     changes = snapshot_diff.project_changes(table(spark, folder, "project_metrics"), _roles(spark, folder))
     return changes.select(F.col("pair").alias("head_snapshot_id"), F.col("key").alias("project_key"), "base_key", "head_key", "outcome", F.array_join("changed_fields", ",").alias("changed_fields"))
@@ -99,8 +111,15 @@ QUERIES: dict[str, Query] = {
     "p4_totals": p4_totals,
     "p6_found": p6_found,
     "p6_project_changes": p6_project_changes,
+    "p6_diagnostic_changes": p6_diagnostic_changes,
+    "p6_unmatched_rows": p6_unmatched_rows,
 }
 
+_PAIRS = """s AS (SELECT snapshot_id, min(solution_path) AS solution_path, min(analyzed_at) AS analyzed_at FROM snapshots
+                   WHERE solution_path IS NOT NULL AND analyzed_at IS NOT NULL GROUP BY snapshot_id),
+        pairs AS (SELECT * FROM (SELECT snapshot_id AS head, lag(snapshot_id) OVER (PARTITION BY solution_path ORDER BY analyzed_at) AS base FROM s) WHERE base IS NOT NULL)"""
+_SAME = "head, a, b, severity, c, f, line, col_no"
+
 SQL: dict[str, str] = {
     "p1_found": "WITH r AS (SELECT report_id, CAST(payload AS JSON) AS o FROM (SELECT * FROM compact_reports WHERE json_valid(payload)) WHERE json_type(payload) = 'OBJECT'), "
     + ", ".join(_level_sql(*level) for level in _LEVELS)
@@ -112,9 +131,9 @@ SQL: dict[str, str] = {
         SELECT from_entity, count(*) AS n_rows, CAST(coalesce(sum(reference_count), 0) AS BIGINT) AS reference_sum
         FROM dependencies GROUP BY from_entity""",
     "p6_project_changes": """
-        WITH s AS (SELECT snapshot_id, min(solution_path) AS solution_path, min(analyzed_at) AS analyzed_at FROM snapshots
-                   WHERE solution_path IS NOT NULL AND analyzed_at IS NOT NULL GROUP BY snapshot_id),
-        pairs AS (SELECT * FROM (SELECT snapshot_id AS head, lag(snapshot_id) OVER (PARTITION BY solution_path ORDER BY analyzed_at) AS base FROM s) WHERE base IS NOT NULL),
+        WITH """
+    + _PAIRS
+    + """,
         p AS (SELECT snapshot_id, lower(project_name) AS k, min(project_row_id) AS id,
                      arg_min(coalesce(type_count, 0), project_row_id) AS tc, arg_min(coalesce(method_count, 0), project_row_id) AS mc,
                      arg_min(coalesce(total_cc, 0), project_row_id) AS cc, arg_min(coalesce(total_loc, 0), project_row_id) AS loc
@@ -128,4 +147,11 @@ SQL: dict[str, str] = {
         SELECT head AS head_snapshot_id, k AS project_key, coalesce(bid, -1) AS base_key, coalesce(hid, -1) AS head_key,
                CASE WHEN bid IS NULL THEN 'added' WHEN hid IS NULL THEN 'removed' ELSE 'changed' END AS outcome, f AS changed_fields
         FROM j WHERE bid IS NULL OR hid IS NULL OR f <> ''""",
+    "p6_unmatched_rows": f"""
+        WITH {_PAIRS},
+        d AS (SELECT * FROM diagnostic_items WHERE pos IS NOT NULL QUALIFY row_number() OVER (PARTITION BY snapshot_id, pos ORDER BY loaded_at DESC) = 1),
+        x AS (SELECT head, CASE WHEN snapshot_id = head THEN 1 ELSE -1 END AS sign, pos, lower(project) AS a, lower(id) AS b, severity, lower(message) AS c, lower(file) AS f, line, col_no
+              FROM pairs JOIN d ON snapshot_id IN (base, head)),
+        y AS (SELECT *, row_number() OVER (PARTITION BY sign, {_SAME} ORDER BY pos) AS k, count(*) FILTER (sign = 1) OVER w AS nh, count(*) FILTER (sign = -1) OVER w AS nb FROM x WINDOW w AS (PARTITION BY {_SAME}))
+        SELECT head AS head_snapshot_id, sign, pos FROM y WHERE k > CASE sign WHEN 1 THEN nb ELSE nh END""",
 }

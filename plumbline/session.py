@@ -9,9 +9,11 @@ import tempfile
 import threading
 import uuid
 import zipfile
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast, count, lit
+from pyspark.sql.functions import broadcast, col, count, lit, max_by, struct, xxhash64
 
 _lock = threading.Lock()
 _shipped: set[str] = set()
@@ -65,9 +67,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; one of this machine only where it is unset and all executors are here."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         with _lock:
             root = spark.conf.get("plumbline.checkpoint.dir", None)
             if not root:
@@ -117,15 +121,27 @@ def broadcast_if_small(table: DataFrame, most: int = 32 << 20) -> DataFrame:
     return broadcast(table) if input_bytes(table) * 8 <= most else table
 
 
-def distinct_by(df: DataFrame, key: str) -> DataFrame:
-    """One row per ``key`` where rows that repeat a key are equal in all that is kept.
+def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that several rows hold, as a durable table; only keys are shuffled. Keys with a null are never repeated."""
+    known = df.where(reduce(and_, [col(k).isNotNull() for k in keys]))
+    return durable(known.groupBy(*keys).agg(count(lit(1)).alias("_n")).where("_n > 1").select(*keys))
 
-    Only the keys are counted, and only rows of repeated keys are shuffled; all others stay in their input
-    splits, where rows of one group often lie together. Rows with a null key all stay.
+
+def distinct_by(df: DataFrame, keys: str | list[str], latest: str | None = None, repeated: DataFrame | None = None) -> DataFrame:
+    """One row per key: of several, the one with the latest ``latest``, which is left out of the result.
+
+    Where rows of one key have the same ``latest``, or there is no such column, the one with the greatest hash of its
+    values stands, so the choice does not vary. Only keys are counted (or ``repeated`` names them) and only rows of
+    repeated keys are shuffled; all others stay in their input splits, where rows of one group often lie together.
+    Rows with a null key all stay.
     """
-    repeated = durable(df.groupBy(key).agg(count(lit(1)).alias("_n")).where("_n > 1").select(key))
-    repeated = broadcast_if_small(repeated)
-    return df.join(repeated, key, "left_anti").unionByName(df.join(repeated, key, "left_semi").dropDuplicates([key]))
+    keys = [keys] if isinstance(keys, str) else keys
+    own = [c for c in df.columns if c not in keys and c != latest]
+    repeated = broadcast_if_small(repeated_keys(df, keys) if repeated is None else repeated)
+    order = struct(*([latest] if latest else []), xxhash64(*own) if own else lit(0))
+    again = df.join(repeated, keys, "left_semi").groupBy(*keys).agg(max_by(struct(*own) if own else lit(0), order).alias("_r"))
+    rest = df.join(repeated, keys, "left_anti").select(*keys, *own)
+    return rest.unionByName(again.select(*keys, *[col("_r").getField(c).alias(c) for c in own])).select(*[c for c in df.columns if c != latest])
 
 
 def shuffle_width(df: DataFrame, bytes_each: int = 64 << 20) -> int:

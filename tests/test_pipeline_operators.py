@@ -13,6 +13,7 @@ from plumbline.operators import blocked, dense_totals, drift, nested, snapshot_d
 from plumbline.operators.snapshot_pairs import consecutive_snapshots, snapshot_roles
 from plumbline.operators.strict_json import read_object
 from plumbline.plans import pipeline_queries as queries
+from plumbline.session import distinct_by
 from tests.conftest import MIDDLE, SMALL
 
 
@@ -354,11 +355,27 @@ def test_diagnostics_with_nulls_repeats_and_a_hot_finding(spark):
     items += [("a", 5000, "P", "Y", 1, "m", "f", 1, None, "c"), ("b", 5000, "P", "Y", 1, "m", "f", 0, 0, "c"), ("b", 5000, "P", "Y", 1, "m", "f", 0, 0, "c"), (None, 1, "P", "Y", 1, "m", "f", 0, 0, "c")]
     names = "snapshot_id string, pos long, project string, id string, severity int, message string, file string, line int, col_no int, pair string"
     roles = spark.createDataFrame([("a", "b", -1), ("b", "b", 1)], "snapshot_id string, pair string, sign int")
-    got = Counter(rows(snapshot_diff.diagnostic_changes(spark.createDataFrame(items, names), roles)))
-    assert got == Counter([("b", p, -1, "removed") for p in range(2990, 3000)] + [("b", 5000, 5000, "changed")])
+    got = Counter((*r[:4], tuple(r[4])) for r in snapshot_diff.diagnostic_changes(spark.createDataFrame(items, names), roles).collect())
+    assert got == Counter([("b", p, -1, "removed", ()) for p in range(2990, 3000)] + [("b", 5000, 5000, "changed", ("col_no", "line"))])
     assert snapshot_diff.diagnostic_changes(spark.createDataFrame([], names), roles).count() == 0
 
 
+def test_slots_are_settled_by_nonzero_sums():
+    assert snapshot_diff.settle_slot(None, (1, 2)) == ("added", []) and snapshot_diff.settle_slot((1, 2), None) == ("removed", [])
+    assert snapshot_diff.settle_slot((1, 2), (1, 3)) == ("changed", ["col_no"]) and snapshot_diff.settle_slot((1, 2), (2, 1)) == ("changed", ["col_no", "line"])
+    assert snapshot_diff.settle_slot((None, 2), (0, 2)) == ("changed", ["line"])
+
+
+def test_the_latest_delivery_of_a_key_counts(spark):
+    data = [(1, 1, "old", 5), (1, 2, "new", 4), (2, 1, "a", 1), (2, 1, "a", 1), (3, None, "z", 1), (None, 1, "n", 1), (None, 1, "n", 1)]
+    df = spark.createDataFrame(data, "k int, at int, v string, w int")
+    got = sorted(rows(distinct_by(df, "k", "at")), key=str)
+    assert got == sorted([(1, "new", 4), (2, "a", 1), (3, "z", 1), (None, "n", 1), (None, "n", 1)], key=str)
+    assert distinct_by(df, ["k", "v"]).count() == 6 and distinct_by(df.limit(0), "k", "at").columns == ["k", "v", "w"]
+    one = {r for _ in range(3) for r in rows(distinct_by(df.repartition(5), "k")) if r[0] == 1}
+    assert len(one) == 1
+
+
 def test_snapshot_without_any_row_removes_everything(spark):
     snaps = spark.createDataFrame([("s1", "x", "2025-01-01"), ("s2", "x", "2025-03-09"), ("s2", "x", "2025-03-09"), ("s3", "x", "2025-03-10"), ("n", None, "2025-01-01")], "snapshot_id string, solution_path string, t string")
     snaps = snaps.withColumn("analyzed_at", F.col("t").cast("timestamp_ntz")).withColumn("at", F.lit(1))
