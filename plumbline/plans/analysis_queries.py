@@ -25,11 +25,11 @@ SQL: dict[str, str] = {}
 #: DuckDB forms of the model tables.
 _CTE = {
     "m": """m AS (SELECT DISTINCT ON (method_id) method_id, snapshot_id, project, type_id, full_name, file_path, start_line, end_line, cyclomatic_complexity AS cc,
-                  lines_of_executable_code AS loc, halstead_volume AS hv, CASE WHEN NOT isnan(maintainability_index) THEN maintainability_index END AS mi FROM method_metrics)""",
-    "t": "t AS (SELECT DISTINCT ON (type_id) type_id, snapshot_id, project, full_name, depth_of_inheritance AS dit FROM type_metrics)",
-    "pr": "pr AS (SELECT DISTINCT ON (project_row_id) * FROM project_metrics)",
-    "d": "d AS (SELECT DISTINCT ON (snapshot_id, pos) * FROM diagnostic_items)",
-    "s": "s AS (SELECT DISTINCT ON (snapshot_id) * FROM snapshots)",
+                  lines_of_executable_code AS loc, halstead_volume AS hv, CASE WHEN NOT isnan(maintainability_index) THEN maintainability_index END AS mi FROM method_metrics ORDER BY method_id, loaded_at DESC)""",
+    "t": "t AS (SELECT DISTINCT ON (type_id) type_id, snapshot_id, project, full_name, depth_of_inheritance AS dit FROM type_metrics ORDER BY type_id, loaded_at DESC)",
+    "pr": "pr AS (SELECT DISTINCT ON (project_row_id) * FROM project_metrics ORDER BY project_row_id, loaded_at DESC)",
+    "d": "d AS (SELECT DISTINCT ON (snapshot_id, pos) * FROM diagnostic_items ORDER BY snapshot_id, pos, loaded_at DESC)",
+    "s": "s AS (SELECT DISTINCT ON (snapshot_id) * FROM snapshots ORDER BY snapshot_id, loaded_at DESC)",
     "e": """e AS (SELECT snapshot_id, from_entity, to_entity, dep_type, CAST(coalesce(reference_count, 0) AS BIGINT) AS n FROM dependencies
                   WHERE trim(from_entity) <> '' AND trim(to_entity) <> '')""",
     "a": "a AS (SELECT snapshot_id, from_entity, to_entity, dep_type, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY ALL)",

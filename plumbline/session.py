@@ -122,22 +122,25 @@ def broadcast_if_small(table: DataFrame, most: int = 32 << 20) -> DataFrame:
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys that several rows hold, as a durable table; only keys are shuffled. Keys with a null are never repeated."""
+    """The keys that several rows hold; only keys are shuffled. Keys with a null are never repeated."""
     known = df.where(reduce(and_, [col(k).isNotNull() for k in keys]))
-    return durable(known.groupBy(*keys).agg(count(lit(1)).alias("_n")).where("_n > 1").select(*keys))
+    return known.groupBy(*keys).agg(count(lit(1)).alias("_n")).where("_n > 1").select(*keys)
 
 
-def distinct_by(df: DataFrame, keys: str | list[str], latest: str | None = None, repeated: DataFrame | None = None) -> DataFrame:
+def distinct_by(df: DataFrame, keys: str | list[str], latest: str | None = None, repeated: DataFrame | None = None, small: bool = False) -> DataFrame:
     """One row per key: of several, the one with the latest ``latest``, which is left out of the result.
 
     Where rows of one key have the same ``latest``, or there is no such column, the one with the greatest hash of its
     values stands, so the choice does not vary. Only keys are counted (or ``repeated`` names them) and only rows of
     repeated keys are shuffled; all others stay in their input splits, where rows of one group often lie together.
-    Rows with a null key all stay.
+    Rows with a null key all stay. ``small``, for a table of a checked size, finds the repeated keys in the same job.
     """
     keys = [keys] if isinstance(keys, str) else keys
     own = [c for c in df.columns if c not in keys and c != latest]
-    repeated = broadcast_if_small(repeated_keys(df, keys) if repeated is None else repeated)
+    if small:
+        repeated = broadcast(repeated_keys(df, keys))
+    else:
+        repeated = broadcast_if_small(durable(repeated_keys(df, keys)) if repeated is None else repeated)
     order = struct(*([latest] if latest else []), xxhash64(*own) if own else lit(0))
     again = df.join(repeated, keys, "left_semi").groupBy(*keys).agg(max_by(struct(*own) if own else lit(0), order).alias("_r"))
     rest = df.join(repeated, keys, "left_anti").select(*keys, *own)

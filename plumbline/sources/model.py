@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import distinct_by, durable, input_bytes, repeated_keys
 from plumbline.sources.tables import table
 
+#: Bytes of a table's files up to which its repeated keys may be broadcast unseen.
+SMALL = 32 << 20
+
 
 @dataclass(frozen=True)
 class Model:
@@ -16,10 +20,16 @@ class Model:
 
     spark: SparkSession
     folder: str
+    _repeated: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
 
     def _once(self, name: str, keys: list[str], columns: list[str]) -> DataFrame:
-        """Repeated deliveries differ only in loaded_at, so any of them stands for all."""
-        return table(self.spark, self.folder, name).select(*keys, *columns).dropDuplicates(keys)
+        """Each row once by its keys, in its latest delivery; the repeated keys of a table are found once per model."""
+        rows = table(self.spark, self.folder, name).select(*keys, *columns, "loaded_at")
+        if input_bytes(rows) <= SMALL:
+            return distinct_by(rows, keys, "loaded_at", small=True)
+        if name not in self._repeated:
+            self._repeated[name] = durable(repeated_keys(rows, keys))
+        return distinct_by(rows, keys, "loaded_at", self._repeated[name])
 
     def methods(self) -> DataFrame:
         return self._once("method_metrics", ["method_id"], ["snapshot_id", "project", "type_id", "full_name", "file_path", "start_line", "end_line", "cyclomatic_complexity", "lines_of_executable_code", "halstead_volume", "maintainability_index"]).withColumn(
