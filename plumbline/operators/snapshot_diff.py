@@ -205,13 +205,18 @@ def surplus_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that no equal row of the other side cancels, equal rows pairing off in the order of ``pos``.
 
     ``rows`` has ``keys``, ``sign`` and ``pos``. The signed presence markers of a key are summed map-side before
-    anything is written; what is left over of a key are the last rows of the side with the surplus. A key
-    with several left over is ranked over its rows, in blocks.
+    anything is written; what is left over of a key are the last rows of the side with the surplus. Where these are
+    more than the ends of the side say, its rows are ranked, in blocks.
     """
-    last = lambda s: F.max(F.when(F.col("sign") == s, F.col("pos")))
-    net = durable(rows.groupBy(*keys).agg(F.sum("sign").alias("net"), last(-1).alias("_base"), last(1).alias("_head")).where("net != 0"))
-    one = net.where("abs(net) = 1").select(*keys, F.col("net").cast("int").alias("sign"), F.when(F.col("net") > 0, F.col("_head")).otherwise(F.col("_base")).alias("pos"))
-    several = net.where("abs(net) > 1").select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.signum("net").cast("int").alias("_side"), F.abs("net").alias("_spare"))
+    at = lambda s: F.when(F.col("sign") == s, F.col("pos"))
+    ends = [f(at(s)).alias(f"_{n}{s}") for s in (-1, 1) for f, n in ((F.max, "last"), (F.min, "first"))]
+    net = durable(rows.groupBy(*keys).agg(F.sum("sign").alias("net"), F.count(F.lit(1)).alias("n"), *ends).where("net != 0"))
+    side = lambda n: F.when(F.col("net") > 0, F.col(f"_{n}1")).otherwise(F.col(f"_{n}-1"))
+    spare, alone = F.abs("net"), F.abs("net") == F.col("n")
+    known = (spare == 1) | (spare == 2) & alone
+    pos = F.when(spare == 1, F.array(side("last"))).otherwise(F.array(side("first"), side("last")))
+    one = net.where(known).select(*keys, F.signum("net").cast("int").alias("sign"), F.explode(pos).alias("pos"))
+    several = net.where(~known).select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.signum("net").cast("int").alias("_side"), spare.alias("_spare"))
     if several.isEmpty():
         return one
     on = F.col("sign") == F.col("_side")
