@@ -13,17 +13,17 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import durable
+from plumbline.session import broadcast_if_small, durable
 
 #: Newton steps at most, and the relative error of a source's tokens at which they stop.
 STEPS, PRECISION = 60, 1e-7
-#: Slots of the first and second histogram by which rates are rounded.
-SLOTS = 4_096
-#: Share of a source's tokens that rounding may leave before further copies make up for it.
-SHORT = 1e-3
+#: Slots by which documents are summed before any single one is looked at, and the bits of a document's place in line.
+SLOTS, BITS = 4_096, 40
+#: Share of a source's tokens that rounding may leave, and the passes that it takes at most to get there.
+SHORT, PASSES = 2e-4, 24
 _HIGHEST = 60.0
 
 
@@ -142,98 +142,121 @@ def balance(lengths: DataFrame, sources: list[Source]) -> int:
     return STEPS
 
 
-def _round_up(rated: DataFrame, sources: list[Source]) -> Column:
-    """Which documents get one copy more than the whole part of their rate.
+@dataclass(frozen=True)
+class Reach:
+    """How far down the line of a source's documents its room goes: whole slots, then places within one slot."""
 
-    A document's claim is a hash of its id less the fraction of its rate, so each is rounded up about as
-    often as the fraction says. The claim up to which the tokens still wanted are met is found by two
-    histograms of the claims, the second within the slot that the first one ends in.
+    slot: int
+    place: int
+    doc: int
+    tokens: int
+
+
+def _slot(place: Column) -> Column:
+    return F.shiftright(place, BITS + 1 - (SLOTS.bit_length() - 1)).cast("int")
+
+
+def _within(reach: dict[str, Reach], sources: list[Source], place: Column) -> Column:
+    """Whether a document stands within its source's reach."""
+    of = lambda name, kind: _by_source(sources, lambda s: getattr(reach.get(s.name, Reach(-1, -1, -1, 0)), name), kind)
+    first = (place < of("place", "bigint")) | (place == of("place", "bigint")) & (F.col("doc_id") <= of("doc", "bigint"))
+    return (_slot(place) < of("slot", "int")) | (_slot(place) == of("slot", "int")) & first
+
+
+def reach_of(line: DataFrame, room: dict[str, float], sources: list[Source]) -> dict[str, Reach]:
+    """How many documents of each source, taken in line, fit into its room: a distributed running sum.
+
+    ``line`` has ``doc_id, source, n_tokens, place``. Tokens are summed by slots of places, the sums run over the slots
+    (at most ``SLOTS`` a source), and only documents of the one slot in which a source's room ends are put in order.
+    One row per source comes to the driver.
+    """
+    if not any(x > 0 for x in room.values()):
+        return {}
+    free = _by_source(sources, lambda s: room.get(s.name, 0.0), "double")
+    sums = line.groupBy("source", _slot(F.col("place")).alias("slot")).agg(F.sum("n_tokens").alias("t"))
+    upto = F.sum("t").over(Window.partitionBy("source").orderBy("slot"))
+    ends = sums.withColumn("upto", upto).withColumn("over", F.col("upto") > free)
+    ends = ends.groupBy("source").agg(F.min(F.when(F.col("over"), F.col("slot"))).alias("end"), F.coalesce(F.max(F.when(~F.col("over"), F.col("upto"))), F.lit(0)).alias("before"))
+    last = line.join(F.broadcast(ends), "source").where(_slot(F.col("place")) == F.col("end"))
+    running = F.col("before") + F.sum("n_tokens").over(Window.partitionBy("source").orderBy("place", "doc_id"))
+    fits = last.withColumn("running", running).where(F.col("running") <= free)
+    fits = fits.groupBy("source").agg(F.max(F.struct("place", "doc_id")).alias("at"), F.max("running").alias("running"))
+    rows = ends.join(fits, "source", "left").select("source", "end", "before", "at", "running").collect()
+    return {r["source"]: Reach(SLOTS if r["end"] is None else r["end"], r["at"]["place"] if r["at"] else -1, r["at"]["doc_id"] if r["at"] else -1, r["running"] if r["at"] else r["before"]) for r in rows}
+
+
+def _place(claim: Column) -> Column:
+    """A claim between 0 and 2 as an integer."""
+    return F.least(F.floor(claim * float(1 << BITS)).cast("bigint"), F.lit((2 << BITS) - 1))
+
+
+def _by_size(room: Column, *salt: str) -> Column:
+    """A place in line by size against the room, the largest that fit first; about equal ones in order of a hash."""
+    rank = F.floor((1.0 - F.least(F.col("n_tokens") / room, F.lit(1.0))) * float(SLOTS - 1))
+    return _place((rank + _even(*salt)) * (2.0 / SLOTS))
+
+
+def _even(*salt: str) -> Column:
+    """A hash of the document's id, even between 0 and 1."""
+    return F.pmod(F.xxhash64("doc_id", *[F.lit(x) for x in salt]), F.lit(1 << BITS)) / F.lit(float(1 << BITS))
+
+
+def _shortest(left: dict[str, float], sources: list[Source]) -> dict[str, float]:
+    """The room of the sources that are still short of their tokens by more than ``SHORT``."""
+    return {s.name: left[s.name] for s in sources if left[s.name] > SHORT * s.wanted}
+
+
+def _round_up(rated: DataFrame, sources: list[Source]) -> tuple[DataFrame, dict[str, float]]:
+    """Marks as ``more`` the documents that get one copy more than the whole part of their rate; also the tokens then left.
+
+    A document's claim is a hash of its id less the fraction of its rate, so each is rounded up about as often as the
+    fraction says; documents stand in line by it. The first pass takes them until the next no longer fits, the second goes
+    on without those that are too long; the few tokens then left are filled by further passes, the largest documents
+    that fit first, which leave less than half each.
     """
     fraction = F.col("rate") - F.floor("rate")
-    claim = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40)) - fraction + 1.0) * F.lit(SLOTS / 2.0)
-    slot = F.floor(claim).cast("int")
-    second = F.floor((claim - F.floor(claim)) * F.lit(float(SLOTS))).cast("int")
+    may = rated.where(fraction > 0)
     firm = {r["source"]: r["t"] for r in rated.groupBy("source").agg(F.sum(F.floor("rate") * F.col("n_tokens")).alias("t")).collect()}
     left = {s.name: max(0.0, s.wanted - (firm.get(s.name) or 0)) for s in sources}
-    open_rows = rated.where(fraction > 0)
-
-    def slots_of(rows: DataFrame, number: Column) -> list[tuple[str, int, int]]:
-        """Tokens by source and slot, at most SLOTS rows per source whatever the input."""
-        sums = rows.groupBy("source", number.alias("k")).agg(F.sum("n_tokens").alias("t"))
-        return sorted((r["source"], r["k"], r["t"]) for r in sums.collect())
-
-    def lead(slots: list[tuple[str, int, int]]) -> dict[str, int]:
-        """Per source the first slot that no longer fits; ``left`` becomes what those before it leave."""
-        out: dict[str, int] = {}
-        for name, k, t in slots:
-            if name not in out:
-                if t > left[name]:
-                    out[name] = k
-                else:
-                    left[name] -= t
-        return out
-
-    def later(slots: list[tuple[str, int, int]], firsts: dict[str, int]) -> dict[str, list[int]]:
-        """Slots behind the first misfit that still fit whole, in their order."""
-        out: dict[str, list[int]] = {}
-        for name, k, t in slots:
-            if name in firsts and k > firsts[name] and t <= left[name]:
-                left[name] -= t
-                out.setdefault(name, []).append(k)
-        return out
-
-    def among(chosen: dict[str, list[int]], number: Column) -> Column:
-        out = F.lit(False)
-        for name, ks in chosen.items():
-            out = out | ((F.col("source") == name) & number.isin(ks))
-        return out
-
-    coarse = slots_of(open_rows, slot)
-    first = lead(coarse)
-    at = _by_source(sources, lambda s: first.get(s.name, SLOTS + 1), "int")
-    fine = slots_of(open_rows.where(slot == at), second)
-    then = lead(fine)
-    at2 = _by_source(sources, lambda s: then.get(s.name, 0), "int")
-    finer = among(later(fine, then), second)
-    coarser = among(later(coarse, first), slot)
-    taken = (fraction > 0) & ((slot < at) | ((slot == at) & ((second < at2) | finer)) | coarser)
-    # What is left is less than any slot; a few documents of fitting lengths fill it.
-    room = _by_source(sources, lambda s: left[s.name], "double")
-    spare = open_rows.where(~taken & (F.col("n_tokens") <= room)).groupBy("source", "n_tokens").agg(F.min_by("doc_id", claim).alias("doc_id"))
-    extra = []
-    for r in spare.orderBy("source", F.desc("n_tokens")).collect():  # at most one row per source and length
-        if r["n_tokens"] <= left[r["source"]]:
-            left[r["source"]] -= r["n_tokens"]
-            extra.append(r["doc_id"])
-    return taken | ((fraction > 0) & F.col("doc_id").isin(extra)) if extra else taken
-
-
-def _top_up(copied: DataFrame, sources: list[Source]) -> DataFrame:
+    taken = F.lit(False)
+    for n in range(PASSES):
+        room = _shortest(left, sources)
+        free = _by_source(sources, lambda s: room.get(s.name, -1.0), "double")  # noqa: B023  evaluated at once
+        fits = F.col("n_tokens") <= free
+        place = _place(_even() - fraction + 1.0) if n < 2 else _by_size(free, f"{n}")
+        reach = reach_of(may.where(fits & ~taken).withColumn("place", place), room, sources)
+        if not any(r.tokens for r in reach.values()):
+            break
+        taken = taken | fits & _within(reach, sources, place)
+        for name, r in reach.items():
+            left[name] -= r.tokens
+    return rated.withColumn("more", (fraction > 0) & taken), left
+
+
+def _top_up(copied: DataFrame, left: dict[str, float], sources: list[Source]) -> DataFrame:
     """Further copies, within the repeats, where rounding left a source short of its tokens.
 
-    That happens where single documents hold much of a source, which one copy more or less misses by as much.
-    Each round adds a copy to whole hash slots of the documents that still may be used and fit.
+    That happens where single documents hold much of a source, which one copy more or less misses by as much. Each
+    pass adds a copy of the documents that still may be used and fit, in line of a hash; only these are written.
     """
-    for _ in range(max((s.repeats for s in sources), default=0)):
-        used = {r["source"]: r["t"] for r in copied.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("t")).collect()}
-        left = {s.name: s.wanted - (used.get(s.name) or 0) for s in sources}
-        if not any(left[s.name] > SHORT * s.wanted for s in sources):
-            break
-        room = _by_source(sources, lambda s: left[s.name], "double")
-        may = (F.col("copies") < _by_source(sources, lambda s: s.repeats, "int")) & (F.col("n_tokens") > 0) & (F.col("n_tokens") <= room)
-        slot = F.pmod(F.xxhash64("doc_id", F.lit("more")), F.lit(SLOTS)).cast("int")
-        chosen: dict[str, list[int]] = {}
-        for r in copied.where(may).groupBy("source", slot.alias("k")).agg(F.sum("n_tokens").alias("t")).orderBy("source", "k").collect():
-            if r["t"] <= left[r["source"]]:
-                left[r["source"]] -= r["t"]
-                chosen.setdefault(r["source"], []).append(r["k"])
-        if not chosen:
+    repeats = _by_source(sources, lambda s: s.repeats, "int")
+    extra: DataFrame | None = None
+    now = copied
+    for n in range(PASSES):
+        room = _shortest(left, sources)
+        free = _by_source(sources, lambda s: room.get(s.name, -1.0), "double")  # noqa: B023  evaluated at once
+        may = now.where((F.col("copies") < repeats) & (F.col("n_tokens") > 0) & (F.col("n_tokens") <= free))
+        line = may.withColumn("place", _by_size(free, f"more{n}"))
+        reach = reach_of(line, room, sources)
+        if not any(r.tokens for r in reach.values()):
             break
-        picked = F.lit(False)
-        for name, ks in chosen.items():
-            picked = picked | ((F.col("source") == name) & slot.isin(ks))
-        copied = durable(copied.withColumn("copies", (F.col("copies") + F.when(may & picked, 1).otherwise(0)).cast("int")))
-    return copied
+        own = line.where(_within(reach, sources, F.col("place"))).select("doc_id", F.lit(1).alias("further"))
+        both = own if extra is None else extra.unionByName(own).groupBy("doc_id").agg(F.sum("further").cast("int").alias("further"))
+        extra = durable(both)
+        now = copied.join(broadcast_if_small(extra), "doc_id", "left").withColumn("copies", F.col("copies") + F.coalesce("further", F.lit(0))).select(*copied.columns)
+        for name, r in reach.items():
+            left[name] -= r.tokens
+    return now
 
 
 def mix(tokens: DataFrame, targets: DataFrame) -> tuple[DataFrame, list[Source]]:
@@ -241,8 +264,9 @@ def mix(tokens: DataFrame, targets: DataFrame) -> tuple[DataFrame, list[Source]]
 
     ``tokens`` has ``doc_id, source, n_tokens``. Sources are spelled exactly; documents of other or no
     sources take no part; a document without tokens has 0 copies. Copies never exceed the repeats. Per
-    source the tokens of all copies never exceed what is wanted and fall short of it by less than a
-    thousandth, unless no document that may still be used is short enough.
+    source the tokens of all copies never exceed what is wanted and fall short of it by less than
+    ``SHORT``, unless no document that may still be used is short enough. What comes to the driver is one row
+    per source.
     """
     sources = read_targets(targets)
     known = tokens.where(F.col("source").isin([s.name for s in sources])) if sources else tokens.limit(0)
@@ -256,9 +280,9 @@ def mix(tokens: DataFrame, targets: DataFrame) -> tuple[DataFrame, list[Source]]
     fill_targets(sources)
     balance(lengths, sources)
     rated = known.withColumn("rate", F.when(F.col("n_tokens") > 0, _rate(sources)).otherwise(F.lit(0.0)))
-    more = _round_up(rated, sources)
-    copied = durable(rated.withColumn("copies", (F.floor("rate") + F.when(more, 1).otherwise(0)).cast("int")))
-    return _top_up(copied, sources), sources
+    line, left = _round_up(rated, sources)
+    copied = durable(line.withColumn("copies", (F.floor("rate") + F.when(F.col("more"), 1).otherwise(0)).cast("int")).drop("more"))
+    return _top_up(copied, left, sources), sources
 
 
 def reached_shares(mixture: DataFrame, targets: DataFrame, sources: list[Source]) -> DataFrame:
