@@ -21,22 +21,33 @@ from pyspark.sql import functions as F
 
 from plumbline.session import ship
 
-#: Names by which labels name a language: codes of ISO 639, English and own names (fixed values).
+#: Names by which labels name a language: codes of ISO 639, then own names and names in other languages (fixed values).
 NAMES = {
-    "en": ["en", "eng", "english", "englisch", "inglés", "anglais"],
-    "de": ["de", "deu", "ger", "german", "deutsch", "allemand", "alemán"],
-    "nl": ["nl", "nld", "dut", "dutch", "nederlands", "flemish", "vlaams", "niederländisch"],
-    "sv": ["sv", "swe", "swedish", "svenska", "schwedisch"],
-    "fr": ["fr", "fra", "fre", "french", "français", "francais", "französisch"],
-    "es": ["es", "spa", "spanish", "español", "espanol", "castellano", "castilian", "spanisch"],
-    "pt": ["pt", "por", "portuguese", "português", "portugues", "portugiesisch"],
-    "it": ["it", "ita", "italian", "italiano", "italienisch"],
-    "pl": ["pl", "pol", "polish", "polski", "polnisch"],
-    "ru": ["ru", "rus", "russian", "русский", "russisch"],
-    "ja": ["ja", "jpn", "jp", "japanese", "日本語", "japanisch"],
+    "en": ["en", "eng", "english", "englisch", "engels", "engelska", "anglais", "inglés", "inglês", "inglese", "angielski", "английский", "英語"],
+    "de": ["de", "deu", "ger", "german", "deutsch", "duits", "tyska", "allemand", "alemán", "alemão", "tedesco", "niemiecki", "немецкий", "ドイツ語"],
+    "nl": ["nl", "nld", "dut", "dutch", "nederlands", "flemish", "vlaams", "niederländisch", "nederländska", "néerlandais", "neerlandés", "holandés", "holandês", "olandese", "niderlandzki", "нидерландский", "オランダ語"],
+    "sv": ["sv", "swe", "swedish", "svenska", "schwedisch", "zweeds", "suédois", "sueco", "svedese", "szwedzki", "шведский", "スウェーデン語"],
+    "fr": ["fr", "fra", "fre", "french", "français", "französisch", "frans", "franska", "francés", "francês", "francese", "francuski", "французский", "フランス語"],
+    "es": ["es", "spa", "spanish", "español", "castellano", "castilian", "spanisch", "spaans", "spanska", "espagnol", "espanhol", "spagnolo", "hiszpański", "испанский", "スペイン語"],
+    "pt": ["pt", "por", "portuguese", "português", "portugiesisch", "portugees", "portugisiska", "portugais", "portugués", "portoghese", "portugalski", "португальский", "ポルトガル語"],
+    "it": ["it", "ita", "italian", "italiano", "italienisch", "italiaans", "italienska", "italien", "włoski", "итальянский", "イタリア語"],
+    "pl": ["pl", "pol", "polish", "polski", "polnisch", "pools", "polska", "polonais", "polaco", "polonês", "polacco", "польский", "ポーランド語"],
+    "ru": ["ru", "rus", "russian", "русский", "russisch", "ryska", "russe", "ruso", "russo", "rosyjski", "ロシア語"],
+    "ja": ["ja", "jpn", "jp", "japanese", "日本語", "japanisch", "japans", "japanska", "japonais", "japonés", "japonês", "giapponese", "japoński", "японский"],
 }
+#: Words before a language's name in a label that say only that it is one (fixed values).
+_PREFIX = frozenset("lang language locale code iso sprache taal språk langue idioma lingua język язык 言語".split())
 LANGUAGES = list(NAMES)
-_BY_NAME = {name: code for code, names in NAMES.items() for name in names}
+
+
+def plain(text: str) -> str:
+    """Lower case without accents, so that spellings with and without them, composed or not, are one."""
+    bare = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c) or c in "\u3099\u309a")
+    return unicodedata.normalize("NFC", bare)
+
+
+_BY_NAME = {plain(name): code for code, names in NAMES.items() for name in names}
+_PREFIX_WORDS = frozenset(map(plain, _PREFIX))
 
 #: Bound of the fitting sample: labelled documents per language, and the length up to which one is taken.
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 300, 4_000
@@ -61,12 +72,26 @@ _MOJIBAKE = re.compile("[ÂÃÅÄÐÑãâ][\u0080-¿€‚ƒ„…†‡ˆ‰Š
 _LATIN = {c: bytes([b]) for b in range(256) for c in [bytes([b]).decode("cp1252", "ignore") or chr(b)]}
 
 
+def label_languages(label: str | None) -> list[str]:
+    """The two-letter codes of the languages that a label names, each by a code, a region tag or a name; sorted.
+
+    Several names may be joined by commas, semicolons, slashes, bars, plus or ampersand signs. A name's first word counts
+    (``de-DE``, ``English (US)``, ``lang=de``); a later one only if it is a name of four letters or more (``Brazilian Portuguese``).
+    """
+    found = set()
+    for part in re.split(r"[,;/|+&]", plain(label or "")):
+        words = [w for w in re.findall(r"[^\W\d_]+", part) if w not in _PREFIX_WORDS]
+        code = _BY_NAME.get(words[0]) if words else None
+        code = code or next((_BY_NAME[w] for w in words[1:] if len(w) >= 4 and w in _BY_NAME), None)
+        if code:
+            found.add(code)
+    return sorted(found)
+
+
 def label_language(label: str | None) -> str | None:
-    """The two-letter code that a label names by a code, a region tag or a name, else None."""
-    if label is None:
-        return None
-    head = re.split(r"[-_\s(,;/]", label.strip().lower())[0]
-    return _BY_NAME.get(head)
+    """The one language that a label names, else None."""
+    codes = label_languages(label)
+    return codes[0] if len(codes) == 1 else None
 
 
 def repair(text: str) -> str:
@@ -254,8 +279,9 @@ def labelled_sample(documents: DataFrame, per_language: int = SAMPLE_DOCUMENTS,
     The bound holds at any size of the corpus; only its few texts come to the driver.
     """
     head = F.split(F.lower(F.trim(F.col(lang))), r"[-_\s(,;/]")[0]
-    pairs = F.create_map(*[F.lit(x) for name, code in _BY_NAME.items() for x in (name, code)])
-    code = F.element_at(pairs, F.when(head.isin(list(_BY_NAME)), head))
+    names = {spelling: code for code, given in NAMES.items() for name in given for spelling in (name, plain(name))}
+    pairs = F.create_map(*[F.lit(x) for name, code in names.items() for x in (name, code)])
+    code = F.element_at(pairs, F.when(head.isin(list(names)), head))
     rows = documents.where(F.length(text).between(20, most_chars)).select(code.alias("code"), F.col(text).alias("text")).where("code is not null")
     n = F.xxhash64("text")
     best = rows.groupBy("code", F.pmod(n, F.lit(per_language)).alias("slot")).agg(F.min_by("text", n).alias("text"))
@@ -331,7 +357,7 @@ def detect_batch(batch: pa.RecordBatch, profiles: Profiles, known: dict[str, tup
     best, lead = classify_known(profiles, flat, {} if known is None else known)
     rows = []
     for at_row, (doc, label, (at, got)) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), held, strict=True)):
-        named = label_language(label)
+        named = ",".join(label_languages(label)) or None
         span = slice(at, at + len(got))
         own = segments_of(got, best[span], lead[span]) if got else []
         if every and not own:
@@ -359,7 +385,7 @@ def language_segments(documents: DataFrame, profiles: Profiles | None = None, ev
     """Passages in one language: ``doc_id, lang_named, segment, begin, stop, lang, confidence, sentences``.
 
     ``begin`` and ``stop`` are character positions in the text, ``lang_named`` is the language its label
-    names (null for none). Null, empty and blank texts and texts without a full sentence give no rows, or
+    names (null for none, several joined by commas). Null, empty and blank texts and texts without a full sentence give no rows, or
     with ``every`` one of no sentences and no confidence, in the language nearest to their words, else ``und``.
     One pass over whole texts, without a shuffle.
     """
@@ -377,4 +403,5 @@ def document_languages(segments: DataFrame) -> DataFrame:
 
 def unnamed_languages(segments: DataFrame) -> DataFrame:
     """``doc_id, lang``: languages with a full sentence in the text that its label does not name."""
-    return segments.where(~F.col("lang").eqNullSafe(F.col("lang_named"))).select("doc_id", "lang").distinct()
+    named = F.array_contains(F.split(F.coalesce("lang_named", F.lit("")), ","), F.col("lang"))
+    return segments.where(~named).select("doc_id", "lang").distinct()

@@ -88,7 +88,17 @@ def test_positions_are_of_the_text(profiles):
 def test_labels():
     for label, code in {"EN": "en", "en_GB": "en", "pt-BR": "pt", "Deutsch": "de", "Français": "fr", "jpn": "ja", " Spanish ": "es", "ger": "de", "Portuguese (Brazil)": "pt"}.items():
         assert L.label_language(label) == code
-    assert {L.label_language(x) for x in (None, "", " ", "und", "xx", "n/a", "unknown", "-")} == {None}
+    assert {L.label_language(x) for x in (None, "", " ", "und", "xx", "n/a", "unknown", "-", "xx-DE", "??", "en, de")} == {None}
+    for label, codes in {"Franc\u0327ais": ["fr"], "FRANCAIS": ["fr"], "Brazilian Portuguese": ["pt"], "lang=de": ["de"], "en_US.UTF-8": ["en"], "[nl]": ["nl"], "ドイツ語": ["de"], "en / German": ["de", "en"], "ＳＶ": ["sv"], "pt (Brasil), es-419": ["es", "pt"]}.items():
+        assert L.label_languages(label) == codes, label
+    assert sum(map(len, L.NAMES.values())) < 200
+
+
+def test_all_languages_of_a_label_are_named(spark, profiles):
+    text = f"{CLEAN['de']} {CLEAN['de']}\n{CLEAN['en']} {CLEAN['en']}\n{CLEAN['ru']}"
+    df = spark.createDataFrame([(1, text, "de; English"), (2, text, None), (3, text, "xx")], "doc_id long, text string, lang string")
+    found = L.unnamed_languages(L.language_segments(df, profiles)).collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in found) == [(1, "ru"), *[(d, c) for d in (2, 3) for c in ("de", "en", "ru")]]
 
 
 def test_documents_with_nulls_repeats_and_a_very_long_text(spark, profiles):
