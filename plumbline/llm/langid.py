@@ -60,10 +60,9 @@ _MULTIPLIER = np.uint64(0x100000001B3)
 _FENCE = re.compile(r"^[ \t]*```.*?(?:^[ \t]*```[^\n]*|\Z)", re.S | re.M)
 _BLANKED = re.compile(r"`[^`\n]*`|</?[A-Za-z][^<>\n]{0,200}>|&(?:lt|gt|amp|quot|nbsp|#\d+);|\x1b\[[0-9;]*m|https?://\S+|[\u200b\u200c\u200d\u2060\ufeff]+")
 _LINE = re.compile(r"[^\r\n  \x85\x0b\x0c]+")
-_NO_PROSE = re.compile(r"^\s*(?:#|\||[{}])|[;{}|]\s*$")
+_NO_PROSE_START, _NO_PROSE_END = tuple("#|{}"), tuple(";{}|")
 _COMMENT = re.compile(r"^\s*//(?!/)")
-_SENTENCE = re.compile(r".+?(?:[.!?…]+(?=[\s\"'”’»)\]]|$)|[。！？]+|$)", re.S)
-_ENDED = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
+_END = re.compile(r"[.!?…]+(?=[\s\"'”’»)\]]|$)|[。！？]+")
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _KANA = re.compile(r"[぀-ヿ一-鿿]")
 _JAPANESE = re.compile(r"[぀-ヿ㐀-鿿]+")
@@ -113,7 +112,21 @@ def _piece(text: str) -> str:
 
 #: Words and sentences remembered per worker; beyond that the memory starts afresh.
 REMEMBERED = 300_000
-_words: dict[str, str] = {}
+
+
+class _Words(dict):
+    """The words in each blank-separated token seen, found when it is first asked for."""
+
+    def __missing__(self, raw: str) -> str:
+        word = _word(raw)
+        if len(raw) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[raw] = word
+        return word
+
+
+_words = _Words()
 
 
 def _word(raw: str) -> str:
@@ -129,18 +142,8 @@ def _word(raw: str) -> str:
 def words_of(sentence: str) -> str:
     """Lower-case words of a sentence with single blanks around; identifiers and numbers are left out."""
     text = sentence if sentence.isascii() else unicodedata.normalize("NFC", repair(sentence)).replace("\u00ad", "")
-    kept = []
-    for raw in text.split():
-        word = _words.get(raw)
-        if word is None:
-            if len(_words) >= REMEMBERED:
-                _words.clear()
-            word = _word(raw)
-            if len(raw) <= 64:
-                _words[raw] = word
-        if word:
-            kept.append(word)
-    return f" {' '.join(kept)} " if kept else ""
+    kept = " ".join(filter(None, map(_words.__getitem__, text.split())))
+    return f" {kept} " if kept else ""
 
 
 def _outside_code(text: str) -> str:
@@ -161,15 +164,19 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     shown = _outside_code(text)
     out = []
     for line in _LINE.finditer(shown):
-        if _NO_PROSE.search(line[0]):
+        said = line[0].strip()
+        if not said or said.startswith(_NO_PROSE_START) or said.endswith(_NO_PROSE_END):
             continue
-        for m in _SENTENCE.finditer(_COMMENT.sub(_blank, line[0])):
-            if not _ENDED.search(m[0]):
+        whole = _COMMENT.sub(_blank, line[0]) if said.startswith("//") else line[0]
+        at = 0
+        for end in _END.finditer(whole):
+            part, first, at = whole[at : end.end()], at, end.end()
+            if len(part) < 6:
                 continue
-            words = words_of(m[0])
-            if words.count(" ") >= 4 or len(_KANA.findall(words)) >= 5:
-                begin = line.start() + m.start() + len(m[0]) - len(m[0].lstrip())
-                out.append((begin, line.start() + len(m[0].rstrip()) + m.start(), words))
+            words = words_of(part)
+            if words.count(" ") >= 4 or not words.isascii() and len(_KANA.findall(words)) >= 5:
+                begin = line.start() + first + len(part) - len(part.lstrip())
+                out.append((begin, line.start() + at, words))
     return out
 
 
@@ -238,7 +245,7 @@ class Profiles:
         if not len(key):
             return out
         text, gram = np.divmod(key, len(self.codes))
-        order = np.lexsort((self.overall[gram], -n, text))
+        order = np.argsort((text * (n.max() + 1) - n) * len(self.codes) + self.overall[gram])  # by text, count, and rank over all languages
         text, gram = text[order], gram[order]
         firsts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
         sizes = np.diff(np.append(firsts, len(text)))
