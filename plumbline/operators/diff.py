@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.metrics import is_bcl, round_even
+from plumbline.operators.rollup import EXACT
 
 #: Measures of a project that are compared.
 PROJECT_MEASURES = ["type_count", "method_count", "total_cc", "total_loc", "max_dit", "error_count", "warning_count"]
@@ -42,25 +43,33 @@ def project_diff(projects: DataFrame, pairs: DataFrame, further: dict[str, int]
 
 
 def changed_projects(diffs: DataFrame) -> DataFrame:
-    """Projects of both snapshots in which complexity, lines, types or warnings differ."""
+    """Projects of both snapshots in which the maintainability index, complexity, lines or warnings differ."""
     differs = F.lit(False)
-    for m in ("total_cc", "total_loc", "type_count", "warning_count"):
+    for m in ("mi", "total_cc", "total_loc", "warning_count"):
         differs = differs | (F.col(f"{m}_delta") != 0)
     return diffs.where(~F.col("is_added") & ~F.col("is_removed") & differs)
 
 
-def totals_diff(projects: DataFrame, diagnostics: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sums of both snapshots of each pair and their deltas; snapshots without rows read as zeros."""
+#: What is summed up of a snapshot; the average index is rounded to one digit.
+TOTALS = ["projects", "types", "methods", "cc", "loc", "errors", "warnings", "info", "hidden_n", "avg_mi"]
+
+
+def snapshot_totals(projects: DataFrame, methods: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """``snapshot_id`` and ``TOTALS`` of every snapshot that has any rows; what it lacks is 0."""
     sums = projects.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("projects"), *[F.coalesce(F.sum(c).cast("bigint"), F.lit(0)).alias(n) for c, n in (("type_count", "types"), ("method_count", "methods"), ("total_cc", "cc"), ("total_loc", "loc"))])
     found = diagnostics.groupBy("snapshot_id").agg(*[F.count_if(F.col("severity") == k).alias(n) for k, n in enumerate(("hidden_n", "info", "warnings", "errors"))])
-    both = sums.join(found, "snapshot_id", "full_outer").na.fill(0)
-    names = ["projects", "types", "methods", "cc", "loc", "errors", "warnings", "info", "hidden_n"]
+    return sums.join(found, "snapshot_id", "full_outer").join(average_maintainability(methods), "snapshot_id", "full_outer").na.fill(0).select("snapshot_id", *TOTALS)
+
+
+def totals_diff(totals: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Totals of both snapshots of each pair and their deltas; snapshots without rows read as zeros."""
     out = pairs
     for side in ("base", "head"):
-        own = both.select(F.col("snapshot_id").alias(f"{side}_snapshot_id"), *[F.col(n).alias(f"{side}_{n}") for n in names])
+        own = totals.select(F.col("snapshot_id").alias(f"{side}_snapshot_id"), *[F.col(n).alias(f"{side}_{n}") for n in TOTALS])
         out = out.join(own, f"{side}_snapshot_id", "left")
     out = out.na.fill(0)
-    return out.select("head_snapshot_id", "base_snapshot_id", *[c for n in names for c in (F.col(f"base_{n}"), F.col(f"head_{n}"), (F.col(f"head_{n}") - F.col(f"base_{n}")).alias(f"{n}_delta"))])
+    delta = lambda n: round_even(F.col(f"head_{n}") - F.col(f"base_{n}"), 1) if n == "avg_mi" else F.col(f"head_{n}") - F.col(f"base_{n}")
+    return out.select("head_snapshot_id", "base_snapshot_id", *[c for n in TOTALS for c in (F.col(f"base_{n}"), F.col(f"head_{n}"), delta(n).alias(f"{n}_delta"))])
 
 
 def reference_changes(refs: DataFrame, pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -119,4 +128,35 @@ def diagnostic_counts(changes: DataFrame, diagnostics: DataFrame) -> DataFrame:
 
 
 def average_maintainability(methods: DataFrame) -> DataFrame:
-    return methods.groupBy("snapshot_id").agg(F.coalesce(round_even(F.avg("maintainability_index"), 1), F.lit(0.0)).alias("avg_mi"))
+    """The mean index of a snapshot's methods, summed in fixed point and rounded to one digit; 0 where there is none."""
+    mean = F.sum(F.col("maintainability_index").cast(EXACT)).cast("double") / F.nullif(F.count("maintainability_index"), F.lit(0))
+    return methods.groupBy("snapshot_id").agg(F.coalesce(round_even(mean, 1), F.lit(0.0)).alias("avg_mi"))
+
+
+def diff_metadata(snapshots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What is shown of both snapshots of each pair, and whether both have measures of their methods."""
+    out = pairs
+    for side in ("base", "head"):
+        out = out.join(snapshots.select(F.col("snapshot_id").alias(f"{side}_snapshot_id"), *[F.col(c).alias(f"{side}_{c}") for c in METADATA]), f"{side}_snapshot_id", "left")
+    full = lambda side: F.coalesce(F.lower(f"{side}_analysis_mode") == "full", F.lit(False))
+    return out.select("head_snapshot_id", "base_snapshot_id", *[f"{side}_{c}" for side in ("base", "head") for c in METADATA], (full("base") & full("head")).alias("has_complexity"))
+
+
+#: Columns of a snapshot that a comparison names.
+METADATA = ["solution_path", "analyzed_at", "commit_sha", "branch_name", "analysis_mode"]
+
+
+def compare(metadata: DataFrame, totals: DataFrame, projects: DataFrame, diagnostics: DataFrame, presence: DataFrame) -> DataFrame:
+    """One row per pair: metadata, totals, and counts of what ``projects``, ``diagnostics`` and ``presence`` say in detail.
+
+    The details stay tables of their own, as a pair may have any number of them: ``project_diff``, ``diagnostic_counts``
+    and the ``reference_changes`` of whole snapshots. A pair without any reads as zeros.
+    """
+    per = projects.groupBy("head_snapshot_id").agg(F.count_if("is_added").alias("projects_added"), F.count_if("is_removed").alias("projects_removed"))
+    changed = changed_projects(projects).groupBy("head_snapshot_id").agg(F.count(F.lit(1)).alias("projects_changed"))
+    names = presence.groupBy("head_snapshot_id").agg(F.count_if(F.col("outcome") == "added").alias("new_to_solution"), F.count_if(F.col("outcome") == "removed").alias("removed_from_solution"))
+    out = metadata.join(totals.drop("base_snapshot_id"), "head_snapshot_id", "left")
+    for part in (per, changed, names, diagnostics):
+        out = out.join(part, "head_snapshot_id", "left")
+    counts = [c for part in (per, changed, names, diagnostics) for c in part.columns if c != "head_snapshot_id"]
+    return out.na.fill(0, counts)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import metrics as fn
-from plumbline.operators import coupling, diff, rollup, snapshot_diff
+from plumbline.operators import coupling, diff, references, rollup, snapshot_diff
 from plumbline.operators.snapshot_pairs import consecutive_snapshots, snapshot_roles
 from plumbline.operators.tokens import OPERAND_WORDS, OPERATOR_SYMBOLS, OPERATOR_WORDS, PATTERN, RESERVED, depth_of_inheritance, halstead
 from plumbline.session import durable
@@ -361,75 +361,211 @@ def _pairs(m: Model) -> DataFrame:
     return durable(consecutive_snapshots(m.snapshots()))
 
 
-_PM = ["type_count", "method_count", "total_cc", "total_loc", "max_dit", "error_count", "warning_count"]
-_J1 = f"""j AS (SELECT coalesce(b.head, h.head) AS head, coalesce(h.project_name, b.project_name) AS project, b.head IS NULL AS is_added, h.head IS NULL AS is_removed,
-        {', '.join(f'CAST(coalesce(b.{x}, 0) AS BIGINT) AS base_{x}, CAST(coalesce(h.{x}, 0) AS BIGINT) AS head_{x}, CAST(coalesce(h.{x}, 0) - coalesce(b.{x}, 0) AS BIGINT) AS {x}_delta' for x in _PM)}
-        FROM (SELECT head, pr.* FROM pairs JOIN pr ON snapshot_id = base WHERE project_name IS NOT NULL) b
-        FULL JOIN (SELECT head, pr.* FROM pairs JOIN pr ON snapshot_id = head WHERE project_name IS NOT NULL) h ON b.head = h.head AND lower(b.project_name) = lower(h.project_name))"""
+#: Packages in DuckDB: references whose target is no listed project.
+_PACKAGES = f"""pk AS (SELECT r.* FROM (SELECT DISTINCT snapshot_id, from_entity AS project, to_entity AS ref FROM e WHERE dep_type = 0) r
+        LEFT JOIN (SELECT DISTINCT snapshot_id, project_name AS x FROM pr WHERE project_name IS NOT NULL) n ON n.snapshot_id = r.snapshot_id AND n.x = r.ref WHERE n.x IS NULL),
+        pkc AS (SELECT snapshot_id, project, count(*) AS ed, count(*) FILTER ({_BCL.replace('x ', 'ref ')}) AS edb, count(*) FILTER (NOT {_BCL.replace('x ', 'ref ')}) AS edp FROM pk GROUP BY 1, 2)"""
+#: The measures of a project beyond those in its row.
+_WIDE = f"""{_PROJECT_ROLES}, c0 AS ({_measure_sql('r0')}), {_PACKAGES},
+        q0 AS (SELECT snapshot_id, project, round_even(CASE WHEN sum(min_) > 0 THEN CAST(sum(mis) AS DOUBLE) / sum(min_) ELSE 0 END * 10, 0) / 10 AS mi FROM pt GROUP BY 1, 2),
+        pw AS (SELECT pr.*, coalesce(q0.mi, 0.0::DOUBLE) AS mi, coalesce(c0.id, 0) AS id, coalesce(c0.idx, 0) AS idx, coalesce(round_even(c0.dr * 100, 0) / 100, 0.0::DOUBLE) AS dr, coalesce(c0.ed, 0) AS ed,
+                      coalesce(pkc.ed, 0) AS packages, coalesce(pkc.edb, 0) AS edb, coalesce(pkc.edp, 0) AS edp
+               FROM pr LEFT JOIN q0 ON q0.snapshot_id = pr.snapshot_id AND q0.project = project_name LEFT JOIN c0 ON c0.snapshot_id = pr.snapshot_id AND c0.entity = project_name
+               LEFT JOIN pkc ON pkc.snapshot_id = pr.snapshot_id AND pkc.project = project_name)"""
+_PM = [*diff.PROJECT_MEASURES, *diff.FURTHER_MEASURES]
 
 
-@query("j1_project_diff", f"{_with('s', 'pairs', 'pr')}, {_J1} SELECT head AS head_snapshot_id, * EXCLUDE (head) FROM j")
+def _delta_sql(measure: str) -> str:
+    digits = diff.FURTHER_MEASURES.get(measure, 0)
+    side = lambda x: f"coalesce({x}.{measure}, 0)::DOUBLE" if digits else f"CAST(coalesce({x}.{measure}, 0) AS BIGINT)"
+    delta = f"round_even(({side('h')} - {side('b')}) * {10**digits}, 0) / {10**digits}" if digits else f"{side('h')} - {side('b')}"
+    return f"{side('b')} AS base_{measure}, {side('h')} AS head_{measure}, {delta} AS {measure}_delta"
+
+
+_J1 = f"""{_WIDE}, j AS (SELECT coalesce(b.head, h.head) AS head, coalesce(h.project_name, b.project_name) AS project, b.head IS NULL AS is_added, h.head IS NULL AS is_removed,
+        {', '.join(map(_delta_sql, _PM))}
+        FROM (SELECT head, pw.* FROM pairs JOIN pw ON snapshot_id = base WHERE project_name IS NOT NULL) b
+        FULL JOIN (SELECT head, pw.* FROM pairs JOIN pw ON snapshot_id = head WHERE project_name IS NOT NULL) h ON b.head = h.head AND lower(b.project_name) = lower(h.project_name))"""
+_DIFF = ("s", "pairs", "m", "t", "pt", "pr", "e", "a")
+
+
+@query("j1_project_diff", f"{_with(*_DIFF)}, {_J1} SELECT head AS head_snapshot_id, * EXCLUDE (head) FROM j")
 def j1_project_diff(m: Model) -> DataFrame:
-    return diff.project_diff(m.projects(), _pairs(m))
+    """All measures of a project; ``ed`` is that of its coupling, which has no external edges, ``edb`` and ``edp`` count packages."""
+    more = _compact_projects(m).select(F.col("snapshot_id").alias("_s"), "n", *[c for c in diff.FURTHER_MEASURES if c != "ed"])
+    wide = m.projects().join(more, (F.col("snapshot_id") == F.col("_s")) & (F.col("project_name") == F.col("n")), "left").withColumn("ed", F.lit(0))
+    return diff.project_diff(durable(wide.drop("_s", "n")), _pairs(m), diff.FURTHER_MEASURES)
 
 
-@query("pr12_changed_projects", f"{_with('s', 'pairs', 'pr')}, {_J1} SELECT head AS head_snapshot_id, project, total_cc_delta, CASE WHEN total_cc_delta > 50 OR (base_total_cc > 0 AND total_cc_delta::DOUBLE / base_total_cc > 0.1) THEN 'bad_increase' ELSE 'neutral' END AS semantic, CASE WHEN warning_count_delta > 0 THEN '+' || warning_count_delta ELSE CAST(warning_count_delta AS VARCHAR) END AS warnings_shown FROM j WHERE NOT is_added AND NOT is_removed AND (total_cc_delta <> 0 OR total_loc_delta <> 0 OR type_count_delta <> 0 OR warning_count_delta <> 0)")
+_CHANGED = "NOT is_added AND NOT is_removed AND (mi_delta <> 0 OR total_cc_delta <> 0 OR total_loc_delta <> 0 OR warning_count_delta <> 0)"
+
+
+@query("pr12_changed_projects", f"{_with(*_DIFF)}, {_J1} SELECT head AS head_snapshot_id, project, mi_delta, total_cc_delta, CASE WHEN total_cc_delta > 50 OR (base_total_cc > 0 AND total_cc_delta::DOUBLE / base_total_cc > 0.1) THEN 'bad_increase' ELSE 'neutral' END AS semantic, CASE WHEN warning_count_delta > 0 THEN '+' || warning_count_delta ELSE CAST(warning_count_delta AS VARCHAR) END AS warnings_shown FROM j WHERE {_CHANGED}")
 def p12_changed_projects(m: Model) -> DataFrame:
     rows = diff.changed_projects(j1_project_diff(m))
-    return rows.select("head_snapshot_id", "project", "total_cc_delta", fn.complexity_semantic("total_cc_delta", "base_total_cc").alias("semantic"), fn.signed_delta("warning_count_delta").alias("warnings_shown"))
+    return rows.select("head_snapshot_id", "project", "mi_delta", "total_cc_delta", fn.complexity_semantic("total_cc_delta", "base_total_cc").alias("semantic"), fn.signed_delta("warning_count_delta").alias("warnings_shown"))
 
 
-_TOT = ["projects", "types", "methods", "cc", "loc", "errors", "warnings", "info", "hidden_n"]
+@query("t5_maintainability_order", f"{_with(*_DIFF)}, {_J1} SELECT head AS head_snapshot_id, project, mi_delta, CAST(row_number() OVER (PARTITION BY head ORDER BY abs(mi_delta) DESC, lower(project), project) AS INTEGER) AS rank_no FROM j WHERE {_CHANGED}")
+def t5_maintainability_order(m: Model) -> DataFrame:
+    w = Window.partitionBy("head_snapshot_id").orderBy(F.abs("mi_delta").desc(), F.lower("project"), "project")
+    return diff.changed_projects(j1_project_diff(m)).select("head_snapshot_id", "project", "mi_delta", F.row_number().over(w).alias("rank_no"))
 
 
 @query(
-    "a35_totals_diff",
-    f"""{_with('s', 'pairs', 'pr', 'd')}, x AS (SELECT snapshot_id, count(*) AS projects, sum(type_count) AS types, sum(method_count) AS methods, sum(total_cc) AS cc, sum(total_loc) AS loc FROM pr GROUP BY 1),
-    y AS (SELECT snapshot_id, {_LEVELS} FROM d GROUP BY 1), z AS (SELECT s.snapshot_id, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in _TOT)} FROM s LEFT JOIN x USING (snapshot_id) LEFT JOIN y USING (snapshot_id))
-    SELECT head AS head_snapshot_id, base AS base_snapshot_id, {', '.join(f'b.{c} AS base_{c}, h.{c} AS head_{c}, h.{c} - b.{c} AS {c}_delta' for c in _TOT)} FROM pairs JOIN z b ON b.snapshot_id = base JOIN z h ON h.snapshot_id = head""",
+    "t12_largest_changes",
+    f"""{_with(*_DIFF)}, {_J1} SELECT head AS head_snapshot_id, project, mi_delta, CAST(rn AS INTEGER) AS rank_no FROM (
+        SELECT *, row_number() OVER (PARTITION BY head ORDER BY abs(mi_delta) DESC, project) AS rn FROM j WHERE NOT is_added AND NOT is_removed) WHERE rn <= 10""",
 )
+def t12_largest_changes(m: Model) -> DataFrame:
+    both = j1_project_diff(m).where("not is_added and not is_removed")
+    w = Window.partitionBy("head_snapshot_id").orderBy(F.abs("mi_delta").desc(), "project")
+    return both.withColumn("rank_no", F.row_number().over(w)).where("rank_no <= 10").select("head_snapshot_id", "project", "mi_delta", "rank_no")
+
+
+_TOT = diff.TOTALS[:-1]
+_TOTALS_SQL = f"""x AS (SELECT snapshot_id, count(*) AS projects, sum(type_count) AS types, sum(method_count) AS methods, sum(total_cc) AS cc, sum(total_loc) AS loc FROM pr GROUP BY 1),
+    y AS (SELECT snapshot_id, {_LEVELS} FROM d GROUP BY 1), v AS (SELECT snapshot_id, round_even(CAST(sum(CAST(mi AS DECIMAL(28,10))) AS DOUBLE) / count(mi) * 10, 0) / 10 AS avg_mi FROM m GROUP BY 1 HAVING count(mi) > 0),
+    z AS (SELECT s.snapshot_id, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in _TOT)}, coalesce(avg_mi, 0.0::DOUBLE) AS avg_mi FROM s LEFT JOIN x USING (snapshot_id) LEFT JOIN y USING (snapshot_id) LEFT JOIN v USING (snapshot_id)),
+    w AS (SELECT head AS head_snapshot_id, base AS base_snapshot_id, {', '.join(f'b.{c} AS base_{c}, h.{c} AS head_{c}, h.{c} - b.{c} AS {c}_delta' for c in _TOT)},
+          b.avg_mi AS base_avg_mi, h.avg_mi AS head_avg_mi, round_even((h.avg_mi - b.avg_mi) * 10, 0) / 10 AS avg_mi_delta FROM pairs JOIN z b ON b.snapshot_id = base JOIN z h ON h.snapshot_id = head)"""
+
+
+def _totals(m: Model) -> DataFrame:
+    return diff.totals_diff(diff.snapshot_totals(m.projects(), m.methods(), m.diagnostics()), _pairs(m))
+
+
+@query("a35_totals_diff", f"{_with('s', 'pairs', 'pr', 'd', 'm')}, {_TOTALS_SQL} SELECT * FROM w")
 def a35_totals_diff(m: Model) -> DataFrame:
-    return diff.totals_diff(m.projects(), m.diagnostics(), _pairs(m))
+    return _totals(m)
 
 
 _REFS = """refs AS (SELECT snapshot_id, from_entity AS project, min(to_entity) AS ref FROM e WHERE dep_type = 0 GROUP BY snapshot_id, from_entity, lower(to_entity)),
         sgn AS (SELECT head, project, ref, 1 AS g FROM pairs JOIN refs ON snapshot_id = head UNION ALL SELECT head, project, ref, -1 FROM pairs JOIN refs ON snapshot_id = base)"""
+_FRESH = """srefs AS (SELECT snapshot_id, min(to_entity) AS ref FROM e WHERE dep_type = 0 GROUP BY snapshot_id, lower(to_entity)),
+        ssgn AS (SELECT head, ref, 1 AS g FROM pairs JOIN srefs ON snapshot_id = head UNION ALL SELECT head, ref, -1 FROM pairs JOIN srefs ON snapshot_id = base),
+        fresh AS (SELECT head, ref, sum(g) AS g FROM ssgn GROUP BY head, ref HAVING sum(g) <> 0)"""
+#: References added to projects that both snapshots hold.
+_ADDED = f"""{_REFS}, here AS (SELECT DISTINCT snapshot_id, lower(project_name) AS k FROM pr WHERE project_name IS NOT NULL UNION SELECT DISTINCT snapshot_id, lower(from_entity) FROM e WHERE dep_type = 0),
+        added AS (SELECT c.* FROM (SELECT head, project, ref FROM sgn GROUP BY head, project, ref HAVING sum(g) > 0) c JOIN pairs USING (head)
+                  JOIN here b ON b.snapshot_id = base AND b.k = lower(project) JOIN here h ON h.snapshot_id = head AND h.k = lower(project))"""
 
 
 def _refs(m: Model) -> DataFrame:
     return m.edges().where("dep_type = 0").select("snapshot_id", F.col("from_entity").alias("project"), F.col("to_entity").alias("ref"))
 
 
+def _added(m: Model) -> DataFrame:
+    refs, pairs = durable(_refs(m)), _pairs(m)
+    changes = diff.reference_changes(refs, pairs, ["project"]).where("outcome = 'added'")
+    return references.of_both_snapshots(changes, references.present_projects(m.projects(), refs), pairs)
+
+
 @query("u4_reference_changes", f"{_with('s', 'pairs', 'e')}, {_REFS} SELECT head AS head_snapshot_id, project, ref, CASE WHEN sum(g) > 0 THEN 'added' ELSE 'removed' END AS outcome FROM sgn GROUP BY head, project, ref HAVING sum(g) <> 0")
 def u4_reference_changes(m: Model) -> DataFrame:
     return diff.reference_changes(_refs(m), _pairs(m), ["project"])
 
 
-@query(
-    "u5_new_to_solution",
-    f"""{_with('s', 'pairs', 'e')}, refs AS (SELECT snapshot_id, min(to_entity) AS ref FROM e WHERE dep_type = 0 GROUP BY snapshot_id, lower(to_entity)),
-    sgn AS (SELECT head, ref, 1 AS g FROM pairs JOIN refs ON snapshot_id = head UNION ALL SELECT head, ref, -1 FROM pairs JOIN refs ON snapshot_id = base)
-    SELECT head AS head_snapshot_id, ref, CASE WHEN sum(g) > 0 THEN 'added' ELSE 'removed' END AS outcome FROM sgn GROUP BY head, ref HAVING sum(g) <> 0""",
-)
+@query("u5_new_to_solution", f"{_with('s', 'pairs', 'e')}, {_FRESH} SELECT head AS head_snapshot_id, ref, CASE WHEN g > 0 THEN 'added' ELSE 'removed' END AS outcome FROM fresh")
 def u5_new_to_solution(m: Model) -> DataFrame:
+    """Of all references of a snapshot, to projects and packages alike."""
     return diff.reference_changes(_refs(m).drop("project"), _pairs(m))
 
 
-@query("t8_reference_summary")
+@query(
+    "u3_package_changes",
+    f"""{_with('s', 'pairs', 'e', 'pr')}, {_PACKAGES}, sp AS (SELECT head, lower(project) AS k, ref, 1 AS g, min(project) AS p FROM pairs JOIN pk ON snapshot_id = head GROUP BY ALL
+    UNION ALL SELECT head, lower(project), ref, -1, min(project) FROM pairs JOIN pk ON snapshot_id = base GROUP BY ALL)
+    SELECT head AS head_snapshot_id, min(p) AS project, ref, CASE WHEN sum(g) > 0 THEN 'added' ELSE 'removed' END AS outcome, {_BCL.replace('x ', 'ref ')} AS is_bcl FROM sp GROUP BY head, k, ref HAVING sum(g) <> 0""",
+)
+def u3_package_changes(m: Model) -> DataFrame:
+    return references.external_changes(references.package_references(_refs(m), m.projects()), _pairs(m))
+
+
+@query(
+    "t7_external_changes",
+    f"""{_with('s', 'pairs', 'e', 'pr')}, {_PACKAGES}, here AS (SELECT DISTINCT snapshot_id, lower(project_name) AS k FROM pr WHERE project_name IS NOT NULL UNION SELECT DISTINCT snapshot_id, lower(from_entity) FROM e WHERE dep_type = 0),
+    sp AS (SELECT head, base, lower(project) AS k, ref, 1 AS g, min(project) AS p FROM pairs JOIN pk ON snapshot_id = head GROUP BY ALL UNION ALL SELECT head, base, lower(project), ref, -1, min(project) FROM pairs JOIN pk ON snapshot_id = base GROUP BY ALL),
+    ch AS (SELECT head, base, k, min(p) AS project, ref, sum(g) AS g FROM sp GROUP BY head, base, k, ref HAVING sum(g) <> 0),
+    per AS (SELECT head, project, count(*) FILTER (g > 0 AND {_BCL.replace('x ', 'ref ')}) AS bcl_added, count(*) FILTER (g > 0 AND NOT {_BCL.replace('x ', 'ref ')}) AS packages_added, CAST(sum(g) AS BIGINT) AS external_delta
+            FROM ch JOIN here b ON b.snapshot_id = base AND b.k = ch.k JOIN here h ON h.snapshot_id = head AND h.k = ch.k GROUP BY head, project)
+    SELECT head AS head_snapshot_id, project, bcl_added, packages_added, external_delta, CAST(rn AS INTEGER) AS rank_no FROM (SELECT *, row_number() OVER (PARTITION BY head ORDER BY abs(external_delta) DESC, lower(project), project) AS rn FROM per WHERE bcl_added + packages_added > 0) WHERE rn <= 10""",
+)
+def t7_external_changes(m: Model) -> DataFrame:
+    """Projects with added packages, those whose number of packages changed most first."""
+    refs, pairs = durable(_refs(m)), _pairs(m)
+    changes = references.external_changes(references.package_references(refs, m.projects()), pairs)
+    kept = references.of_both_snapshots(changes, references.present_projects(m.projects(), refs), pairs)
+    new = F.col("outcome") == "added"
+    per = kept.groupBy("head_snapshot_id", "project").agg(F.count_if(new & F.col("is_bcl")).alias("bcl_added"), F.count_if(new & ~F.col("is_bcl")).alias("packages_added"), F.sum(F.when(new, 1).otherwise(-1)).alias("external_delta"))
+    w = Window.partitionBy("head_snapshot_id").orderBy(F.abs("external_delta").desc(), F.lower("project"), "project")
+    return per.where("bcl_added + packages_added > 0").withColumn("rank_no", F.row_number().over(w)).where("rank_no <= 10")
+
+
+@query(
+    "t8_reference_summary",
+    f"""{_with('s', 'pairs', 'e', 'pr')}, {_ADDED}, {_FRESH}, k AS (SELECT DISTINCT head, lower(ref) AS k FROM fresh WHERE g > 0),
+    mk AS (SELECT a2.*, k.k IS NOT NULL AS is_new, '`' || replace(ref, '|', '\\|') || '`' || CASE WHEN k.k IS NOT NULL THEN ' 🆕' ELSE '' END AS shown FROM added a2 LEFT JOIN k ON k.head = a2.head AND k.k = lower(ref))
+    SELECT head AS head_snapshot_id, project, count(*) FILTER ({_BCL.replace('x ', 'ref ')}) AS bcl_added, count(*) FILTER (NOT {_BCL.replace('x ', 'ref ')}) AS packages_added, count(*) FILTER (is_new) AS new_to_solution,
+           array_to_string(list_slice(list(shown ORDER BY ref), 1, 3), ', ') || CASE WHEN count(*) > 3 THEN ', +' || (count(*) - 3) || ' more' ELSE '' END AS summary FROM mk GROUP BY head, project""",
+)
 def t8_reference_summary(m: Model) -> DataFrame:
-    pairs = _pairs(m)
-    changes = diff.reference_changes(_refs(m), pairs, ["project"])
-    return diff.reference_summary(changes, diff.reference_changes(_refs(m).drop("project"), pairs))
+    return diff.reference_summary(_added(m).withColumn("outcome", F.lit("added")), diff.reference_changes(_refs(m).drop("project"), _pairs(m)))
 
 
-@query("d2_diagnostic_counts")
-def d2_diagnostic_counts(m: Model) -> DataFrame:
+@query("a34_package_counts", f"{_with('e', 'pr')}, {_PACKAGES} SELECT snapshot_id, project AS n, ed, edb, edp FROM pkc")
+def a34_package_counts(m: Model) -> DataFrame:
+    return references.package_counts(references.package_references(_refs(m), m.projects()))
+
+
+_D2 = f"""dx AS (SELECT head, lower(project) AS a, lower(id) AS b, severity, lower(message) AS c, lower(file) AS f, line, col_no, count(*) FILTER (snapshot_id = base) AS nb, count(*) FILTER (snapshot_id = head) AS nh
+                FROM pairs JOIN d ON snapshot_id IN (base, head) WHERE pos IS NOT NULL GROUP BY ALL),
+        dl AS (SELECT head, severity, sum(greatest(nb - nh, 0)) AS lb, sum(greatest(nh - nb, 0)) AS lh FROM dx GROUP BY head, a, b, severity, c, f),
+        dc AS (SELECT head, {', '.join(f"CAST(coalesce(sum({x}) FILTER (severity = {k}), 0) AS BIGINT) AS {o}_{n}" for o, x in (('added', 'lh - least(lb, lh)'), ('removed', 'lb - least(lb, lh)'), ('changed', 'least(lb, lh)')) for k, n in enumerate(('hidden', 'info', 'warning', 'error')))}
+               FROM dl GROUP BY head HAVING sum(lb + lh) > 0)"""
+
+
+def _diagnostic_counts(m: Model) -> DataFrame:
     pairs = _pairs(m)
     changes = snapshot_diff.diagnostic_changes(m.diagnostics(), snapshot_roles(pairs))
     return diff.diagnostic_counts(changes.join(pairs.withColumnRenamed("head_snapshot_id", "pair"), "pair"), m.diagnostics())
 
 
-@query("a25_average_maintainability", f"{_with('m')} SELECT snapshot_id, coalesce(round_even(avg(mi) * 10, 0) / 10, 0) AS avg_mi FROM m GROUP BY 1")
+@query("d2_diagnostic_counts", f"{_with('s', 'pairs', 'd')}, {_D2} SELECT head AS head_snapshot_id, * EXCLUDE (head) FROM dc")
+def d2_diagnostic_counts(m: Model) -> DataFrame:
+    return _diagnostic_counts(m)
+
+
+_META = ", ".join(f"{x}.{c} AS {side}_{c}" for side, x in (("base", "b"), ("head", "h")) for c in diff.METADATA)
+
+
+@query("pr19_diff_metadata", f"{_with('s', 'pairs')} SELECT head AS head_snapshot_id, base AS base_snapshot_id, {_META}, coalesce(lower(b.analysis_mode) = 'full', false) AND coalesce(lower(h.analysis_mode) = 'full', false) AS has_complexity FROM pairs JOIN s b ON b.snapshot_id = base JOIN s h ON h.snapshot_id = head")
+def p19_diff_metadata(m: Model) -> DataFrame:
+    return diff.diff_metadata(m.snapshots(), _pairs(m))
+
+
+_COMPARED = ["projects_delta", "cc_delta", "avg_mi_delta", "errors_delta", "projects_added", "projects_removed", "projects_changed", "new_to_solution", "removed_from_solution", *[f"{o}_{n}" for o in ("added", "removed", "changed") for n in ("info", "warning", "error")]]
+
+
+def _compared(m: Model) -> DataFrame:
+    presence = diff.reference_changes(_refs(m).drop("project"), _pairs(m))
+    return diff.compare(diff.diff_metadata(m.snapshots(), _pairs(m)), _totals(m), durable(j1_project_diff(m)), _diagnostic_counts(m), presence)
+
+
+@query(
+    "d1_compare",
+    f"""{_with('s', 'pairs', 'm', 't', 'pt', 'pr', 'e', 'a', 'd')}, {_J1}, {_TOTALS_SQL}, {_FRESH}, {_D2},
+    jc AS (SELECT head, count(*) FILTER (is_added) AS projects_added, count(*) FILTER (is_removed) AS projects_removed, count(*) FILTER ({_CHANGED}) AS projects_changed FROM j GROUP BY 1),
+    fc AS (SELECT head, count(*) FILTER (g > 0) AS new_to_solution, count(*) FILTER (g < 0) AS removed_from_solution FROM fresh GROUP BY 1)
+    SELECT w.head_snapshot_id, w.base_snapshot_id, coalesce(lower(b.analysis_mode) = 'full', false) AND coalesce(lower(h.analysis_mode) = 'full', false) AS has_complexity,
+           {', '.join(c if c.endswith('_delta') else f'coalesce({c}, 0) AS {c}' for c in _COMPARED)}
+    FROM w JOIN s b ON b.snapshot_id = base_snapshot_id JOIN s h ON h.snapshot_id = head_snapshot_id LEFT JOIN jc ON jc.head = head_snapshot_id LEFT JOIN fc ON fc.head = head_snapshot_id LEFT JOIN dc ON dc.head = head_snapshot_id""",
+)
+def d1_compare(m: Model) -> DataFrame:
+    return _compared(m).select("head_snapshot_id", "base_snapshot_id", "has_complexity", *_COMPARED)
+
+
+@query("a25_average_maintainability", f"{_with('m')} SELECT snapshot_id, coalesce(round_even(CAST(sum(CAST(mi AS DECIMAL(28,10))) AS DOUBLE) / nullif(count(mi), 0) * 10, 0) / 10, 0.0::DOUBLE) AS avg_mi FROM m GROUP BY 1")
 def a25_average_maintainability(m: Model) -> DataFrame:
     return diff.average_maintainability(m.methods())
 
@@ -476,24 +612,34 @@ def st1_streamed_edges(m: Model) -> DataFrame:
 
 def _compact_projects(m: Model) -> DataFrame:
     mi = rollup.hierarchy(rollup.type_rollup(m.types(), m.methods())).where("level = 'project'")
-    return compact_projects(m.projects(), coupling.project_coupling(m.edges(), m.projects()), mi, a31_diagnostics_per_project(m))
+    packages = references.package_references(_refs(m), m.projects())
+    return compact_projects(m.projects(), coupling.project_coupling(m.edges(), m.projects()), mi, a31_diagnostics_per_project(m), packages)
 
 
-@query(
-    "k2_compact_projects",
-    f"""{_with('m', 't', 'pt', 'pr', 'e', 'a', 'd')}, {_PROJECT_ROLES}, c AS ({_measure_sql('r0')}),
-    q AS (SELECT snapshot_id, project, round_even(CASE WHEN sum(min_) > 0 THEN CAST(sum(mis) AS DOUBLE) / sum(min_) ELSE 0 END * 10, 0) / 10 AS mi FROM pt GROUP BY 1, 2),
-    g AS (SELECT snapshot_id, project, {_LEVELS} FROM d GROUP BY 1, 2)
-    SELECT pr.snapshot_id, project_name AS n, coalesce(type_count, 0) AS tc, coalesce(method_count, 0) AS mc, coalesce(total_cc, 0) AS cc, coalesce(total_loc, 0) AS loc, coalesce(max_dit, 0) AS dit,
-           coalesce(mi, 0) AS mi, coalesce(id, 0) AS id, coalesce(idx, 0) AS idx, coalesce(round_even(dr * 100, 0) / 100, 0) AS dr, coalesce(ed, 0) AS ed, coalesce(edb, 0) AS edb, coalesce(edp, 0) AS edp,
-           nullif(errors, 0) AS err, nullif(warnings, 0) AS warn
-    FROM pr LEFT JOIN q ON q.snapshot_id = pr.snapshot_id AND q.project = project_name LEFT JOIN c ON c.snapshot_id = pr.snapshot_id AND entity = project_name
-    LEFT JOIN g ON g.snapshot_id = pr.snapshot_id AND g.project = project_name WHERE project_name IS NOT NULL""",
-)
+_COMPACT = f"""g0 AS (SELECT snapshot_id, project, {_LEVELS} FROM d GROUP BY 1, 2),
+    kp AS (SELECT pw.snapshot_id, project_name AS n, coalesce(type_count, 0) AS tc, coalesce(method_count, 0) AS mc, coalesce(total_cc, 0) AS cc, coalesce(total_loc, 0) AS loc, coalesce(max_dit, 0) AS dit,
+           mi, id, idx, dr, packages AS ed, edb, edp, nullif(errors, 0) AS err, nullif(warnings, 0) AS warn
+    FROM pw LEFT JOIN g0 ON g0.snapshot_id = pw.snapshot_id AND g0.project = project_name WHERE project_name IS NOT NULL)"""
+_COMPACT_OF = f"{_with('m', 't', 'pt', 'pr', 'e', 'a', 'd')}, {_WIDE}, {_COMPACT}"
+
+
+@query("k2_compact_projects", f"{_COMPACT_OF} SELECT * FROM kp")
 def k2_compact_projects(m: Model) -> DataFrame:
     return _compact_projects(m)
 
 
+@query("a44_dependency_totals", f"{_COMPACT_OF} SELECT snapshot_id, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('id', 'ed', 'edb', 'edp'))}, bool_or(ed > 0) AS any_external FROM kp GROUP BY 1")
+def a44_dependency_totals(m: Model) -> DataFrame:
+    return _compact_projects(m).groupBy("snapshot_id").agg(*[F.sum(c).alias(c) for c in ("id", "ed", "edb", "edp")], F.bool_or(F.col("ed") > 0).alias("any_external"))
+
+
+@query("j4_project_summary", f"{_COMPACT_OF} SELECT snapshot_id, n, cc, id, idx, dr FROM kp WHERE cc > 0")
+def j4_project_summary(m: Model) -> DataFrame:
+    ties = coupling.project_coupling(m.edges(), m.projects()).select("snapshot_id", F.col("entity").alias("n"), "id", "idx", fn.round_even("dr", 2).alias("dr"))
+    own = m.projects().where("project_name is not null and total_cc > 0").select("snapshot_id", F.col("project_name").alias("n"), F.col("total_cc").alias("cc"))
+    return own.join(ties, ["snapshot_id", "n"], "left").na.fill(0, ["id", "idx"]).na.fill(0.0, ["dr"])
+
+
 def _graphs(m: Model) -> DataFrame:
     projects, spaces = durable(_project_nodes(m)), durable(g5_namespace_nodes(m))
     return graphs_of_layers(
@@ -538,32 +684,6 @@ def f33_heat_colours(m: Model) -> DataFrame:
     return rows.select("snapshot_id", "project_row_id", fn.heat_colour(coupling.min_max("v", ["snapshot_id"])).alias("colour"))
 
 
-@query(
-    "t12_largest_changes",
-    f"""{_with('s', 'pairs', 'pr')}, {_J1} SELECT head AS head_snapshot_id, project, total_cc_delta, CAST(rn AS INTEGER) AS rank_no FROM (
-        SELECT *, row_number() OVER (PARTITION BY head ORDER BY abs(total_cc_delta) DESC, project) AS rn FROM j WHERE NOT is_added AND NOT is_removed) WHERE rn <= 10""",
-)
-def t12_largest_changes(m: Model) -> DataFrame:
-    both = j1_project_diff(m).where("not is_added and not is_removed")
-    w = Window.partitionBy("head_snapshot_id").orderBy(F.abs("total_cc_delta").desc(), "project")
-    return both.withColumn("rank_no", F.row_number().over(w)).where("rank_no <= 10").select("head_snapshot_id", "project", "total_cc_delta", "rank_no")
-
-
-@query("j1_all_measures")
-def j1_all_measures(m: Model) -> DataFrame:
-    """All 14 measures of a project; ``j1_project_diff`` has the seven that its SQL has."""
-    more = _compact_projects(m).select(F.col("snapshot_id").alias("_s"), "n", *diff.FURTHER_MEASURES)
-    wide = m.projects().join(more, (F.col("snapshot_id") == F.col("_s")) & (F.col("project_name") == F.col("n")), "left")
-    return diff.project_diff(durable(wide.drop("_s", "n")), _pairs(m), diff.FURTHER_MEASURES)
-
-
-@query("t12_maintainability_changes")
-def t12_maintainability_changes(m: Model) -> DataFrame:
-    both = j1_all_measures(m).where("not is_added and not is_removed")
-    w = Window.partitionBy("head_snapshot_id").orderBy(F.abs("mi_delta").desc(), "project")
-    return both.withColumn("rank_no", F.row_number().over(w)).where("rank_no <= 10").select("head_snapshot_id", "project", "mi_delta", "rank_no")
-
-
 @query("sf_source_facts")
 def sf_source_facts(m: Model) -> DataFrame:
     """The C# front end over the code blocks of documents, each wrapped in a type so that it has members."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import metrics as fn
-from plumbline.operators import coupling, diff, rollup, snapshot_diff
+from plumbline.operators import coupling, references, rollup, snapshot_diff
 from plumbline.plans import analysis_queries as base
 from plumbline.session import durable
 from plumbline.sources.model import Model
@@ -51,7 +51,7 @@ def f27_paths(m: Model) -> DataFrame:
     return m.methods().select("method_id", fn.basename("file_path").alias("base_name"), fn.stem("file_path").alias("stem"), fn.location("file_path", "start_line").alias("location"))
 
 
-_DELTAS = f"{_with('s', 'pairs', 'pr')}, {base._J1}"
+_DELTAS = f"{_with(*base._DIFF)}, {base._J1}"
 
 
 @query(
@@ -59,23 +59,29 @@ _DELTAS = f"{_with('s', 'pairs', 'pr')}, {base._J1}"
     f"""{_DELTAS} SELECT head AS head_snapshot_id, project, CASE WHEN total_loc_delta > 0 THEN '+' || total_loc_delta ELSE CAST(total_loc_delta AS VARCHAR) END AS lines_shown,
     CASE WHEN warning_count_delta > 0 THEN 'bad_increase' WHEN warning_count_delta < 0 THEN 'good_decrease' ELSE 'neutral' END AS warnings_meaning,
     CASE WHEN warning_count_delta > 0 THEN '⚠️ **+' || warning_count_delta || '**' WHEN warning_count_delta < 0 THEN '✅ ' || warning_count_delta ELSE '0' END AS warnings_shown,
-    CASE WHEN total_cc_delta <= -10 THEN 'severe_decrease' WHEN total_cc_delta <= -5 THEN 'moderate_decrease' WHEN total_cc_delta > 0 THEN 'good_increase' ELSE 'neutral' END AS index_meaning FROM j""",
+    CASE WHEN mi_delta <= -10 THEN 'severe_decrease' WHEN mi_delta <= -5 THEN 'moderate_decrease' WHEN mi_delta > 0 THEN 'good_increase' ELSE 'neutral' END AS index_meaning,
+    CASE WHEN abs(mi_delta) < 0.0001 THEN '0' ELSE format('{{:+.1f}}', mi_delta) END AS index_shown FROM j""",
 )
 def f24_meanings(m: Model) -> DataFrame:
     rows = base.j1_project_diff(m).withColumn("meaning", fn.warnings_semantic("warning_count_delta")).withColumn("shown", fn.signed_delta("warning_count_delta"))
     return rows.select(
-        "head_snapshot_id", "project", fn.signed_delta("total_loc_delta").alias("lines_shown"), F.col("meaning").alias("warnings_meaning"), fn.decorated("shown", "meaning").alias("warnings_shown"), fn.maintainability_semantic("total_cc_delta").alias("index_meaning")
+        "head_snapshot_id", "project", fn.signed_delta("total_loc_delta").alias("lines_shown"), F.col("meaning").alias("warnings_meaning"), fn.decorated("shown", "meaning").alias("warnings_shown"), fn.maintainability_semantic("mi_delta").alias("index_meaning"), fn.signed_delta_decimal("mi_delta").alias("index_shown")
     )
 
 
+_SIDES = (("errors", "error"), ("warnings", "warning"), ("info", "info"))
+
+
 @query(
     "f25_solved_added",
-    f"""{_DELTAS} SELECT head AS head_snapshot_id, project, greatest(base_error_count - head_error_count, 0) AS solved, greatest(head_error_count - base_error_count, 0) AS added FROM j""",
+    f"""{_with('s', 'pairs', 'pr', 'd', 'm')}, {base._TOTALS_SQL}, {base._D2}
+    SELECT head_snapshot_id, {', '.join(f"CASE WHEN coalesce(added_{x}, 0) + coalesce(removed_{x}, 0) + coalesce(changed_{x}, 0) > 0 THEN coalesce({o}_{x}, 0) ELSE greatest({sign}{n}_delta, 0) END AS {k}_{n}" for n, x in _SIDES for k, o, sign in (('solved', 'removed', '-'), ('added', 'added', '')))}
+    FROM w LEFT JOIN dc ON head = head_snapshot_id""",
 )
 def f25_solved_added(m: Model) -> DataFrame:
-    zero = F.lit(0)
-    got = fn.solved_added("base_error_count", "head_error_count", zero, zero, zero)
-    return base.j1_project_diff(m).select("head_snapshot_id", "project", got["solved"].alias("solved"), got["added"].alias("added"))
+    rows = base._totals(m).join(base._diagnostic_counts(m), "head_snapshot_id", "left").na.fill(0)
+    got = {n: fn.solved_added(f"base_{n}", f"head_{n}", f"removed_{x}", f"added_{x}", f"changed_{x}") for n, x in _SIDES}
+    return rows.select("head_snapshot_id", *[got[n][k].alias(f"{k}_{n}") for n, _ in _SIDES for k in ("solved", "added")])
 
 
 @query(
@@ -127,23 +133,18 @@ def a17_single_project_coupling(m: Model) -> DataFrame:
     return spaces.select(F.lit("namespace").alias("layer"), "*").unionByName(row)
 
 
-@query(
-    "a38_reference_totals",
-    f"""{_with('s', 'pairs', 'e')}, {base._REFS}, c AS (SELECT head, project, ref FROM sgn GROUP BY head, project, ref HAVING sum(g) > 0)
-    SELECT head AS head_snapshot_id, count(DISTINCT project) AS projects, count(*) AS total_added, count(DISTINCT lower(ref)) AS unique_added, count(*) FILTER ({base._BCL.replace('x ', 'ref ')}) AS framework_added FROM c GROUP BY 1""",
-)
+@query("a38_reference_totals", f"{_with('s', 'pairs', 'e', 'pr')}, {base._ADDED} SELECT head AS head_snapshot_id, count(DISTINCT lower(project)) AS projects, count(*) AS total_added, count(DISTINCT lower(ref)) AS unique_added, count(*) FILTER ({base._BCL.replace('x ', 'ref ')}) AS framework_added FROM added GROUP BY 1")
 def a38_reference_totals(m: Model) -> DataFrame:
-    added = diff.reference_changes(base._refs(m), base._pairs(m), ["project"]).where("outcome = 'added'")
-    return added.groupBy("head_snapshot_id").agg(F.count_distinct("project").alias("projects"), F.count(F.lit(1)).alias("total_added"), F.count_distinct(F.lower("ref")).alias("unique_added"), F.count_if(fn.is_bcl("ref")).alias("framework_added"))
+    return references.added_totals(base._added(m))
 
 
 @query(
     "t6_most_added_references",
-    f"""{_with('s', 'pairs', 'e')}, {base._REFS}, c AS (SELECT head, project, ref FROM sgn GROUP BY head, project, ref HAVING sum(g) > 0), n AS (SELECT head, project, count(*) AS added FROM c GROUP BY 1, 2)
+    f"""{_with('s', 'pairs', 'e', 'pr')}, {base._ADDED}, n AS (SELECT head, project, count(*) AS added FROM added GROUP BY 1, 2)
     SELECT head AS head_snapshot_id, project, added, CAST(rn AS INTEGER) AS rank_no, greatest(k - 10, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY head ORDER BY added DESC, project) AS rn, count(*) OVER (PARTITION BY head) AS k FROM n) WHERE rn <= 10""",
 )
 def t6_most_added_references(m: Model) -> DataFrame:
-    added = diff.reference_changes(base._refs(m), base._pairs(m), ["project"]).where("outcome = 'added'").groupBy("head_snapshot_id", "project").agg(F.count(F.lit(1)).alias("added"))
+    added = base._added(m).groupBy("head_snapshot_id", "project").agg(F.count(F.lit(1)).alias("added"))
     w = Window.partitionBy("head_snapshot_id")
     ranked = added.withColumn("rank_no", F.row_number().over(w.orderBy(F.desc("added"), "project"))).withColumn("more", F.greatest(F.count(F.lit(1)).over(w) - 10, F.lit(0)))
     return ranked.where("rank_no <= 10")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import metrics as fn
+from plumbline.operators.references import package_counts
 
 #: Extension by format (fixed values).
 EXTENSIONS = {"html": "html", "compact": "slr", "json": "json"}
@@ -35,15 +36,6 @@ def _listed(items: Column) -> Column:
     return F.concat(F.lit("["), F.coalesce(F.array_join(items, ","), F.lit("")), F.lit("]"))
 
 
-def package_counts(references: DataFrame) -> DataFrame:
-    """``snapshot_id, n, ed, edb, edp``: package references of each project in all, of the framework and of others.
-
-    ``references`` has ``snapshot_id, project, ref``, each reference of a project once, as ``project_items`` gives them.
-    """
-    per = references.groupBy("snapshot_id", F.col("project").alias("n")).agg(F.count("ref").alias("ed"), F.count_if(fn.is_bcl("ref")).alias("edb"))
-    return per.withColumn("edp", F.col("ed") - F.col("edb"))
-
-
 def compact_projects(projects: DataFrame, coupling: DataFrame, maintainability: DataFrame, diagnostics: DataFrame, references: DataFrame | None = None) -> DataFrame:
     """Project rows under the short names of the compact format, one per project and snapshot.
 
