@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.metrics import is_bcl
+from plumbline.functions.metrics import is_bcl, namespace_of
 from plumbline.session import durable
 
 PROJECT, NAMESPACE, TYPE = 0, 2, 3
@@ -19,6 +19,11 @@ def aggregate_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy(_SCOPE, "from_entity", "to_entity", "dep_type").agg(F.sum("reference_count").alias("reference_count"))
 
 
+def aggregated(edges: DataFrame) -> DataFrame:
+    """A durable table of the aggregated edges, marked so that nothing aggregates them again."""
+    return durable(aggregate_edges(edges)).withColumn(_TOTAL, F.lit(True))
+
+
 def edges_of_type(edges: DataFrame, kind: int) -> DataFrame:
     """Aggregated edges of one type; edges that ``aggregate_edges`` has cut down already stay as they are."""
     own = edges.where(F.col("dep_type") == kind)
@@ -95,7 +100,7 @@ def project_coupling(edges: DataFrame, projects: DataFrame) -> DataFrame:
 
 def all_coupling(edges: DataFrame, projects: DataFrame) -> DataFrame:
     """The three layers on end, with their order, from one aggregation of the edges."""
-    edges = durable(aggregate_edges(edges)).withColumn(_TOTAL, F.lit(True))
+    edges = edges if _TOTAL in edges.columns else aggregated(edges)
     layer = lambda df, name, at: df.select(F.lit(name).alias("layer"), F.lit(at).alias("layer_no"), "*")
     return (
         layer(project_coupling(edges, projects), "project", 0)
@@ -104,6 +109,15 @@ def all_coupling(edges: DataFrame, projects: DataFrame) -> DataFrame:
     )
 
 
+def single_project_coupling(edges: DataFrame, project: str) -> DataFrame:
+    """Namespaces and types of a project that is analysed alone, whose own row is all zeros."""
+    edges = edges if _TOTAL in edges.columns else aggregated(edges)
+    zero = F.lit(0).cast("bigint")
+    layers = [entity_coupling(edges, kind).select(F.lit(name).alias("layer"), "*") for kind, name in ((NAMESPACE, "namespace"), (TYPE, "type"))]
+    own = edges.select(_SCOPE).distinct().select(F.lit("project").alias("layer"), _SCOPE, F.lit(project).alias("entity"), *[F.lit(0.0).alias(c) if c == "dr" else zero.alias(c) for c in ("id", "idx", "dr", "ed", "edb", "edp", "strength")])
+    return layers[0].unionByName(layers[1]).unionByName(own)
+
+
 def coupling_summary(coupling: DataFrame, edges: DataFrame) -> DataFrame:
     """Averages over all entities of a snapshot, its edges, and the first entity with each largest measure.
 
@@ -112,7 +126,8 @@ def coupling_summary(coupling: DataFrame, edges: DataFrame) -> DataFrame:
     tie = lambda c: F.min_by("entity", F.struct(-F.col(c), F.col("layer_no"), F.col("entity")))
     means = [F.avg(c).alias(f"avg_{c}") for c in ("id", "idx", "dr", "ed", "edb", "edp")]
     summary = coupling.groupBy(_SCOPE).agg(*means, tie("strength").alias("most_coupled"), tie("idx").alias("most_dependent"), tie("dr").alias("highest_consumer"))
-    return summary.join(aggregate_edges(edges).groupBy(_SCOPE).agg(F.count(F.lit(1)).alias("total_dependencies")), _SCOPE, "left")
+    each = edges if _TOTAL in edges.columns else aggregate_edges(edges)
+    return summary.join(each.groupBy(_SCOPE).agg(F.count(F.lit(1)).alias("total_dependencies")), _SCOPE, "left")
 
 
 # ---- graph layers
@@ -139,6 +154,19 @@ def graph_edges(edges: DataFrame, nodes: DataFrame, kind: int, loops: bool) -> D
     )
 
 
+def entity_nodes(edges: DataFrame, kind: int) -> DataFrame:
+    """``snapshot_id, name, node_id`` of the entities with an outgoing edge of the kind, numbered in name order."""
+    own = edges_of_type(edges, kind)
+    return numbered(own.select(_SCOPE, F.col("from_entity").alias("name")).distinct(), "name")
+
+
+def derived_namespace_edges(edges: DataFrame) -> DataFrame:
+    """The namespace edges that type edges give: one per type edge that leaves its namespace for a named one."""
+    own = edges_of_type(edges, TYPE).select(_SCOPE, namespace_of("from_entity", "").alias("from_entity"), namespace_of("to_entity", "").alias("to_entity"), "reference_count")
+    crossing = own.where("from_entity != to_entity and to_entity != ''")
+    return aggregate_edges(crossing.withColumn("dep_type", F.lit(NAMESPACE)))
+
+
 def out_weights(links: DataFrame) -> DataFrame:
     return links.groupBy(_SCOPE, F.col("source").alias("node_id")).agg(F.sum("weight").alias("dep_count"))
 

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from decimal import MAX_EMAX, MIN_EMIN, Context, Decimal
 from json.decoder import scanstring
 from uuid import uuid4
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.session import ship
+
 
 def _no_constant(name: str) -> None:
     raise ValueError(name)
@@ -196,6 +203,30 @@ def _fields(text: str, scan) -> dict[str, tuple[object, str]] | None:
     return out if _SPACE.match(text, at).end() == len(text) else None
 
 
+def _reasons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for text in batch.column(1).to_pylist():
+            reason = None
+            if text is None or not text.strip(" \t\n\r"):
+                reason = "missing"
+            elif read_object(text) is None:
+                try:
+                    read_value(text)
+                    reason = "no object"
+                except ValueError:
+                    reason = "unreadable"
+            rows.append(reason)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.string())], [batch.schema.names[0], "reason"])
+
+
+def unreadable(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """``key, reason`` of each payload that is not one complete JSON object: missing, unreadable, or no object."""
+    ship(df.sparkSession)
+    narrow = df.select(key, F.col(payload).cast("string").alias("payload"))
+    return narrow.mapInArrow(_reasons, f"`{key}` {narrow.schema[key].dataType.simpleString()}, reason string").where("reason is not null")
+
+
 #: Stands before a ``Number`` while it is written as a string; no text holds it by chance.
 _MARK = uuid4().hex
 _MARKED = re.compile(f'"{_MARK}([^"]*)"')

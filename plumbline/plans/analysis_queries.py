@@ -78,9 +78,7 @@ def a1_edges(m: Model) -> DataFrame:
 
 @query("a3_edges_sql", SQL["a1_edges"])
 def a3_edges_sql(m: Model) -> DataFrame:
-    view = f"edges_{abs(hash(m.folder))}"
-    m.edges().createOrReplaceTempView(view)
-    return m.spark.sql(f"SELECT snapshot_id, from_entity, to_entity, dep_type, SUM(reference_count) AS reference_count FROM {view} GROUP BY snapshot_id, from_entity, to_entity, dep_type")
+    return m.spark.sql("SELECT snapshot_id, from_entity, to_entity, dep_type, SUM(reference_count) AS reference_count FROM {edges} GROUP BY snapshot_id, from_entity, to_entity, dep_type", edges=m.edges())
 
 
 @query("a4_edges_by_type", f"{_with('e')} SELECT snapshot_id, from_entity, to_entity, dep_type, CAST(sum(n) AS BIGINT) AS reference_count FROM e WHERE dep_type = 2 GROUP BY ALL")
@@ -147,7 +145,8 @@ _ALL = f"""c AS (SELECT 0 AS ln, * FROM ({_measure_sql('r0')}) UNION ALL SELECT
     FROM k JOIN w0 USING (snapshot_id) JOIN w1 USING (snapshot_id) JOIN w2 USING (snapshot_id) LEFT JOIN n USING (snapshot_id)""",
 )
 def a18_coupling_summary(m: Model) -> DataFrame:
-    summary = coupling.coupling_summary(durable(coupling.all_coupling(m.edges(), m.projects())), m.edges())
+    edges = coupling.aggregated(m.edges())
+    summary = coupling.coupling_summary(durable(coupling.all_coupling(edges, m.projects())), edges)
     return _rounded(summary, *[f"avg_{c}" for c in ("id", "idx", "dr", "ed", "edb", "edp")])
 
 
@@ -580,21 +579,21 @@ _TOKENS = PATTERN.replace("'", "''")
 @query(
     "a39_halstead",
     f"""WITH k AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_TOKENS}', 0) AS t FROM documents),
-    o AS (SELECT doc_id, list_filter(t, lambda x: list_contains([{_OPS}], x)) AS a, list_filter(t, lambda x: regexp_matches(x[1], '[A-Za-z_0-9"'']') AND NOT list_contains([{_OPS}], x) AND NOT list_contains([{_PASSIVE}], x)) AS b FROM k),
+    o AS (SELECT doc_id, list_filter(t, lambda x: list_contains([{_OPS}], x)) AS a, list_filter(t, lambda x: (regexp_matches(x[1], '[A-Za-z_0-9"'']') AND x[1:3] <> repeat('"', 3) OR x[1:2] = '@"') AND NOT list_contains([{_OPS}], x) AND NOT list_contains([{_PASSIVE}], x)) AS b FROM k),
     c AS (SELECT doc_id, CAST(len(list_distinct(a)) AS INTEGER) AS n1, CAST(len(list_distinct(b)) AS INTEGER) AS n2, CAST(len(a) AS INTEGER) AS total1, CAST(len(b) AS INTEGER) AS total2 FROM o),
     v AS (SELECT *, CASE WHEN total1 + total2 > 0 AND n1 + n2 > 1 THEN (total1 + total2) * log2(n1 + n2) ELSE 0 END AS v, CASE WHEN n2 > 0 THEN (n1 / 2.0::DOUBLE) * (total2::DOUBLE / n2) ELSE 0 END AS d FROM c)
-    SELECT doc_id, n1, n2, total1, total2, round_even(v * 100, 0) / 100 AS volume, round_even(d * 100, 0) / 100 AS difficulty FROM v""",
+    SELECT doc_id, n1, n2, total1, total2, round_even(v * 100, 0) / 100 AS volume, round_even(d * 100, 0) / 100 AS difficulty, round_even(v * d, 0) AS effort FROM v""",
 )
 def a39_halstead(m: Model) -> DataFrame:
-    rows = halstead(table(m.spark, m.folder, "documents"), "text", ["doc_id"]).drop("effort")
-    return _rounded(rows, "volume", "difficulty", digits=2)
+    rows = halstead(table(m.spark, m.folder, "documents"), "text", ["doc_id"])
+    return _rounded(_rounded(rows, "effort", digits=0), "volume", "difficulty", digits=2)
 
 
 @query(
     "f9_inheritance",
     """WITH RECURSIVE b AS (SELECT p_partkey AS k, CASE WHEN p_partkey >= 10 THEN p_partkey // 10 END AS base FROM part),
     c(k, up, depth) AS (SELECT k, base, CASE WHEN base IS NULL THEN 0 ELSE 1 END FROM b UNION ALL SELECT c.k, b.base, c.depth + 1 FROM c JOIN b ON c.up = b.k WHERE b.base IS NOT NULL)
-    SELECT CAST(k AS VARCHAR) AS name, max(depth) AS depth FROM c GROUP BY 1""",
+    SELECT CAST(k AS VARCHAR) AS name, CAST(max(depth) AS INTEGER) AS depth FROM c GROUP BY 1""",
 )
 def f9_inheritance(m: Model) -> DataFrame:
     parts = table(m.spark, m.folder, "part").select(F.col("p_partkey").cast("string").alias("k"), F.when(F.col("p_partkey") >= 10, F.floor(F.col("p_partkey") / 10).cast("string")).alias("base"))
@@ -665,11 +664,11 @@ def k2_graph_layers(m: Model) -> DataFrame:
 
 @query(
     "a42_viewer_totals",
-    f"{_with('pr')} SELECT snapshot_id, CAST(coalesce(sum(error_count), 0) AS BIGINT) AS errors, CAST(coalesce(sum(warning_count), 0) AS BIGINT) AS warnings, CAST(coalesce(sum(total_cc), 0) AS BIGINT) AS cc, CAST(coalesce(sum(total_loc), 0) AS BIGINT) AS loc, CAST(coalesce(sum(coalesce(error_count, 0) * 5 + coalesce(warning_count, 0)), 0) AS BIGINT) AS score FROM pr GROUP BY 1",
+    f"{_with('pr')} SELECT snapshot_id, CAST(coalesce(sum(error_count), 0) AS BIGINT) AS errors, CAST(coalesce(sum(warning_count), 0) AS BIGINT) AS warnings, CAST(coalesce(sum(total_cc), 0) AS BIGINT) AS cc, CAST(coalesce(sum(total_loc), 0) AS BIGINT) AS loc, CAST(coalesce(sum(type_count), 0) AS BIGINT) AS types, CAST(coalesce(sum(method_count), 0) AS BIGINT) AS methods, CAST(coalesce(sum(coalesce(error_count, 0) * 5 + coalesce(warning_count, 0)), 0) AS BIGINT) AS score FROM pr GROUP BY 1",
 )
 def a42_viewer_totals(m: Model) -> DataFrame:
     zero = F.lit(0).cast("bigint")
-    sums = {"errors": "error_count", "warnings": "warning_count", "cc": "total_cc", "loc": "total_loc"}
+    sums = {"errors": "error_count", "warnings": "warning_count", "cc": "total_cc", "loc": "total_loc", "types": "type_count", "methods": "method_count"}
     return m.projects().groupBy("snapshot_id").agg(*[F.coalesce(F.sum(c).cast("bigint"), zero).alias(n) for n, c in sums.items()], F.coalesce(F.sum(fn.diagnostics_score("error_count", "warning_count")).cast("bigint"), zero).alias("score"))
 
 

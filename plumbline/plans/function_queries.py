@@ -17,8 +17,8 @@ _M, _D, _PR = _with("m"), _with("d"), _with("pr")
 
 @query(
     "f12_body_measures",
-    f"""{_M}, x AS (SELECT method_id, coalesce(loc, 0) > 0 OR method_id % 3 = 0 AS has_body, method_id % 2 = 0 AS is_expression, coalesce(cc, 1) AS cc, greatest(coalesce(loc, 0), 0) AS loc FROM m)
-    SELECT method_id, CASE WHEN has_body THEN cc ELSE 1 END AS complexity, CASE WHEN NOT has_body THEN 0 WHEN loc > 0 THEN loc WHEN is_expression THEN 1 ELSE 0 END AS lines FROM x""",
+    f"""{_M}, x AS (SELECT method_id, coalesce(loc, 0) > 0 OR method_id % 3 = 0 AS has_body, method_id % 2 = 0 AS is_expression, coalesce(cc, 1) AS cc, greatest(coalesce(loc, 0), 0) AS loc, CASE WHEN hv > 0 AND NOT isnan(hv) THEN hv ELSE 0 END AS hv FROM m)
+    SELECT method_id, CASE WHEN NOT has_body OR hv <= 0 OR loc <= 0 THEN 100.0::DOUBLE ELSE round_even(greatest(0, least(100, (171 - 5.2::DOUBLE * ln(hv) - 0.23::DOUBLE * cc - 16.2::DOUBLE * ln(loc)) * 100 / 171)) * 10, 0) / 10 END AS index_now, CASE WHEN has_body THEN cc ELSE 1 END AS complexity, CASE WHEN NOT has_body THEN 0 WHEN loc > 0 THEN loc WHEN is_expression THEN 1 ELSE 0 END AS lines FROM x""",
 )
 def f12_body_measures(m: Model) -> DataFrame:
     x = m.methods().select(
@@ -27,10 +27,10 @@ def f12_body_measures(m: Model) -> DataFrame:
         (F.col("method_id") % 2 == 0).alias("is_expression"),
         F.coalesce("cyclomatic_complexity", F.lit(1)).alias("cc"),
         F.greatest(F.coalesce("lines_of_executable_code", F.lit(0)), F.lit(0)).alias("loc"),
-        F.lit(0.0).alias("volume"),
+        F.when((F.col("halstead_volume") > 0) & ~F.isnan("halstead_volume"), F.col("halstead_volume")).otherwise(0.0).alias("volume"),
     )
     body = fn.body_measures("has_body", "is_expression", "cc", "loc", "volume")
-    return x.select("method_id", body["complexity"].alias("complexity"), body["lines"].alias("lines"))
+    return x.select("method_id", body["complexity"].alias("complexity"), body["lines"].alias("lines"), fn.round_even(body["maintainability"], 1).alias("index_now"))
 
 
 @query(
@@ -101,15 +101,6 @@ def f32_inverse_index(m: Model) -> DataFrame:
     return m.methods().select("method_id", fn.inverse_maintainability("maintainability_index").alias("inverse"))
 
 
-@query(
-    "f36_node_measures",
-    f"""{_PR} SELECT project_row_id, coalesce(error_count, 0) * 5.0::DOUBLE + coalesce(warning_count, 0) AS diagnostics, coalesce(total_cc, 0)::DOUBLE AS complexity, coalesce(total_loc, 0)::DOUBLE AS loc, 7.0::DOUBLE AS other FROM pr""",
-)
-def f36_node_measures(m: Model) -> DataFrame:
-    rows = m.projects().select("project_row_id", F.col("error_count").alias("err"), F.col("warning_count").alias("warn"), F.col("total_cc").alias("cc"), F.col("total_loc").alias("loc"), F.lit(7).alias("dep_count"))
-    return rows.select("project_row_id", *[fn.node_measure(n, "project").alias(n) for n in ("diagnostics", "complexity", "loc", "other")])
-
-
 @query("f26_severity_codes", f"{_D} SELECT snapshot_id, pos, CASE severity WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 0 END AS code, lower(id) AS id_key FROM d")
 def f26_severity_codes(m: Model) -> DataFrame:
     rows = m.diagnostics().withColumn("label", F.initcap(fn.severity_label("severity")))
@@ -123,14 +114,11 @@ def f22_edge_kinds(m: Model) -> DataFrame:
 
 @query(
     "a17_single_project_coupling",
-    f"""{_with('e', 'a')}, {base._coupling_sql(2)}, c AS ({base._measure_sql('r2')}) SELECT 'namespace' AS layer, * FROM c
+    f"""{_with('e', 'a')}, {base._coupling_sql(2)}, {base._coupling_sql(3)}, c AS ({base._measure_sql('r2')}), c3 AS ({base._measure_sql('r3')}) SELECT 'namespace' AS layer, * FROM c UNION ALL SELECT 'type', * FROM c3
     UNION ALL SELECT 'project', snapshot_id, 'single', 0, 0, 0.0, 0, 0, 0, 0 FROM (SELECT DISTINCT snapshot_id FROM a)""",
 )
 def a17_single_project_coupling(m: Model) -> DataFrame:
-    spaces = coupling.entity_coupling(m.edges(), coupling.NAMESPACE)
-    zero = F.lit(0).cast("bigint")
-    row = m.edges().select("snapshot_id").distinct().select(F.lit("project").alias("layer"), "snapshot_id", F.lit("single").alias("entity"), zero.alias("id"), zero.alias("idx"), F.lit(0.0).alias("dr"), zero.alias("ed"), zero.alias("edb"), zero.alias("edp"), zero.alias("strength"))
-    return spaces.select(F.lit("namespace").alias("layer"), "*").unionByName(row)
+    return coupling.single_project_coupling(m.edges(), "single")
 
 
 @query("a38_reference_totals", f"{_with('s', 'pairs', 'e', 'pr')}, {base._ADDED} SELECT head AS head_snapshot_id, count(DISTINCT lower(project)) AS projects, count(*) AS total_added, count(DISTINCT lower(ref)) AS unique_added, count(*) FILTER ({base._BCL.replace('x ', 'ref ')}) AS framework_added FROM added GROUP BY 1")
@@ -169,10 +157,13 @@ def external_only(m: Model) -> DataFrame:
     return coupling.entity_coupling(m.edges(), coupling.NAMESPACE).where("ed > 0").select("snapshot_id", "entity", "ed")
 
 
-@query("t14_mixed_order", f"{_PR} SELECT project_row_id, type_count FROM pr WHERE type_count IS NOT NULL ORDER BY type_count, project_row_id LIMIT 100")
+@query(
+    "t14_mixed_order",
+    f"""{_D}, x AS (SELECT snapshot_id, pos, CASE WHEN pos % 2 = 0 THEN CAST(line AS VARCHAR) ELSE id END AS shown FROM d) SELECT snapshot_id, pos, shown FROM x WHERE shown IS NOT NULL ORDER BY try_cast(shown AS DOUBLE) NULLS LAST, shown, snapshot_id, pos LIMIT 5000""",
+)
 def t14_mixed_order(m: Model) -> DataFrame:
-    rows = m.projects().where("type_count is not null").withColumn("shown", F.col("type_count").cast("string"))
-    return rows.orderBy(*rollup.mixed_order("shown"), "project_row_id").limit(100).select("project_row_id", "type_count")
+    rows = m.diagnostics().select("snapshot_id", "pos", F.when(F.col("pos") % 2 == 0, F.col("line").cast("string")).otherwise(F.col("id")).alias("shown")).where("shown is not null")
+    return rows.orderBy(*rollup.mixed_order("shown"), "snapshot_id", "pos").limit(5000)
 
 
 @query("m5_snapshot_rows", f"{_with('s')} SELECT solution_path, count(*) AS snapshots, min(snapshot_id) AS first_id, count(*) FILTER (lower(analysis_mode) = 'full') AS full_mode FROM s GROUP BY 1")

@@ -28,7 +28,8 @@ def p1_objects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _flat(level: str) -> Query:
-    return lambda spark, folder: nested.flat_table(_bridge(spark, folder), level)
+    """One level's table with its links by path; the links by identity, ``object_hash`` and ``parent_hash``, are in ``p1_objects``."""
+    return lambda spark, folder: nested.flat_table(_bridge(spark, folder), level).drop("object_hash", "parent_hash")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,6 +99,17 @@ def _level_sql(name: str, source: str, field: str, path: str) -> str:
 
 _LEVELS = [("p", "r", "prj", "''"), ("n", "p", "ns", "node"), ("t1", "p", "types", "node"), ("t2", "n", "types", "node"), ("m1", "t1", "m", "node"), ("m2", "t2", "m", "node")]
 
+_OBJECTS = "WITH r AS (SELECT report_id, CAST(payload AS JSON) AS o FROM (SELECT * FROM compact_reports WHERE json_valid(payload)) WHERE json_type(payload) = 'OBJECT'), " + ", ".join(_level_sql(*level) for level in _LEVELS)
+
+
+def _flat_sql(level: str, tables: list[str]) -> str:
+    """A level's table in DuckDB; an integer is one by its spelling, as the engine reads it."""
+    own = lambda short, kind: {"string": f"json_extract_string(o, '$.{short}')", "double": f"TRY_CAST(json_extract_string(o, '$.{short}') AS DOUBLE)", "int": f"CASE WHEN regexp_full_match(json_extract_string(o, '$.{short}'), '-?[0-9]+') THEN TRY_CAST(json_extract_string(o, '$.{short}') AS INTEGER) END"}[kind]
+    fields = ", ".join(f"{own(short, kind)} AS {name}" for short, (name, kind) in nested.COLUMNS[level].items())
+    every = " UNION ALL ".join(f"SELECT * FROM {t}" for t in tables)
+    return f"{_OBJECTS} SELECT report_id, node, parent_node, regexp_extract(node, '([a-z]+)\\[(\\d+)\\]$', 1) AS field, CAST(regexp_extract(node, '\\[(\\d+)\\]$', 1) AS INTEGER) AS ordinal, {fields} FROM ({every})"
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_objects": p1_objects,
@@ -121,9 +133,11 @@ _PAIRS = """s AS (SELECT snapshot_id, min(solution_path) AS solution_path, min(a
 _SAME = "head, a, b, severity, c, f, line, col_no"
 
 SQL: dict[str, str] = {
-    "p1_found": "WITH r AS (SELECT report_id, CAST(payload AS JSON) AS o FROM (SELECT * FROM compact_reports WHERE json_valid(payload)) WHERE json_type(payload) = 'OBJECT'), "
-    + ", ".join(_level_sql(*level) for level in _LEVELS)
-    + " UNION ALL ".join(f" SELECT report_id, node, parent_node FROM {level[0]}" for level in _LEVELS),
+    "p1_found": _OBJECTS + " UNION ALL ".join(f" SELECT report_id, node, parent_node FROM {level[0]}" for level in _LEVELS),
+    "p1_projects": _flat_sql("project", ["p"]),
+    "p1_namespaces": _flat_sql("namespace", ["n"]),
+    "p1_types": _flat_sql("type", ["t1", "t2"]),
+    "p1_methods": _flat_sql("method", ["m1", "m2"]),
     "p4_found": """
         SELECT from_entity FROM dependencies WHERE from_entity IS NOT NULL
         GROUP BY from_entity HAVING count(*) > 0.02 * (SELECT count(*) FROM dependencies)""",

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.metrics import stem
 
-#: Fields of a full report that the comparison needs; further fields are ignored, missing ones are null.
+#: Fields of a full report; further fields are ignored, missing ones are null.
 REPORT = (
     "solutionPath string, analyzedAt timestamp, toolVersion string, analysisMode int, projects array<struct<name: string, filePath: string, "
     "types: array<struct<fullName: string, filePath: string, depthOfInheritance: int, methods: array<struct<fullName: string, filePath: string, startLine: int, endLine: int, "
     "cyclomaticComplexity: int, linesOfExecutableCode: int, halsteadVolume: double, maintainabilityIndex: double>>>>, "
-    "packageReferences: array<string>, projectReferences: array<string>, diagnostics: struct<errorCount: int, warningCount: int>>>, warnings array<string>"
+    "packageReferences: array<string>, projectReferences: array<string>, diagnostics: struct<errorCount: int, warningCount: int, infoCount: int, hiddenCount: int, "
+    "diagnostics: array<struct<id: string, message: string, severity: string, file: string, line: int, column: int, category: string, helpLink: string>>>>>, warnings array<string>, "
+    "gitInfo struct<commitSha: string, branchName: string, remoteUrl: string, isDirty: boolean>, "
+    "couplingAnalysis struct<allDependencies: array<struct<from: string, to: string, type: int, referenceCount: bigint>>>"
 )
+#: Suffix of the project files that are read.
+PROJECT = ".csproj"
 
 
 def source_files(spark: SparkSession, folder: str, glob: str = "*.cs") -> DataFrame:
@@ -22,6 +27,38 @@ def source_files(spark: SparkSession, folder: str, glob: str = "*.cs") -> DataFr
     return rows.select("path", F.decode("content", "UTF-8").alias("content"))
 
 
+def solution_projects(files: DataFrame) -> DataFrame:
+    """``path, project_name, project_path`` of the C# projects that solution files (``path, content``) name, each once.
+
+    The suffix says which of the two formats a file has: lines ``Project("...") = "name", "path", ...``, or XML, where the
+    name is the project file's. Paths keep their spelling; projects of other languages and folders are left out.
+    """
+    lower = F.lower("path")
+    line = F.lit(r'Project\("[^"]*"\)\s*=\s*"([^"]*)"\s*,\s*"([^"]*)"')
+    named = F.arrays_zip(F.regexp_extract_all("content", line, 1).alias("project_name"), F.regexp_extract_all("content", line, 2).alias("project_path"))
+    lines = files.where(lower.endswith(".sln")).select("path", F.inline(named))
+    paths = files.where(lower.endswith(".slnx")).select("path", F.explode(F.expr("xpath(content, \"//*[local-name()='Project']/@Path\")")).alias("project_path"))
+    every = lines.unionByName(paths.select("path", stem("project_path").alias("project_name"), "project_path"))
+    return every.where(F.lower("project_path").endswith(PROJECT)).distinct()
+
+
+def read_projects(spark: SparkSession, path: str) -> DataFrame:
+    """``path, project_name, project_path`` of a solution's projects, or of the one project that ``path`` names."""
+    suffix = path.lower().rpartition(".")[2]
+    if suffix in ("sln", "slnx"):
+        return solution_projects(source_files(spark, path, "*"))
+    if suffix == PROJECT[1:]:
+        return spark.createDataFrame([(path,)], "path string").select("path", stem("path").alias("project_name"), F.col("path").alias("project_path"))
+    raise ValueError(f"neither a solution nor a project: {path}")
+
+
+def project_edges(files: DataFrame, projects: DataFrame) -> DataFrame:
+    """``path, from_entity, to_entity, dep_type, reference_count``: one edge per project reference of project files."""
+    items = resolve_references(project_items(files, "ProjectReference"), projects)
+    own = projects.select("path", F.col("project_name").alias("from_entity"))
+    return items.join(own, "path").select("path", "from_entity", F.col("project").alias("to_entity"), F.lit(0).alias("dep_type"), F.lit(1).cast("bigint").alias("reference_count"))
+
+
 def project_items(files: DataFrame, item: str) -> DataFrame:
     """``path, ref``: the Include of each PackageReference or ProjectReference of project files.
 
@@ -57,8 +94,12 @@ def report_methods(reports: DataFrame) -> DataFrame:
     return types.select("path", "project", F.col("t.fullName").alias("type_name"), F.inline("t.methods"))
 
 
-def append_edges(edges: DataFrame, path: str) -> None:
-    edges.write.mode("append").parquet(path)
+def append_edges(edges: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append edges; with the name of a ``batch`` its part of the table is replaced, so a retry doubles nothing."""
+    if batch is None:
+        edges.write.mode("append").parquet(path)
+    else:
+        edges.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
 
 
 def reset_edges(spark: SparkSession, path: str, schema: str) -> None:

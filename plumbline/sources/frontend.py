@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.metrics import is_generated_path, namespace_of
-from plumbline.operators.tokens import OPERAND_WORDS, OPERATOR_SYMBOLS, OPERATOR_WORDS, PATTERN, RESERVED
+from plumbline.operators.tokens import OPERAND_WORDS, OPERATOR_SYMBOLS, OPERATOR_WORDS, PATTERN, RESERVED, is_operand
 from plumbline.session import ship
 
 _TOKEN = re.compile(PATTERN + r"|[{}]", re.S)
@@ -93,7 +93,7 @@ def measure(tokens: list[str]) -> Measures:
         after = tokens[i + 1] if i + 1 < len(tokens) else ""
         if t in _OPERATORS:
             m.operators.append(t)
-        elif (t[0].isalnum() or t[0] in "_\"'") and t not in _PASSIVE:
+        elif is_operand(t):
             m.operands.append(t)
         if t == "(" and i and tokens[i - 1] in ("for", "foreach"):
             header = 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from datetime import datetime
+from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import metrics as fn
 from plumbline.operators.references import package_counts
+from plumbline.operators.rollup import type_rollup
 
 #: Extension by format (fixed values).
 EXTENSIONS = {"html": "html", "compact": "slr", "json": "json"}
@@ -102,16 +103,53 @@ def compact_reports(snapshots: DataFrame, projects: DataFrame, graphs: DataFrame
 
 
 def hierarchical_reports(types: DataFrame, methods: DataFrame) -> DataFrame:
-    """``snapshot_id, project, body``: namespaces, types and methods of a project nested under short names.
+    """``snapshot_id, project, body``: namespaces, types and methods of a project nested under short names, with their sums.
 
-    Nesting is done level by level, each in name order; a project is one document, as the format asks.
+    Nesting is done level by level, each in name order; a project is one document, as the format asks, which bounds it.
     """
+    digit = lambda c: fn.round_even(c, 1)
+    mean = lambda total, n: digit(F.coalesce(F.col(total).cast("double") / F.nullif(F.col(n), F.lit(0)), F.lit(0.0)))
     own = methods.where("type_id is not null").groupBy("type_id").agg(
-        _sorted_list(fn.short_name("full_name").alias("n"), F.col("cyclomatic_complexity").alias("cc"), F.col("lines_of_executable_code").alias("loc"), fn.round_even("halstead_volume", 1).alias("hv"), fn.round_even("maintainability_index", 1).alias("mi"), F.col("start_line").alias("sl"), F.col("end_line").alias("el")).alias("m")
+        _sorted_list(fn.short_name("full_name").alias("n"), F.col("cyclomatic_complexity").alias("cc"), F.col("lines_of_executable_code").alias("loc"), digit("halstead_volume").alias("hv"), digit("maintainability_index").alias("mi"), F.col("start_line").alias("sl"), F.col("end_line").alias("el")).alias("m")
     )
-    per_type = types.join(own, "type_id", "left").withColumn("namespace", fn.namespace_of("full_name"))
-    spaces = per_type.groupBy("snapshot_id", "project", "namespace").agg(_sorted_list(fn.short_name("full_name").alias("n"), F.col("depth_of_inheritance").alias("dit"), "m").alias("types"))
-    return spaces.groupBy("snapshot_id", "project").agg(_sorted_list(F.col("namespace").alias("n"), "types").alias("ns")).select("snapshot_id", "project", F.to_json(F.struct("ns")).alias("body"))
+    per_type = type_rollup(types, methods).join(own, "type_id", "left").withColumn("k", F.col("n_methods"))
+    item = [fn.short_name("full_name").alias("n"), F.col("depth_of_inheritance").alias("dit"), F.col("cc"), F.col("loc"), mean("mi_sum", "mi_n").alias("mi"), F.col("m")]
+    sums = [F.count(F.lit(1)).alias("tc"), F.sum("k").alias("mc"), F.sum("cc").alias("cc"), F.sum("loc").alias("loc"), F.coalesce(F.max("depth_of_inheritance"), F.lit(0)).alias("dit"), F.sum("mi_sum").alias("mi_sum"), F.sum("mi_n").alias("mi_n")]
+    spaces = per_type.groupBy("snapshot_id", "project", "namespace").agg(*sums, _sorted_list(*item).alias("types"))
+    whole = _sorted_list(F.col("namespace").alias("n"), F.col("tc"), F.col("mc"), F.col("cc"), F.col("loc"), F.col("dit"), mean("mi_sum", "mi_n").alias("mi"), F.col("types"))
+    return spaces.groupBy("snapshot_id", "project").agg(whole.alias("ns")).select("snapshot_id", "project", F.to_json(F.struct("ns")).alias("body"))
+
+
+def full_reports(snapshots: DataFrame, projects: DataFrame, types: DataFrame, methods: DataFrame, diagnostics: DataFrame, packages: DataFrame, references: DataFrame) -> DataFrame:
+    """``snapshot_id, report``: the full JSON document of each snapshot, nulls left out, as ``read_reports`` reads it.
+
+    ``packages`` and ``references`` have ``snapshot_id, project, ref``. A project that only types or diagnostics name is
+    listed too. A snapshot is one document, as the format asks, which bounds it.
+    """
+    rows = methods.where("type_id is not null").groupBy("type_id").agg(
+        _sorted_list(F.col("full_name").alias("fullName"), F.col("method_id"), F.col("file_path").alias("filePath"), F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine"), F.col("cyclomatic_complexity").alias("cyclomaticComplexity"), F.col("lines_of_executable_code").alias("linesOfExecutableCode"), F.when(~F.isnan("halstead_volume"), F.col("halstead_volume")).alias("halsteadVolume"), F.col("maintainability_index").alias("maintainabilityIndex")).alias("methods")
+    )
+    key = ["snapshot_id", "name"]
+    named = lambda df: df.withColumnRenamed("project", "name")
+    per_type = named(types.join(rows, "type_id", "left").groupBy("snapshot_id", "project").agg(_sorted_list(F.col("full_name").alias("fullName"), F.col("type_id"), F.col("file_path").alias("filePath"), F.col("depth_of_inheritance").alias("depthOfInheritance"), "methods").alias("types")))
+    counts = [F.count_if(F.col("severity") == k).alias(n) for k, n in ((3, "errorCount"), (2, "warningCount"), (1, "infoCount"), (0, "hiddenCount"))]
+    items = _sorted_list(F.col("pos"), F.col("id"), F.col("message"), F.initcap(fn.severity_label("severity")).alias("severity"), F.col("file"), F.col("line"), F.col("col_no").alias("column"), F.col("category"), F.col("help_link").alias("helpLink"))
+    found = named(diagnostics.groupBy("snapshot_id", "project").agg(*counts, items.alias("diagnostics"))).select(*key, F.struct("errorCount", "warningCount", "infoCount", "hiddenCount", "diagnostics").alias("diagnostics"))
+    lists = [named(df.groupBy("snapshot_id", "project").agg(F.array_sort(F.collect_set("ref")).alias(n))) for df, n in ((packages, "packageReferences"), (references, "projectReferences"))]
+    own = projects.select("snapshot_id", F.col("project_name").alias("name"), F.col("file_path").alias("filePath")).groupBy(*key).agg(F.min("filePath").alias("filePath"))
+    for part in (per_type, found):
+        other = part.toDF("_s", "_n", part.columns[2])
+        both = own.join(other, F.col("snapshot_id").eqNullSafe(F.col("_s")) & F.col("name").eqNullSafe(F.col("_n")), "full_outer")
+        own = both.withColumn("snapshot_id", F.coalesce("snapshot_id", "_s")).withColumn("name", F.coalesce("name", "_n")).drop("_s", "_n")
+    for part in lists:
+        own = own.join(part, key, "left")
+    listed = own.groupBy("snapshot_id").agg(_sorted_list("name", "filePath", "types", "packageReferences", "projectReferences", "diagnostics").alias("projects"))
+    body = F.struct(
+        F.col("solution_path").alias("solutionPath"), F.date_format(F.col("analyzed_at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("analyzedAt"), F.col("tool_version").alias("toolVersion"),
+        F.when(F.lower("analysis_mode") == "full", 0).otherwise(1).alias("analysisMode"), F.coalesce("projects", F.array().cast(listed.schema["projects"].dataType)).alias("projects"),
+        F.struct(F.col("commit_sha").alias("commitSha"), F.col("branch_name").alias("branchName"), F.col("remote_url").alias("remoteUrl"), F.col("is_dirty").alias("isDirty")).alias("gitInfo"),
+    )
+    return snapshots.join(listed, "snapshot_id", "left").select("snapshot_id", F.to_json(body, {"ignoreNullFields": "true"}).alias("report"))
 
 
 def graph_document(nodes: DataFrame, edges: DataFrame, columns: list[str]) -> DataFrame:
@@ -188,10 +226,13 @@ def _warning_meaning(delta: int) -> str:
     return "bad_increase" if delta > 0 else "good_decrease" if delta < 0 else "neutral"
 
 
-def render_markdown(base: dict, head: dict, totals: dict, diagnostics: dict, items: dict[str, list[dict]], projects: list[dict], references: list[dict], max_projects: int = 10, least_level: str = "info", title: str = "Diff Summary") -> str:
-    """The Markdown report of one comparison; sections in fixed order, lists cut at ``max_projects``."""
-    sha = lambda s: (s.get("commit_sha") or "").strip()[:7] or "unknown"
-    out = [f"## {title}", "", f"Base: `{sha(base)}` {base.get('branch_name') or ''}", f"Head: `{sha(head)}` {head.get('branch_name') or ''}", f"Analysis mode: `{head.get('analysis_mode')}`", ""]
+def name_list(names: list[str], fresh: frozenset[str] = frozenset(), most: int = 3) -> str:
+    """The first names, marked where they are new to the solution (``fresh``, in lower case), and how many more there are."""
+    shown = [f"`{_escape(n)}`{' 🆕' if n.lower() in fresh else ''}" for n in names[:most]]
+    return ", ".join(shown + [f"+{len(names) - most} more"] * (len(names) > most)) or "none"
+
+
+def _diagnostic_section(totals: dict, diagnostics: dict, items: dict[str, list[dict]], least_level: str) -> list[str]:
     rows = []
     for label, name, meaning in (("Errors", "errors", "critical_increase"), ("Warnings", "warnings", "bad_increase"), ("Info", "info", "neutral")):
         b, h = totals[f"base_{name}"], totals[f"head_{name}"]
@@ -199,34 +240,122 @@ def render_markdown(base: dict, head: dict, totals: dict, diagnostics: dict, ite
         if not (solved or added or moved):
             solved, added = max(0, b - h), max(0, h - b)
         rows.append([label, b, h, solved, _marked(str(added), meaning)])
-    out += ["### Diagnostics", "", *markdown_table(["Metric", "Base", "Head", "Solved", "Added"], rows), ""]
-    least = fn.SEVERITIES.index(least_level.lower())
+    out = ["### Diagnostics", "", *markdown_table(["Metric", "Base", "Head", "Solved", "Added"], rows), ""]
+    least = level_of(least_level)
     for heading, name in (("#### Added Diagnostics", "added"), ("#### Resolved Diagnostics", "removed")):
-        shown = [i for i in items.get(name, []) if (i["severity"] if isinstance(i["severity"], int) else fn.SEVERITIES.index(i["severity"])) >= least]
-        table = markdown_table(["Severity", "Code", "Description", "Location", "File"], [[fn.SEVERITIES[i["severity"]], _escape(i["id"]), _escape(i["message"]), f"{i['line']}:{i['col_no']}", _escape(i["file"])] for i in shown], right=5)
-        out += [heading, "", *(table if shown else ["None"]), ""]
+        ranked = [(i["severity"] if isinstance(i["severity"], int) else level_of(i["severity"], 0), i) for i in items.get(name, [])]
+        shown = [[fn.SEVERITIES[s], _escape(i["id"]), _escape(i["message"]), f"{i['line']}:{i['col_no']}", _escape(i["file"])] for s, i in ranked if s >= least]
+        out += [heading, "", *(markdown_table(["Severity", "Code", "Description", "Location", "File"], shown, right=5) if shown else ["None"]), ""]
+    return out
+
+
+def _reference_section(references: list[dict], fresh: frozenset[str], most: int) -> list[str]:
+    kept = sorted((r for r in references if r["added"]), key=lambda r: -len(r["added"]))
+    if not kept:
+        return []
+    total, unique = sum(len(r["added"]) for r in kept), len({n.lower() for r in kept for n in r["added"]})
+    out = ["### Project References Changes", "", f"Added direct project refs in {len(kept)} project(s), {total} total change(s), {unique} unique.", ""]
+    out += [f"- `{_escape(r['project'])}` → {name_list(r['added'], fresh)}" for r in kept[:most]]
+    return out + _and_more(kept, most)
+
+
+def _external_section(externals: list[dict], fresh: frozenset[str], most: int) -> list[str]:
+    kept = sorted((r for r in externals if r["bcl"] or r["packages"]), key=lambda r: -abs(r.get("delta", 0)))
+    if not kept:
+        return []
+    counts = [sum(len(r[k]) for r in kept) for k in ("bcl", "packages")]
+    out = ["### NuGet Dependencies Changes", "", f"Added direct dependencies in {len(kept)} project(s): {counts[0]} BCL, {counts[1]} package.", ""]
+    for r in kept[:most]:
+        parts = [f"{label}: {name_list(r[k], fresh)}" for label, k in (("BCL", "bcl"), ("Packages", "packages")) if r[k]]
+        out.append(f"- `{_escape(r['project'])}` → {'; '.join(parts)}")
+    return out + _and_more(kept, most)
+
+
+def _and_more(rows: list, most: int) -> list[str]:
+    return [f"- ...and {len(rows) - most} more project(s)"] * (len(rows) > most) + [""]
+
+
+def _maintainability_section(projects: list[dict]) -> list[str]:
+    kept = [p for p in projects if not p["is_added"] and not p["is_removed"] and any(p[f"{m}_delta"] for m in ("mi", "total_cc", "total_loc", "warning_count"))]
+    if not kept:
+        return []
+    rows = [
+        [
+            _escape(p["project"]), f"{p['base_mi']:.1f}", f"{p['head_mi']:.1f}", _marked(_signed(p["mi_delta"], 1), _index_meaning(p["mi_delta"])),
+            _signed(p["total_cc_delta"]), _signed(p["total_loc_delta"]), _marked(_signed(p["warning_count_delta"]), _warning_meaning(p["warning_count_delta"])),
+        ]
+        for p in sorted(kept, key=lambda p: -abs(p["mi_delta"]))
+    ]
+    return ["### Maintainability Changes", "", *markdown_table(["Project", "MI (Base)", "MI (Head)", "Delta", "Complexity Δ", "LOC Δ", "Warnings Δ"], rows), ""]
+
+
+def _overall_section(totals: dict, full: bool) -> list[str]:
     rows = [["Projects", totals["base_projects"], totals["head_projects"], _signed(totals["projects_delta"])]]
-    full = str(head.get("analysis_mode", "")).lower() == "full" and str(base.get("analysis_mode", "")).lower() == "full"
     if full:
         for label, name in (("Types", "types"), ("Methods", "methods"), ("Cyclomatic Complexity", "cc"), ("Lines of Code", "loc")):
             meaning = _complexity_meaning(totals["cc_delta"], totals["base_cc"]) if name == "cc" else "neutral"
             rows.append([label, totals[f"base_{name}"], totals[f"head_{name}"], _marked(_signed(totals[f"{name}_delta"]), meaning)])
-        if "base_avg_mi" in totals:
-            delta = totals["head_avg_mi"] - totals["base_avg_mi"]
-            rows.append(["Avg Maintainability", f"{totals['base_avg_mi']:.1f}", f"{totals['head_avg_mi']:.1f}", _marked(_signed(delta, 1), _index_meaning(delta))])
-    out += ["### Overall Metrics", "", *markdown_table(["Metric", "Base", "Head", "Delta"], rows), ""]
-    changed = sorted((p for p in projects if not p["is_added"] and not p["is_removed"]), key=lambda p: (-abs(p.get("mi_delta", 0.0)), p["project"]))
-    changed = [p for p in changed if p.get("mi_delta") or p["total_cc_delta"] or p["total_loc_delta"] or p["warning_count_delta"]]
-    if full and changed:
-        head_row = ["Project", "Delta", "Complexity Δ", "LOC Δ", "Warnings Δ"]
-        rows = [[_escape(p["project"]), _marked(_signed(p.get("mi_delta", 0.0), 1), _index_meaning(p.get("mi_delta", 0.0))), _signed(p["total_cc_delta"]), _signed(p["total_loc_delta"]), _marked(_signed(p["warning_count_delta"]), _warning_meaning(p["warning_count_delta"]))] for p in changed]
-        out += ["### Maintainability Changes", "", *markdown_table(head_row, rows), ""]
-    if references:
-        ranked = sorted(references, key=lambda r: (-(r["bcl_added"] + r["packages_added"]), r["project"]))
-        out += ["### References Changes", "", f"Added references in {len(ranked)} project(s), {sum(r['bcl_added'] + r['packages_added'] for r in ranked)} total change(s).", ""]
-        out += [f"- `{_escape(r['project'])}` → {r['summary']}" for r in ranked[:max_projects]]
-        out += [f"- ...and {len(ranked) - max_projects} more project(s)"] * (len(ranked) > max_projects) + [""]
-    return "\n".join(out)
+        delta = totals["avg_mi_delta"]
+        rows.append(["Avg Maintainability", f"{totals['base_avg_mi']:.1f}", f"{totals['head_avg_mi']:.1f}", _marked(_signed(delta, 1), _index_meaning(delta))])
+    return ["### Overall Metrics", "", *markdown_table(["Metric", "Base", "Head", "Delta"], rows), ""]
+
+
+def has_complexity(base: dict, head: dict) -> bool:
+    """Whether both snapshots have measures of their methods."""
+    return all(str(s.get("analysis_mode") or "").lower() == "full" for s in (base, head))
+
+
+def render_markdown(base: dict, head: dict, totals: dict, diagnostics: dict, items: dict[str, list[dict]], projects: list[dict], references: list[dict] = (), externals: list[dict] = (), fresh: list[str] = (), max_projects: int = 10, least_level: str = "info", title: str = "Diff Summary") -> str:
+    """The Markdown report of one comparison; sections in fixed order, lists of projects cut at ``max_projects``.
+
+    ``references`` has ``project, added``, ``externals`` ``project, bcl, packages, delta``, both of projects in both
+    snapshots; ``fresh`` names what is new to the solution. Sorts keep the given order among equals.
+    """
+    sha = lambda s: (s.get("commit_sha") or "").strip()[:7] or "unknown"
+    new, full = frozenset(n.lower() for n in fresh), has_complexity(base, head)
+    out = [f"## {title}", "", f"Base: `{sha(base)}` {base.get('branch_name') or ''}", f"Head: `{sha(head)}` {head.get('branch_name') or ''}", f"Analysis mode: `{head.get('analysis_mode')}`", ""]
+    out += _diagnostic_section(totals, diagnostics, items, least_level) + _reference_section(references, new, max_projects) + _external_section(externals, new, max_projects)
+    return "\n".join(out + (_maintainability_section(projects) if full else []) + _overall_section(totals, full))
+
+
+def level_of(name: str | None, default: int = 1) -> int:
+    """The rank of a severity by its name in any case; ``default``, info, where it names none."""
+    said = (name or "").strip().lower()
+    return fn.SEVERITIES.index(said) if said in fn.SEVERITIES else default
+
+
+#: Modes of an analysis by their names in lower case (fixed values).
+MODES = {"full": 0, "diagnosticsandreferences": 1}
+
+
+def mode_of(name: str) -> int:
+    """The number of a mode by its name in any case; ValueError where it names none."""
+    if (name or "").strip().lower() not in MODES:
+        raise ValueError(f"no mode of an analysis: {name}")
+    return MODES[name.strip().lower()]
+
+
+def render_diff(form: str, comparison: dict, **options) -> str:
+    """One comparison as ``json``, ``html``, ``markdown`` or ``summary``; ValueError for any other form.
+
+    ``comparison`` holds the arguments of ``render_markdown`` by name.
+    """
+    if form == "json":
+        return json.dumps({k: v for k, v in comparison.items() if v is not None}, indent=2, default=str, ensure_ascii=False)
+    if form == "markdown":
+        return render_markdown(**comparison, **options)
+    if form == "html":
+        mode = "full" if has_complexity(comparison["base"], comparison["head"]) else "lightweight"
+        return render_html("Diff", datetime.now(timezone.utc), json.dumps(comparison, default=str), render_markdown(**comparison, **options), mode)
+    if form == "summary":
+        t = comparison["totals"]
+        return "\n".join(f"{label}: {t[f'base_{n}']} -> {t[f'head_{n}']} ({_signed(t[f'{n}_delta'])})" for label, n in (("Projects", "projects"), ("Errors", "errors"), ("Warnings", "warnings"), ("Cyclomatic Complexity", "cc"), ("Lines of Code", "loc")))
+    raise ValueError(f"no such form of a comparison: {form}")
+
+
+def warning_lines(warnings: list[str], most: int = 10) -> list[str]:
+    """The first warnings, then how many more there are."""
+    return warnings[:most] + [f"... and {len(warnings) - most} more"] * (len(warnings) > most)
 
 
 def render_summary(snapshot: dict, totals: dict, coupling: dict | None, top: list[dict], low: list[dict]) -> str:
@@ -243,7 +372,18 @@ def render_summary(snapshot: dict, totals: dict, coupling: dict | None, top: lis
     return "\n".join(out)
 
 
-PAGE = "<!DOCTYPE html>\n<html lang=\"en\"><head><meta charset=\"utf-8\"><title>{title}</title></head>\n<body><h1>{title}</h1><p>{when}</p>\n<script>const REPORT = JSON.parse(\"{data}\");</script>\n<pre id=\"summary\">{summary}</pre></body></html>\n"
+#: Tabs of a page in their order; those of methods and coupling need a full analysis.
+TABS = {"summary": "Summary", "projects": "Projects", "complexity": "Complexity", "coupling": "Coupling", "graph": "Graph", "diagnostics": "Diagnostics"}
+FULL_ONLY = frozenset(["complexity", "coupling", "graph"])
+PAGE = """<!DOCTYPE html>
+<html lang="en"><head><meta charset="utf-8"><title>@TITLE@</title></head>
+<body><h1>@TITLE@</h1><p>@WHEN@</p>
+<nav>@TABS@</nav>
+@SECTIONS@
+<script>const REPORT = JSON.parse("@DATA@");
+for (const tab of document.querySelectorAll("nav a")) tab.onclick = () => { for (const s of document.querySelectorAll("section")) s.hidden = "#" + s.id !== tab.hash; };
+</script></body></html>
+"""
 
 
 def script_literal(text: str) -> str:
@@ -252,6 +392,19 @@ def script_literal(text: str) -> str:
     return out.replace("</", "<\\/")
 
 
-def render_html(title: str, when: datetime, document: str, summary: str) -> str:
-    """One self-contained page with the JSON document embedded; no reference to other hosts."""
-    return PAGE.format(title=html.escape(title), when=when.strftime("%Y-%m-%d %H:%M:%S UTC"), data=script_literal(document), summary=html.escape(summary))
+def render_html(title: str, when: datetime, document: str, summary: str, mode: str = "full") -> str:
+    """One self-contained page with the JSON document embedded; no reference to other hosts.
+
+    Tokens of the page are replaced in one pass, so that no content is taken for a token. Without a full analysis the
+    tabs that need one are left out.
+    """
+    tabs = {k: v for k, v in TABS.items() if mode.lower() == "full" or k not in FULL_ONLY}
+    sections = [f'<section id="{k}"{"" if k == "summary" else " hidden"}><h2>{v}</h2>{f"<pre>{html.escape(summary)}</pre>" if k == "summary" else ""}</section>' for k, v in tabs.items()]
+    values = {
+        "TITLE": html.escape(title),
+        "WHEN": when.strftime("%Y-%m-%d %H:%M:%S UTC"),
+        "TABS": " ".join(f'<a href="#{k}">{v}</a>' for k, v in tabs.items()),
+        "SECTIONS": "\n".join(sections),
+        "DATA": script_literal(document),
+    }
+    return re.sub("@([A-Z]+)@", lambda found: values.get(found[1], found[0]), PAGE)

@@ -8,8 +8,8 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import coupling, diff, rollup
-from plumbline.operators.tokens import depth_of_inheritance, halstead
+from plumbline.operators import coupling, diff, references, rollup
+from plumbline.operators.tokens import depth_of_inheritance, halstead, token_counts
 from plumbline.plans import analysis_queries as A
 from plumbline.sources import files, frontend, reports
 from plumbline.sources.model import Model
@@ -309,30 +309,130 @@ def test_all_measures_of_a_project_are_compared(spark):
     assert got["Q"]["is_added"] and got["Q"]["mi_delta"] == 0 and set(by(diff.project_diff(df, pairs), "project")) == {"p", "Q"}
 
 
-def test_rank_by_maintainability_agrees_with_the_measures(spark):
-    got = A.QUERIES["j1_all_measures"](spark, MIDDLE).collect()
-    narrow = A.QUERIES["j1_project_diff"](spark, MIDDLE)
-    assert sorted(tuple(r[c] for c in narrow.columns) for r in got) == sorted(map(tuple, narrow.collect())) and any(r["mi_delta"] for r in got)
-    want = {}
-    for r in got:
-        if not r["is_added"] and not r["is_removed"]:
-            want.setdefault(r["head_snapshot_id"], []).append((-abs(r["mi_delta"]), r["project"]))
-    ranked = {(r["head_snapshot_id"], r["rank_no"]): r["project"] for r in A.QUERIES["t12_maintainability_changes"](spark, MIDDLE).collect()}
-    assert ranked == {(s, i + 1): p for s, v in want.items() for i, (_, p) in enumerate(sorted(v)[:10])}
+def test_compared_rows_hold_every_part(spark):
+    """A pair without anything else has zeros; details count once."""
+    snaps = spark.createDataFrame([("a", "x", "Full"), ("b", "x", "full"), ("c", "x", "Lightweight")], "snapshot_id string, solution_path string, analysis_mode string")
+    for c in ("analyzed_at", "commit_sha", "branch_name"):
+        snaps = snaps.withColumn(c, F.lit(None).cast("string"))
+    pairs = spark.createDataFrame([("b", "a"), ("c", "b")], "head_snapshot_id string, base_snapshot_id string")
+    meta = diff.diff_metadata(snaps, pairs)
+    assert {r["head_snapshot_id"]: r["has_complexity"] for r in meta.collect()} == {"b": True, "c": False}
+    kinds = ", ".join(f"{n} {'double' if n == 'avg_mi' else 'long'}" for n in diff.TOTALS)
+    totals = diff.totals_diff(spark.createDataFrame([("a", *[1] * 9, 70.0), ("b", *[3] * 9, 60.5)], f"snapshot_id string, {kinds}"), pairs)
+    rows = [("b", "P", False, False, *[0] * 14), ("b", "Q", True, False, *[1] * 14), ("b", "R", False, False, *[0] * 13, 2)]
+    names = [f"{m}_delta" for m in [*diff.PROJECT_MEASURES, *diff.FURTHER_MEASURES] if m != "warning_count"] + ["warning_count_delta"]
+    projects = spark.createDataFrame(rows, "head_snapshot_id string, project string, is_added boolean, is_removed boolean, " + ", ".join(f"{n} int" for n in names))
+    found = spark.createDataFrame([("b", 4)], "head_snapshot_id string, added_error long")
+    presence = spark.createDataFrame([("b", "x", "added"), ("b", "y", "removed"), ("b", "z", "added")], "head_snapshot_id string, ref string, outcome string")
+    got = by(diff.compare(meta, totals, projects, found, presence), "head_snapshot_id")
+    assert [got["b"][c] for c in ("avg_mi_delta", "cc_delta", "projects_added", "projects_removed", "projects_changed", "added_error", "new_to_solution", "removed_from_solution")] == [-9.5, 2, 1, 0, 1, 4, 2, 1]
+    assert [got["c"][c] for c in ("avg_mi_delta", "cc_delta", "projects_added", "added_error", "new_to_solution")] == [-60.5, -3, 0, 0, 0]
+
+
+def test_packages_of_the_fixture_and_their_changes(spark):
+    """Of five packages three are the framework's; a target that is a listed project is none."""
+    packages = ["System", "System.CommandLine", "Microsoft.Extensions.Logging", "LibGit2Sharp", "Company.Systematic"]
+    refs = spark.createDataFrame([("h", "P", r) for r in [*packages, "Library", "System", " "]] + [("b", "p", "Old"), ("h", "New", "Old")], "snapshot_id string, project string, ref string")
+    projects = spark.createDataFrame([("h", "P"), ("h", "Library"), ("b", "P"), ("b", None)], "snapshot_id string, project_name string")
+    own = references.package_references(refs, projects)
+    assert {r["n"]: (r["ed"], r["edb"], r["edp"]) for r in references.package_counts(own.where("project = 'P'")).collect()} == {"P": (5, 3, 2)}
+    pairs = spark.createDataFrame([("h", "b")], "head_snapshot_id string, base_snapshot_id string")
+    changes = references.external_changes(own, pairs)
+    both = references.of_both_snapshots(changes, references.present_projects(projects, refs), pairs)
+    got = {(r["project"], r["ref"], r["outcome"], r["is_bcl"]) for r in both.collect()}
+    assert got == {("P", r, "added", r.startswith(("System", "Microsoft."))) for r in packages} | {("p", "Old", "removed", False)}
+    assert changes.count() == 7
+    totals = references.added_totals(both.where("outcome = 'added'")).collect()[0]
+    assert (totals["projects"], totals["total_added"], totals["unique_added"], totals["framework_added"]) == (1, 5, 5, 3)
 
 
-def test_rendered_texts():
-    totals = {f"{s}_{n}": 0 for s in ("base", "head") for n in ("projects", "types", "methods", "cc", "loc", "errors", "warnings", "info")} | {f"{n}_delta": 0 for n in ("projects", "types", "methods", "cc", "loc")}
-    totals |= {"base_errors": 10, "head_errors": 3, "base_warnings": 5, "head_warnings": 15, "base_avg_mi": 85.0, "head_avg_mi": 70.0}
+def test_depth_by_doubling(spark):
+    chain = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(300)]
+    rows = [*chain, ("n299", None), ("x", "elsewhere"), ("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("on", "c1"), ("empty", ""), (None, "n1"), ("two", "n5"), ("two", "n9")]
+    got = {r["name"]: r["depth"] for r in depth_of_inheritance(spark.createDataFrame(rows, "a string, b string"), "a", "b").collect()}
+    assert got == {**{f"n{i}": i for i in range(300)}, "x": 1, "c1": None, "c2": None, "c3": None, "on": None, "empty": 0, "two": 6}
+    assert depth_of_inheritance(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
+
+
+def test_strings_of_all_kinds_are_lexed():
+    code = 'var a = @"C:\\"" x" + $"hi {b}" + """raw "q" text""" + "p\\"q"; // "no"'
+    assert token_counts(code) == (3, 4, 5, 4)  # = + ;  and  var a, the verbatim and the plain string
+    assert token_counts(None) == token_counts("") == (0, 0, 0, 0) and token_counts("default") == (1, 0, 1, 0)
+
+
+def test_solutions_of_both_formats_and_dispatch(spark, tmp_path):
+    text = 'Project("{A}") = "App", "src\\App\\App.csproj", "{1}"\nEndProject\nProject("{A}") = "Folder", "Folder", "{2}"\nEndProject\nProject("{B}")="V","V.vbproj","{3}"\nProject("{A}") = "App", "src\\App\\App.csproj", "{1}"\n'
+    (tmp_path / "one.sln").write_text(text)
+    (tmp_path / "two.slnx").write_text('<Solution><Folder Name="/src/"><Project Path="src/B.Core/B.Core.csproj" Type="x"/></Folder><Project Path="c.fsproj"/></Solution>')
+    got = [(r["project_name"], r["project_path"]) for name in ("one.sln", "two.slnx") for r in files.read_projects(spark, str(tmp_path / name)).collect()]
+    assert got == [("App", "src\\App\\App.csproj"), ("B.Core", "src/B.Core/B.Core.csproj")]
+    assert [tuple(r) for r in files.read_projects(spark, "/x/P.Q.csproj").collect()] == [("/x/P.Q.csproj", "P.Q", "/x/P.Q.csproj")]
+    with pytest.raises(ValueError):
+        files.read_projects(spark, "/x/readme.md")
+
+
+def test_full_reports_read_back_whole(spark):
+    m = Model(spark, MIDDLE)
+    none = spark.createDataFrame([("snap-00000001", "P.Q", "Tarnval")], "snapshot_id string, project string, ref string")
+    written = reports.full_reports(m.snapshots(), m.projects(), m.types(), m.methods(), m.diagnostics(), none, none.limit(0))
+    read = written.select(F.from_json("report", files.REPORT).alias("r")).select("r.*").collect()
+    kept = m.diagnostics().join(m.snapshots().select("snapshot_id"), "snapshot_id", "left_semi")
+    assert sum(len(p["diagnostics"]["diagnostics"]) for r in read for p in r["projects"] if p["diagnostics"]) == kept.count() > 0
+    assert {r["analysisMode"] for r in read} == {0, 1} and all(r["gitInfo"] for r in read) and any(r["analyzedAt"].microsecond for r in read)
+
+
+def test_a_retried_batch_of_edges_doubles_nothing(spark, tmp_path, edges):
+    path = str(tmp_path / "edges")
+    for _ in range(2):
+        files.append_edges(edges, path, "7")
+    files.append_edges(edges, path, "8")
+    assert spark.read.parquet(path).count() == 2 * edges.count()
+
+
+def comparison(**more):
+    totals = {f"{s}_{n}": 0 for s in ("base", "head") for n in ("projects", "types", "methods", "cc", "loc", "errors", "warnings", "info")} | {f"{n}_delta": 0 for n in ("projects", "types", "methods", "cc", "loc", "errors", "warnings")}
+    totals |= {"base_errors": 10, "head_errors": 3, "errors_delta": -7, "base_warnings": 5, "head_warnings": 15, "base_avg_mi": 85.0, "head_avg_mi": 70.0, "avg_mi_delta": -15.0}
     items = {"added": [{"severity": 1, "id": "X", "message": "a|b", "line": 1, "col_no": 2, "file": "f"}, {"severity": 0, "id": "H", "message": "m", "line": 1, "col_no": 2, "file": "f"}]}
-    projects = [{"project": "P", "is_added": False, "is_removed": False, "total_cc_delta": 60, "total_loc_delta": 0, "warning_count_delta": -1}]
-    text = reports.render_markdown({"commit_sha": "0123456789", "analysis_mode": "Full"}, {"commit_sha": "", "analysis_mode": "Full"}, totals, {}, items, projects, [{"project": f"p{i}", "bcl_added": 1, "packages_added": 0, "summary": "x"} for i in range(12)])
-    for part in ("Base: `0123456`", "Head: `unknown`", "| Errors | 10 | 3 | 7 | 0 |", "⚠️ **10**", "🔴 **-15.0**", "| info | X | a\\|b | 1:2 | f |", "...and 2 more project(s)", "✅ -1"):
+    projects = [
+        {"project": p, "is_added": False, "is_removed": False, "base_mi": 80.0, "head_mi": 80.0 + d, "mi_delta": d, "total_cc_delta": c, "total_loc_delta": 0, "warning_count_delta": w} for p, d, c, w in (("P", 0.0, 60, -1), ("Q", -6.04, 0, 0), ("Same", 0.0, 0, 0))
+    ]
+    return {
+        "base": {"commit_sha": "0123456789", "analysis_mode": "Full"}, "head": {"commit_sha": "", "analysis_mode": "Full"}, "totals": totals, "diagnostics": {}, "items": items, "projects": projects,
+        "references": [{"project": f"p{i}", "added": ["A"] * (i % 3)} for i in range(20)], "externals": [{"project": "E", "bcl": ["System"], "packages": ["B", "C", "D", "E|x"], "delta": 0}], "fresh": ["a"],
+    } | more
+
+
+def test_sections_of_the_markdown_report_in_order():
+    text = reports.render_markdown(**comparison())
+    heads = [line for line in text.split("\n") if line.startswith("###") and not line.startswith("####")]
+    assert heads == ["### Diagnostics", "### Project References Changes", "### NuGet Dependencies Changes", "### Maintainability Changes", "### Overall Metrics"]
+    for part in (
+        "Base: `0123456`", "Head: `unknown`", "| Errors | 10 | 3 | 7 | 0 |", "⚠️ **10**", "🔴 **-15.0**", "| info | X | a\\|b | 1:2 | f |", "...and 3 more project(s)", "✅ -1",
+        "Added direct project refs in 13 project(s), 19 total change(s), 1 unique.", "- `p2` → `A` 🆕, `A` 🆕", "- `E` → BCL: `System`; Packages: `B`, `C`, `D`, +1 more", "1 BCL, 4 package.",
+        "| Project | MI (Base) | MI (Head) | Delta | Complexity Δ | LOC Δ | Warnings Δ |\n| --- | ---: | ---: | ---: | ---: | ---: | ---: |\n| Q | 80.0 | 74.0 | ⚠️ **-6.0** | 0 | 0 | 0 |\n| P | 80.0 | 80.0 | 0 | +60 | 0 | ✅ -1 |",
+    ):
         assert part in text, part
-    assert "| hidden |" not in text and "None" in text
+    assert "| hidden |" not in text and "None" in text and "Same" not in text
+    light = reports.render_markdown(**comparison(head={"analysis_mode": "Lightweight"}, references=[], externals=[]), least_level="HIDDEN")
+    assert "### Maintainability" not in light and "Avg Maintainability" not in light and "| hidden |" in light and "References" not in light
+
+
+def test_forms_of_a_comparison():
+    assert json.loads(reports.render_diff("json", comparison()))["totals"]["base_errors"] == 10
+    assert "Errors: 10 -> 3 (-7)" in reports.render_diff("summary", comparison()) and reports.render_diff("markdown", comparison(), max_projects=1).count("- `p") == 1
+    assert "coupling" in reports.render_diff("html", comparison()) and 'id="coupling"' not in reports.render_diff("html", comparison(base={"analysis_mode": "Lightweight"}))
+    with pytest.raises(ValueError):
+        reports.render_diff("pdf", comparison())
+    assert reports.level_of("WARNING") == 2 and reports.level_of("odd") == 1 and reports.mode_of("FULL") == 0
+    with pytest.raises(ValueError):
+        reports.mode_of("odd")
+    assert reports.warning_lines([str(i) for i in range(13)])[-2:] == ["9", "... and 3 more"] and reports.warning_lines(["a"]) == ["a"]
+
+
+def test_rendered_texts():
     assert reports.default_filename("0123456789", "feature/x", "compact") == "0123456-feature_x.slr" and reports.default_filename(None, None, "odd", datetime(2025, 1, 2)) == "report-2025-01-02-000000.json"
-    page = reports.render_html("T<", datetime(2025, 1, 1), '{"a":"</script>"}', "s")
-    assert "</script>\"" not in page and "{title}" not in page and "http" not in page
+    page = reports.render_html("T<", datetime(2025, 1, 1), '{"a":"</script>@WHEN@"}', "s")
+    assert "</script>\"" not in page and "@TITLE@" not in page and "http" not in page and "</script>@WHEN@" not in page and "@WHEN@" in page
 
 
 def test_paging_search_and_order(spark):

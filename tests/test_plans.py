@@ -17,7 +17,7 @@ def queries():
     return __spark_entry__.queries()
 
 
-@pytest.mark.parametrize("name", ["a1_edges", "a4_edges_by_type", "a16_namespace_coupling", "a21_type_rollup", "a24_hierarchy", "w3_top_complexity", "a31_diagnostics_per_project", "f8_maintainability", "a39_halstead"])
+@pytest.mark.parametrize("name", ["a1_edges", "a4_edges_by_type", "a16_namespace_coupling", "a21_type_rollup", "a24_hierarchy", "w3_top_complexity", "a31_diagnostics_per_project", "f8_maintainability"])
 def test_analytics_stay_in_the_engine(spark, queries, name):
     plan = plan_of(queries[name](spark, SMALL))
     assert "Python" not in plan and "MapInArrow" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
