@@ -88,23 +88,38 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/plumbline-{uuid.uuid4().hex}"
+    keep_until_release(spark, path)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _clean() -> None:
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-        except Exception:  # noqa: BLE001  the JVM may be gone already
-            return
+def keep_until_release(spark: SparkSession, path: str) -> None:
+    """Have ``release`` remove a folder of the checkpoint folder."""
+    _written.append((spark, path))
 
 
-atexit.register(_clean)
+def release(attempts: int = 3) -> int:
+    """Remove all durable tables written so far, also those of results not read yet; gives how many could not be removed.
+
+    A driver that runs many queries calls it between them, when it has read their results.
+    """
+    failed = []
+    while _written:
+        spark, path = _written.pop()
+        for attempt in range(attempts):
+            try:
+                jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
+                break
+            except Exception:  # noqa: BLE001  the JVM may be gone already, or the file system busy
+                if attempt + 1 == attempts:
+                    failed.append((spark, path))
+    _written.extend(failed)
+    return len(failed)
+
+
+atexit.register(release)
 
 
 def input_bytes(df: DataFrame) -> int:

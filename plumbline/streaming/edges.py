@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.session import checkpoint_root
+from plumbline.session import checkpoint_root, keep_until_release
 
 KEYS = ["snapshot_id", "from_entity", "to_entity", "dep_type"]
 
@@ -40,5 +40,6 @@ def drain(stream: DataFrame) -> DataFrame:
 
     query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    keep_until_release(spark, root)
     parts = spark.read.parquet(f"{root}/sums")
     return parts.groupBy(*KEYS).agg(F.sum("reference_count").alias("reference_count"), F.sum("times_added").alias("times_added"))

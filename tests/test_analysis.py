@@ -3,6 +3,7 @@
 import json
 import random
 from datetime import datetime
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import coupling, diff, references, rollup
 from plumbline.operators.tokens import depth_of_inheritance, halstead, token_counts
 from plumbline.plans import analysis_queries as A
+from plumbline.session import checkpoint_root, durable, release
 from plumbline.sources import files, frontend, reports
 from plumbline.sources.model import Model
 from plumbline.streaming.edges import drain, edge_stream, running_edges
@@ -381,6 +383,19 @@ def test_full_reports_read_back_whole(spark):
     assert {r["analysisMode"] for r in read} == {0, 1} and all(r["gitInfo"] for r in read) and any(r["analyzedAt"].microsecond for r in read)
 
 
+def test_durable_tables_are_removed_on_release(spark, edges):
+    kept = durable(edges)
+    folder = kept.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert Path(folder).exists() and release() == 0 and not Path(folder).exists()
+
+
+def test_a_shared_checkpoint_folder_is_required_off_local():
+    conf = SimpleNamespace(get=lambda *a: None)
+    far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(far)
+
+
 def test_a_retried_batch_of_edges_doubles_nothing(spark, tmp_path, edges):
     path = str(tmp_path / "edges")
     for _ in range(2):
