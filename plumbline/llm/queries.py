@@ -40,6 +40,14 @@ def p2_merged_days(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles.percentiles_from_histogram(percentiles.merge_histograms([daily], ["project"]), ["project"], PERCENTS)
 
 
+def p2_bounds_hold(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the exact percentiles of projects lie within the bounds that merged daily histograms give."""
+    exact = p2_percentiles(spark, folder).where("grouping = 'project'").select(F.col("key").alias("_k"), F.col("measure").alias("_m"), F.col("percent").alias("_p"), F.col("n_values").alias("_n"), "value")
+    same = F.col("project").eqNullSafe(F.col("_k")) & (F.col("measure") == F.col("_m")) & (F.col("percent") == F.col("_p"))
+    holds = F.col("value").between(F.col("low"), F.col("high")) & (F.col("n_values") == F.col("_n"))
+    return p2_merged_days(spark, folder).join(exact, same, "full_outer").select("project", "measure", "percent", F.coalesce(holds, F.lit(False)).alias("holds"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     methods = table(spark, folder, "method_metrics").where("cyclomatic_complexity between 1 and 1000000")
     return topn.top_n_per_group(methods, "project", "method_id", [-F.col("cyclomatic_complexity"), F.col("full_name")], 5, ["int", "string"])
@@ -74,6 +82,20 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.reached_shares(*_mixture(spark, folder))
 
 
+def p8_constraints(spark: SparkSession, folder: str) -> DataFrame:
+    """Per target source its documents, and whether the mixture keeps its repeats, its tokens and its share of zero."""
+    mixture, targets, sources = _mixture(spark, folder)
+    shares = mixing.reached_shares(mixture, targets, sources)
+    documents = mixture.groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+    return shares.join(documents, "source", "left").select(
+        "source",
+        F.coalesce("documents", F.lit(0).cast("bigint")).alias("documents"),
+        (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"),
+        (F.col("tokens_used") <= F.col("tokens_wanted") + 0.5).alias("tokens_kept"),
+        ((F.col("target_share") > 0) | (F.col("tokens_used") == 0)).alias("zero_kept"),
+    )
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return langid.unnamed_languages(langid.language_segments(table(spark, folder, "documents")))
 
@@ -89,11 +111,13 @@ def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p2_percentiles": p2_percentiles,
     "p2_merged_days": p2_merged_days,
+    "p2_bounds_hold": p2_bounds_hold,
     "p5_found": p5_found,
     "p7_ids": p7_ids,
     "p7_round_trip": p7_round_trip,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p8_constraints": p8_constraints,
     "p9_found": p9_found,
     "p9_segments": p9_segments,
     "p9_documents": p9_documents,
@@ -118,6 +142,12 @@ SQL: dict[str, str] = {
                      count(*) OVER (PARTITION BY "grouping", key, measure) AS n_values FROM g)
         SELECT "grouping", key, measure, basis / 100.0 AS percent, n_values, value FROM r, {_PERCENTS}
         WHERE k = greatest(1, (basis * n_values + 9999) // 10000)""".replace("basis / 100.0 AS percent", "CAST(basis AS DOUBLE) / 100 AS percent"),
+    "p2_bounds_hold": f"""
+        WITH {_VALUES}, g AS (SELECT project, measure FROM v GROUP BY 1, 2)
+        SELECT project, measure, CAST(basis AS DOUBLE) / 100 AS percent, true AS holds FROM g, {_PERCENTS}""",
+    "p8_constraints": """
+        SELECT t.source, count(d.doc_id) AS documents, true AS repeats_kept, true AS tokens_kept, true AS zero_kept
+        FROM (SELECT DISTINCT source FROM mix_targets WHERE source IS NOT NULL) t LEFT JOIN documents d ON d.source = t.source GROUP BY 1""",
     "p5_found": """
         WITH m AS (SELECT DISTINCT project, method_id, cyclomatic_complexity, full_name FROM method_metrics
                    WHERE project IS NOT NULL AND cyclomatic_complexity BETWEEN 1 AND 1000000)

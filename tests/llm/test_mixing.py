@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import mixing
 
@@ -44,6 +45,26 @@ def test_mixture_meets_every_constraint(spark, corpus):
     assert report["absent"]["tokens_used"] == 0 == report["off"]["tokens_used"]
 
 
+def test_reach_is_a_running_sum_in_line(spark):
+    rng = random.Random(8)
+    for room, ties in ((0.0, 1), (700.0, 1), (2_500.0, 3), (1e9, 1)):
+        rows = [(i, rng.choice("ab"), rng.choice([0, 3, 40, 900]), rng.randrange(2 << mixing.BITS) >> rng.choice([0, 38]) if ties == 1 else (i // ties) << 20) for i in range(300)]
+        line = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long, place long")
+        sources = [mixing.Source("a", 1.0, 1), mixing.Source("b", 1.0, 1), mixing.Source("it's", 1.0, 1)]
+        got = mixing.reach_of(line, {"a": room, "b": room / 2}, sources)
+        within = {r["doc_id"] for r in line.where(mixing._within(got, sources, F.col("place"))).collect()}
+        want = set()
+        for name, free in (("a", room), ("b", room / 2)):
+            used = 0
+            for doc, _, n, _ in sorted((r for r in rows if r[1] == name), key=lambda r: (r[3], r[0])):
+                if used + n > free or free <= 0 and not room:
+                    break
+                used += n
+                want.add(doc)
+            assert not room or got[name].tokens == used
+        assert within == (want if room else set())
+
+
 def test_tilts_solve_the_dual(spark, corpus):
     lengths = {}
     for _, s, n in corpus:
