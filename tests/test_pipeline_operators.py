@@ -80,6 +80,14 @@ def test_flat_tables_keep_every_occurrence_and_store_objects_once(spark):
     assert flat.count() == 100 and rows(flat.select("name", "type_count").distinct()) == [("same", None)]
 
 
+def test_a_common_object_is_spread_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(nested, "HOT", 50)
+    data = [(i, '{"prj":[{"n":"stock","cc":1},{"n":"own%d","cc":%d}]}' % (i, i)) for i in range(200)]
+    flat = nested.flat_table(nested.shred(spark.createDataFrame(data, "report_id long, payload string")), "project")
+    got = Counter((r["name"], r["total_cc"]) for r in flat.collect())
+    assert got == Counter({("stock", 1): 200} | {(f"own{i}", i): 1 for i in range(200)})
+
+
 # ---- 3: drift
 
 
