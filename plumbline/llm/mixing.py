@@ -164,25 +164,36 @@ def _within(reach: dict[str, Reach], sources: list[Source], place: Column) -> Co
 
 
 def reach_of(line: DataFrame, room: dict[str, float], sources: list[Source]) -> dict[str, Reach]:
-    """How many documents of each source, taken in line, fit into its room: a distributed running sum.
+    """How many documents of each source, taken in line, fit into its room: a running sum in two passes.
 
-    ``line`` has ``doc_id, source, n_tokens, place``. Tokens are summed by slots of places, the sums run over the slots
-    (at most ``SLOTS`` a source), and only documents of the one slot in which a source's room ends are put in order.
-    One row per source comes to the driver.
+    ``line`` has ``doc_id, source, n_tokens, place``. The first pass sums tokens by slots of places, which says in which
+    slot a source's room ends: ``SLOTS`` numbers a source at most, whatever the input. The second puts the documents
+    of that one slot in order, where a window runs their sum; one row per source comes to the driver.
     """
     if not any(x > 0 for x in room.values()):
         return {}
-    free = _by_source(sources, lambda s: room.get(s.name, 0.0), "double")
-    sums = line.groupBy("source", _slot(F.col("place")).alias("slot")).agg(F.sum("n_tokens").alias("t"))
-    upto = F.sum("t").over(Window.partitionBy("source").orderBy("slot"))
-    ends = sums.withColumn("upto", upto).withColumn("over", F.col("upto") > free)
-    ends = ends.groupBy("source").agg(F.min(F.when(F.col("over"), F.col("slot"))).alias("end"), F.coalesce(F.max(F.when(~F.col("over"), F.col("upto"))), F.lit(0)).alias("before"))
-    last = line.join(F.broadcast(ends), "source").where(_slot(F.col("place")) == F.col("end"))
-    running = F.col("before") + F.sum("n_tokens").over(Window.partitionBy("source").orderBy("place", "doc_id"))
-    fits = last.withColumn("running", running).where(F.col("running") <= free)
-    fits = fits.groupBy("source").agg(F.max(F.struct("place", "doc_id")).alias("at"), F.max("running").alias("running"))
-    rows = ends.join(fits, "source", "left").select("source", "end", "before", "at", "running").collect()
-    return {r["source"]: Reach(SLOTS if r["end"] is None else r["end"], r["at"]["place"] if r["at"] else -1, r["at"]["doc_id"] if r["at"] else -1, r["running"] if r["at"] else r["before"]) for r in rows}
+    slots: dict[str, list[tuple[int, int]]] = {}
+    for r in line.groupBy("source", _slot(F.col("place")).alias("slot")).agg(F.sum("n_tokens").alias("t")).collect():
+        slots.setdefault(r["source"], []).append((r["slot"], r["t"]))
+    found: dict[str, Reach] = {}
+    for name, sums in slots.items():
+        before, end = 0, SLOTS
+        for slot, t in sorted(sums):
+            if before + t > room.get(name, 0.0):
+                end = slot
+                break
+            before += t
+        found[name] = Reach(end, -1, -1, before)
+    if all(r.slot == SLOTS for r in found.values()):
+        return found
+    of = lambda value, kind: _by_source(sources, value, kind)
+    last = line.where(_slot(F.col("place")) == of(lambda s: found[s.name].slot if s.name in found else SLOTS, "int"))
+    before = of(lambda s: found[s.name].tokens if s.name in found else 0, "bigint")
+    running = before + F.sum("n_tokens").over(Window.partitionBy("source").orderBy("place", "doc_id"))
+    fits = last.withColumn("running", running).where(F.col("running") <= of(lambda s: room.get(s.name, 0.0), "double"))
+    for r in fits.groupBy("source").agg(F.max(F.struct("place", "doc_id")).alias("at"), F.max("running").alias("running")).collect():
+        found[r["source"]] = Reach(found[r["source"]].slot, r["at"]["place"], r["at"]["doc_id"], r["running"])
+    return found
 
 
 def _place(claim: Column) -> Column:
@@ -265,8 +276,8 @@ def mix(tokens: DataFrame, targets: DataFrame) -> tuple[DataFrame, list[Source]]
     ``tokens`` has ``doc_id, source, n_tokens``. Sources are spelled exactly; documents of other or no
     sources take no part; a document without tokens has 0 copies. Copies never exceed the repeats. Per
     source the tokens of all copies never exceed what is wanted and fall short of it by less than
-    ``SHORT``, unless no document that may still be used is short enough. What comes to the driver is one row
-    per source.
+    ``SHORT``, unless no document that may still be used is short enough. What comes to the driver is a fixed number
+    of sums per source, however many documents or lengths it has.
     """
     sources = read_targets(targets)
     known = tokens.where(F.col("source").isin([s.name for s in sources])) if sources else tokens.limit(0)
