@@ -44,6 +44,11 @@ def namespace_rollup(per_type: DataFrame, across_projects: bool = False) -> Data
     return per_type.groupBy(*keys).agg(F.count(F.lit(1)).alias("type_count"), *_measures(), _zero(F.max("depth_of_inheritance")).alias("max_dit"))
 
 
+def project_rollup(per_type: DataFrame) -> DataFrame:
+    """Per project, those of missing name among them; the average weighs methods."""
+    return per_type.groupBy("snapshot_id", "project").agg(F.count(F.lit(1)).alias("type_count"), *_measures(), _zero(F.max("depth_of_inheritance")).alias("max_dit"))
+
+
 def hierarchy(per_type: DataFrame) -> DataFrame:
     """Every level at once: snapshot, project and namespace rows with their ``level``."""
     g = per_type.rollup("snapshot_id", "project", "namespace").agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("type_count"), *_measures(), _zero(F.max("depth_of_inheritance")).alias("max_dit"))

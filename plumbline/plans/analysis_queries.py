@@ -14,7 +14,7 @@ from plumbline.operators.tokens import OPERAND_WORDS, OPERATOR_SYMBOLS, OPERATOR
 from plumbline.session import durable
 from plumbline.sources.frontend import source_facts
 from plumbline.sources.model import Model
-from plumbline.sources.reports import compact_projects, compact_reports, graph_document, graphs_of_layers, hierarchical_reports
+from plumbline.sources.reports import compact_projects, compact_reports, graph_document, graphs_of_layers, hierarchical_reports, project_measures
 from plumbline.sources.tables import table
 from plumbline.streaming.edges import drain, edge_stream
 
@@ -391,9 +391,8 @@ _DIFF = ("s", "pairs", "m", "t", "pt", "pr", "e", "a")
 @query("j1_project_diff", f"{_with(*_DIFF)}, {_J1} SELECT head AS head_snapshot_id, * EXCLUDE (head) FROM j")
 def j1_project_diff(m: Model) -> DataFrame:
     """All measures of a project; ``ed`` is that of its coupling, which has no external edges, ``edb`` and ``edp`` count packages."""
-    more = _compact_projects(m).select(F.col("snapshot_id").alias("_s"), "n", *[c for c in diff.FURTHER_MEASURES if c != "ed"])
-    wide = m.projects().join(more, (F.col("snapshot_id") == F.col("_s")) & (F.col("project_name") == F.col("n")), "left").withColumn("ed", F.lit(0))
-    return diff.project_diff(durable(wide.drop("_s", "n")), _pairs(m), diff.FURTHER_MEASURES)
+    wide = project_measures(m.projects(), _ties(m), _project_maintainability(m), references.package_references(_refs(m), m.projects()))
+    return diff.project_diff(durable(wide), _pairs(m), diff.FURTHER_MEASURES)
 
 
 _CHANGED = "NOT is_added AND NOT is_removed AND (mi_delta <> 0 OR total_cc_delta <> 0 OR total_loc_delta <> 0 OR warning_count_delta <> 0)"
@@ -609,10 +608,17 @@ def st1_streamed_edges(m: Model) -> DataFrame:
     return drain(stream)
 
 
+def _project_maintainability(m: Model) -> DataFrame:
+    return rollup.project_rollup(rollup.type_rollup(m.types(), m.methods()))
+
+
+def _ties(m: Model) -> DataFrame:
+    return coupling.project_coupling(m.edges(), m.projects())
+
+
 def _compact_projects(m: Model) -> DataFrame:
-    mi = rollup.hierarchy(rollup.type_rollup(m.types(), m.methods())).where("level = 'project'")
     packages = references.package_references(_refs(m), m.projects())
-    return compact_projects(m.projects(), coupling.project_coupling(m.edges(), m.projects()), mi, a31_diagnostics_per_project(m), packages)
+    return compact_projects(m.projects(), _ties(m), _project_maintainability(m), a31_diagnostics_per_project(m), packages)
 
 
 _COMPACT = f"""g0 AS (SELECT snapshot_id, project, {_LEVELS} FROM d GROUP BY 1, 2),

@@ -37,23 +37,36 @@ def _listed(items: Column) -> Column:
     return F.concat(F.lit("["), F.coalesce(F.array_join(items, ","), F.lit("")), F.lit("]"))
 
 
+def project_measures(projects: DataFrame, coupling: DataFrame, maintainability: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """The named ``projects`` with ``mi, id, idx, dr, ed, edb, edp``, 0 where there is nothing to measure.
+
+    ``ed`` is that of the coupling of projects, which has no external edges; ``edb`` and ``edp`` count the package
+    ``references`` of the framework and others, and without these are those of the coupling.
+    """
+    keys = ["snapshot_id", "_n"]
+    ties = coupling.select("snapshot_id", F.col("entity").alias("_n"), "id", "idx", fn.round_even("dr", 2).alias("dr"), "ed", "edb", "edp")
+    if references is not None:
+        ties = ties.drop("edb", "edp").join(package_counts(references).withColumnRenamed("n", "_n").drop("ed"), keys, "full_outer")
+    mi = maintainability.where("project is not null").select("snapshot_id", F.col("project").alias("_n"), fn.round_even("avg_mi", 1).alias("mi"))
+    joined = projects.where("project_name is not null").withColumn("_n", F.col("project_name")).join(mi, keys, "left").join(ties, keys, "left")
+    return joined.na.fill(0, ["id", "idx", "ed", "edb", "edp"]).na.fill(0.0, ["mi", "dr"]).drop("_n")
+
+
 def compact_projects(projects: DataFrame, coupling: DataFrame, maintainability: DataFrame, diagnostics: DataFrame, references: DataFrame | None = None) -> DataFrame:
     """Project rows under the short names of the compact format, one per project and snapshot.
 
     What is missing of a project's coupling, methods or diagnostics reads as zero. ``ed``, ``edb`` and ``edp`` count
     the package ``references``; without these they are those of the coupling, which has no external edges.
     """
-    keys = ["snapshot_id", "n"]
-    own = projects.where("project_name is not null").select(
-        "snapshot_id", F.col("project_name").alias("n"), *[F.coalesce(F.col(c), F.lit(0)).alias(a) for c, a in (("type_count", "tc"), ("method_count", "mc"), ("total_cc", "cc"), ("total_loc", "loc"), ("max_dit", "dit"))]
+    wide = project_measures(projects, coupling, maintainability, references)
+    own = wide.select(
+        "snapshot_id",
+        F.col("project_name").alias("n"),
+        *[F.coalesce(F.col(c), F.lit(0)).alias(a) for c, a in (("type_count", "tc"), ("method_count", "mc"), ("total_cc", "cc"), ("total_loc", "loc"), ("max_dit", "dit"))],
+        *["mi", "id", "idx", "dr", (F.col("ed") if references is None else F.col("edb") + F.col("edp")).alias("ed"), "edb", "edp"],
     )
-    ties = coupling.select("snapshot_id", F.col("entity").alias("n"), "id", "idx", fn.round_even("dr", 2).alias("dr"), "ed", "edb", "edp")
-    if references is not None:
-        ties = ties.drop("ed", "edb", "edp").join(package_counts(references), keys, "full_outer")
-    mi = maintainability.select("snapshot_id", F.col("project").alias("n"), fn.round_even("avg_mi", 1).alias("mi"))
-    found = diagnostics.select("snapshot_id", F.col("project").alias("n"), F.col("errors").alias("err"), F.col("warnings").alias("warn"))
-    joined = own.join(mi, keys, "left").join(ties, keys, "left").join(found, keys, "left")
-    return joined.na.fill(0, ["id", "idx", "ed", "edb", "edp"]).na.fill(0.0, ["mi", "dr"]).select(*keys, "tc", "mc", "cc", "loc", "dit", "mi", "id", "idx", "dr", "ed", "edb", "edp", F.nullif("err", F.lit(0)).alias("err"), F.nullif("warn", F.lit(0)).alias("warn"))
+    found = diagnostics.select("snapshot_id", F.col("project").alias("n"), F.nullif("errors", F.lit(0)).alias("err"), F.nullif("warnings", F.lit(0)).alias("warn"))
+    return own.join(found, ["snapshot_id", "n"], "left")
 
 
 def diagnostic_documents(diagnostics: DataFrame) -> DataFrame:
