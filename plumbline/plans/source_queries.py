@@ -76,6 +76,23 @@ def g1_reference_edges(m: Model) -> DataFrame:
     return frontend.reference_edges(facts)
 
 
+@query(
+    "f2_measured_bodies",
+    """WITH p AS (SELECT p_partkey AS k, p_partkey % 5 AS a, p_partkey % 3 AS b, p_partkey % 2 AS c, p_partkey % 4 AS d FROM part)
+    SELECT k || '.cs' AS file_path, CAST(2 + a + 2 * b + c + CASE WHEN d > 0 THEN d + 1 ELSE 0 END AS INTEGER) AS complexity, CAST(1 + 2 * a + 2 * b + 3 * c + CASE WHEN d > 0 THEN d + 2 ELSE 0 END AS INTEGER) AS lines FROM p""",
+)
+def f2_measured_bodies(m: Model) -> DataFrame:
+    """Bodies of known branches and statements, as many of each as a part's key says, written as source text and measured."""
+    k = F.col("p_partkey")
+    times = lambda text, n: F.repeat(F.lit(text), (k % n).cast("int"))
+    labels = F.array_join(F.transform(F.sequence(F.lit(1), (k % 4).cast("int")), lambda i: F.concat(F.lit("case "), i.cast("string"), F.lit(": break; "))), "")
+    switch = F.when(k % 4 > 0, F.concat(F.lit("switch (n) { "), labels, F.lit("default: break; }\n"))).otherwise("")
+    body = F.concat(times("if (n > 1) { n = 2; }\n", 5), times("while (n > 0 && ok) { Step(); }\n", 3), times("try { Go(); } catch { Stop(); }\n", 2), switch, F.lit("// if (no)\nreturn a ?? b;\n"))
+    text = F.concat(F.lit("class C\n{\n[Old(\"if\")] public int M(int n)\n{\n"), body, F.lit("}\n}\n"))
+    facts = frontend.source_facts(table(m.spark, m.folder, "part").select(F.concat(k.cast("string"), F.lit(".cs")).alias("path"), text.alias("content")))
+    return facts.where("kind = 'method'").select("file_path", "complexity", "lines")
+
+
 _SPACE = lambda c: f"CASE WHEN length({c}) - length(split_part({c}, '.', -1)) > 1 THEN substring({c}, 1, length({c}) - length(split_part({c}, '.', -1)) - 1) ELSE '' END"
 
 
@@ -131,7 +148,7 @@ def k1_full_reports(m: Model) -> DataFrame:
     packages = references.package_references(refs, m.projects())
     own = refs.distinct().join(packages, ["snapshot_id", "project", "ref"], "left_anti")
     written = durable(reports.full_reports(m.snapshots(), m.projects(), m.types(), m.methods(), m.diagnostics(), packages, own))
-    read = written.select(F.col("snapshot_id").alias("path"), F.from_json("report", files.REPORT).alias("r")).select("path", "r.*")
+    read = files.parsed_reports(written.select(F.col("snapshot_id").alias("path"), F.col("report").alias("content")))
     return files.report_methods(read).select(F.col("path").alias("snapshot_id"), "project", "type_name", F.col("fullName").alias("method_name"), F.col("cyclomaticComplexity").alias("cc"), F.col("linesOfExecutableCode").alias("loc"), F.col("maintainabilityIndex").alias("mi"))
 
 

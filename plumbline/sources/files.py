@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from plumbline.functions.metrics import stem
+from plumbline.operators.strict_json import canonical, read_object
+from plumbline.session import ship
 
 #: Fields of a full report; further fields are ignored, missing ones are null.
 REPORT = (
@@ -83,9 +89,45 @@ def resolve_references(items: DataFrame, projects: DataFrame) -> DataFrame:
     return joined.select("path", "ref", F.coalesce("project_name", stem("ref")).alias("project"))
 
 
+def _spellings(kind: DataType) -> dict:
+    """Per field in lower case its name in the schema and the fields below it."""
+    if isinstance(kind, ArrayType):
+        return _spellings(kind.elementType)
+    return {f.name.lower(): (f.name, _spellings(f.dataType)) for f in kind.fields} if isinstance(kind, StructType) else {}
+
+
+def _respell(value: object, names: dict) -> object:
+    if isinstance(value, list):
+        return [_respell(x, names) for x in value]
+    if isinstance(value, dict) and names:
+        return {names.get(k.lower(), (k, {}))[0]: _respell(x, names.get(k.lower(), (k, {}))[1]) for k, x in value.items()}
+    return value
+
+
+def _respelling(names: dict):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [read_object(text) for text in batch.column(1).to_pylist()]
+            texts = [None if v is None else canonical(_respell(v, names)) for v in values]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["path", "report"])
+
+    return run
+
+
+def parsed_reports(texts: DataFrame) -> DataFrame:
+    """Full reports of ``path, content``: the path and the fields of ``REPORT``, by their names in any case.
+
+    A text that is no JSON object has nulls in all fields; ``strict_json.unreadable`` says why.
+    """
+    ship(texts.sparkSession)
+    names = _spellings(StructType.fromDDL(REPORT))
+    read = texts.select("path", F.col("content").cast("string")).mapInArrow(_respelling(names), "path string, report string")
+    return read.select("path", F.from_json("report", REPORT).alias("r")).select("path", "r.*")
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Full reports, one per file, with the file's path."""
-    return spark.read.schema(REPORT).option("multiLine", "true").json(path).withColumn("path", F.input_file_name())
+    return parsed_reports(source_files(spark, path, "*"))
 
 
 def report_methods(reports: DataFrame) -> DataFrame:

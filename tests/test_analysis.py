@@ -9,11 +9,12 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions.calculator import Calculator
 from plumbline.operators import coupling, diff, references, rollup
 from plumbline.operators.tokens import depth_of_inheritance, halstead, token_counts
 from plumbline.plans import analysis_queries as A
 from plumbline.session import checkpoint_root, durable, release
-from plumbline.sources import files, frontend, reports
+from plumbline.sources import files, frontend, reports, versions
 from plumbline.sources.model import Model
 from plumbline.streaming.edges import drain, edge_stream, running_edges
 from tests.conftest import MIDDLE
@@ -373,6 +374,45 @@ def test_solutions_of_both_formats_and_dispatch(spark, tmp_path):
         files.read_projects(spark, "/x/readme.md")
 
 
+def test_state_of_a_repository(tmp_path):
+    assert versions.repository_state(str(tmp_path)) is None or (tmp_path / ".git").exists() is False
+    own = tmp_path / ".git"
+    (own / "refs/heads/feature").mkdir(parents=True)
+    (own / "HEAD").write_text("ref: refs/heads/feature/x\n")
+    (own / "config").write_text('[core]\n\tbare = false\n[remote "up"]\n\turl = no\n[remote "origin"]\n\tfetch = +x\n\turl = ssh://h/r.git\n[branch "b"]\n')
+    sha = "0123456789" * 4
+    assert versions.repository_state(str(tmp_path))["branch_name"] is None
+    (own / "packed-refs").write_text(f"# pack-refs with: peeled\n{sha} refs/heads/feature/x\n^{sha}\n")
+    (tmp_path / "src").mkdir()
+    state = versions.repository_state(str(tmp_path / "src"))
+    assert (state["commit_sha"], state["short_sha"], state["branch_name"], state["remote_url"]) == (sha, "0123456", "feature/x", "ssh://h/r.git")
+    (own / "HEAD").write_text("f" * 40)
+    assert versions.repository_state(str(tmp_path))["branch_name"] == "detached-fffffff"
+
+
+def test_a_replaced_measure_changes_what_rests_on_it(spark):
+    bodies = spark.createDataFrame([(1, 4, 0, 3, 2, 10, 10, None, True, True), (2, 1, 9, 3, 2, 10, 10, 2, True, False), (3, 9, 9, 9, 9, 9, 9, 1, False, False)], "id int, branches int, statements int, n1 int, n2 int, total1 int, total2 int, depth int, has_body boolean, is_expression boolean")
+    plain = by(Calculator().measured(bodies, ["id"]), "id")
+    assert (plain[1]["complexity"], plain[1]["lines"], plain[1]["maintainability"], plain[1]["depth"]) == (5, 1, 100.0, 0)
+    assert (plain[3]["complexity"], plain[3]["lines"], plain[3]["volume"], plain[3]["maintainability"], plain[3]["effort"]) == (1, 0, 0.0, 100.0, 0.0)
+
+    class Double(Calculator):
+        def complexity(self):
+            return super().complexity() * 2
+
+    twice = by(Double().measured(bodies, ["id"]), "id")
+    assert twice[2]["complexity"] == 4 and twice[2]["maintainability"] == pytest.approx(plain[2]["maintainability"] - 0.23 * 2 * 100 / 171)
+
+
+def test_reports_are_read_by_names_in_any_case(spark, tmp_path):
+    text = {"SolutionPath": "x", "PROJECTS": [{"Name": "P", "types": [{"FullName": "T", "Methods": [{"fullname": "T.M()", "CyclomaticComplexity": 3}]}], "Diagnostics": {"ErrorCount": 2}}], "Odd": {"Name": 1}}
+    (tmp_path / "a.json").write_text(json.dumps(text, indent=2))
+    (tmp_path / "b.json").write_text("null")
+    got = {r["path"].rpartition("/")[2]: r for r in files.read_reports(spark, str(tmp_path)).collect()}
+    assert got["a.json"]["solutionPath"] == "x" and got["a.json"]["projects"][0]["diagnostics"]["errorCount"] == 2 and got["b.json"]["projects"] is None
+    assert [(r["project"], r["type_name"], r["fullName"], r["cyclomaticComplexity"]) for r in files.report_methods(files.read_reports(spark, str(tmp_path))).collect()] == [("P", "T", "T.M()", 3)]
+
+
 def test_full_reports_read_back_whole(spark):
     m = Model(spark, MIDDLE)
     none = spark.createDataFrame([("snap-00000001", "P.Q", "Tarnval")], "snapshot_id string, project string, ref string")
