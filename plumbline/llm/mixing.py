@@ -90,8 +90,11 @@ def read_targets(targets: DataFrame) -> list[Source]:
 
 
 def _by_source(sources: list[Source], value: Callable[[Source], float | int], kind: str) -> Column:
-    pairs = [x for s in sources for x in (F.lit(s.name), F.lit(value(s)).cast(kind))]
-    return F.element_at(F.create_map(*pairs), F.col("source"))
+    """The value of a row's source: one map literal, parsed in one call, as each call to the engine takes its time."""
+    suffix = {"double": "D", "bigint": "L"}.get(kind, "")
+    quoted = [s.name.replace("\\", "\\\\").replace("'", "\\'") for s in sources]
+    pairs = ", ".join(f"'{name}', {value(s)!r}{suffix}" for name, s in zip(quoted, sources, strict=True))
+    return F.expr(f"element_at(map({pairs}), source)")
 
 
 def _rate(sources: list[Source]) -> Column:
