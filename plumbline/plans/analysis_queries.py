@@ -22,14 +22,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-#: DuckDB forms of the model tables.
+#: DuckDB forms of the model tables: the latest delivery of each row, and all rows whose key has a null.
 _CTE = {
-    "m": """m AS (SELECT DISTINCT ON (method_id) method_id, snapshot_id, project, type_id, full_name, file_path, start_line, end_line, cyclomatic_complexity AS cc,
-                  lines_of_executable_code AS loc, halstead_volume AS hv, CASE WHEN NOT isnan(maintainability_index) THEN maintainability_index END AS mi FROM method_metrics ORDER BY method_id, loaded_at DESC)""",
-    "t": "t AS (SELECT DISTINCT ON (type_id) type_id, snapshot_id, project, full_name, depth_of_inheritance AS dit FROM type_metrics ORDER BY type_id, loaded_at DESC)",
-    "pr": "pr AS (SELECT DISTINCT ON (project_row_id) * FROM project_metrics ORDER BY project_row_id, loaded_at DESC)",
-    "d": "d AS (SELECT DISTINCT ON (snapshot_id, pos) * FROM diagnostic_items ORDER BY snapshot_id, pos, loaded_at DESC)",
-    "s": "s AS (SELECT DISTINCT ON (snapshot_id) * FROM snapshots ORDER BY snapshot_id, loaded_at DESC)",
+    "m": """m AS (SELECT method_id, snapshot_id, project, type_id, full_name, file_path, start_line, end_line, cyclomatic_complexity AS cc,
+                  lines_of_executable_code AS loc, halstead_volume AS hv, CASE WHEN NOT isnan(maintainability_index) THEN maintainability_index END AS mi FROM method_metrics QUALIFY method_id IS NULL OR row_number() OVER (PARTITION BY method_id ORDER BY loaded_at DESC) = 1)""",
+    "t": "t AS (SELECT type_id, snapshot_id, project, full_name, depth_of_inheritance AS dit FROM type_metrics QUALIFY type_id IS NULL OR row_number() OVER (PARTITION BY type_id ORDER BY loaded_at DESC) = 1)",
+    "pr": "pr AS (SELECT * FROM project_metrics QUALIFY project_row_id IS NULL OR row_number() OVER (PARTITION BY project_row_id ORDER BY loaded_at DESC) = 1)",
+    "d": "d AS (SELECT * FROM diagnostic_items QUALIFY snapshot_id IS NULL OR pos IS NULL OR row_number() OVER (PARTITION BY snapshot_id, pos ORDER BY loaded_at DESC) = 1)",
+    "s": "s AS (SELECT * FROM snapshots QUALIFY snapshot_id IS NULL OR row_number() OVER (PARTITION BY snapshot_id ORDER BY loaded_at DESC) = 1)",
     "e": """e AS (SELECT snapshot_id, from_entity, to_entity, dep_type, CAST(coalesce(reference_count, 0) AS BIGINT) AS n FROM dependencies
                   WHERE trim(from_entity) <> '' AND trim(to_entity) <> '')""",
     "a": "a AS (SELECT snapshot_id, from_entity, to_entity, dep_type, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY ALL)",

@@ -154,7 +154,7 @@ def k1_full_reports(m: Model) -> DataFrame:
 
 @query(
     "k2_report_contents",
-    f"""{base._COMPACT_OF}, s AS (SELECT DISTINCT ON (snapshot_id) * FROM snapshots ORDER BY snapshot_id, loaded_at DESC),
+    f"""{base._COMPACT_OF}, s AS (SELECT * FROM snapshots QUALIFY snapshot_id IS NULL OR row_number() OVER (PARTITION BY snapshot_id ORDER BY loaded_at DESC) = 1),
     dd AS (SELECT snapshot_id, count(*) AS k, count(*) FILTER (severity = 3) AS e, count(*) FILTER (severity = 2) AS w, count(*) FILTER (severity = 1) AS i FROM d GROUP BY 1),
     pp AS (SELECT snapshot_id, count(*) AS k, CAST(sum(cc) AS BIGINT) AS cc, CAST(sum(ed) AS BIGINT) AS ed FROM kp GROUP BY 1)
     SELECT s.snapshot_id, solution_path AS p, epoch_us(analyzed_at) // 1000 AS t, coalesce(pp.k, 0) AS projects, coalesce(cc, 0) AS cc, coalesce(ed, 0) AS ed, coalesce(dd.k, 0) AS diagnostics, coalesce(e, 0) AS errors, coalesce(w, 0) AS warnings, coalesce(i, 0) AS info, coalesce(pp.k, 0) AS nodes
