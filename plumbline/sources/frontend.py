@@ -174,10 +174,11 @@ def _local_functions(words: list[str]) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def analyse(path: str, text: str) -> list[tuple]:
+def analyse(path: str, text: str, outer_too: bool = True) -> list[tuple]:
     """Rows ``kind, file_path, name, parent, start_line, end_line, complexity, lines, volume, index, bases, uses`` of one file.
 
-    Kinds are type, method, using and use. Methods and uses of nested types belong to the nested type. A use is
+    Kinds are type, method, using and use. Methods of a nested type belong to it and, with ``outer_too``, to each type
+    around it as well, so that rollups count them once per type; uses belong to the nested type alone. A use is
     a capitalised name in a type, its bases included, that is no member of something else; ``uses`` counts it.
     Statements outside types are the method Main of a type ``<Program>$``, which is measured with all bodies of the file,
     and their local functions are further methods of it.
@@ -218,7 +219,7 @@ def analyse(path: str, text: str) -> list[tuple]:
         loose.extend(x for x in tokens[i : min(k + 1, end)] if x[1] not in directives)
         return k + 1
 
-    def scan(i: int, end: int, scope: str, in_type: bool) -> None:
+    def scan(i: int, end: int, scope: str, in_type: bool, around: tuple[str, ...] = ()) -> None:
         begin = i
         while i < end:
             t, line = tokens[i]
@@ -248,7 +249,7 @@ def analyse(path: str, text: str) -> list[tuple]:
                 rows.append(("type", path, full, scope, line, tokens[close][1], None, None, None, None, bases, None))
                 owners.append((i, close, full))
                 if stop < end and words[stop] == "{":
-                    scan(stop + 1, close, full, True)
+                    scan(stop + 1, close, full, True, (*around, scope) if in_type else ())
                 i = close + 1
             elif in_type and t == "[" and (i == begin or words[i - 1] in (";", "{", "}", "]")):
                 i = _match(tokens, i) + 1
@@ -274,7 +275,8 @@ def analyse(path: str, text: str) -> list[tuple]:
                     shown = (m.complexity, m.lines or 1, m.volume, m.index())
                 else:
                     last, shown = stop, (1, 0, 0.0, 100.0)
-                rows.append(("method", path, name, scope, tokens[first][1], tokens[last][1], *shown, None, None))
+                holders = (scope, *around[::-1]) if outer_too else (scope,)
+                rows.extend(("method", path, name, holder, tokens[first][1], tokens[last][1], *shown, None, None) for holder in holders)
                 i = last + 1
             elif in_type and t in ("{", "="):
                 i = _match(tokens, i) + 1 if t == "{" else next((k for k in range(i, end) if words[k] == ";"), end) + 1
@@ -321,18 +323,22 @@ SCHEMA = "kind string, file_path string, name string, parent string, start_line
 _TYPES = [pa.string()] * 4 + [pa.int32()] * 4 + [pa.float64()] * 2 + [pa.string(), pa.int32()]
 
 
-def _analysing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _analysing(outer_too: bool):
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    for batch in batches:
-        rows = [r for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for r in analyse(p, t)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for r in analyse(p, t, outer_too)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names)
 
-def source_facts(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    return run
+
+
+def source_facts(files: DataFrame, path: str = "path", content: str = "content", outer_too: bool = True) -> DataFrame:
     """Types, methods and imports of each source text; generated files and null texts give no rows."""
     ship(files.sparkSession)
-    return files.where(~F.coalesce(is_generated_path(path), F.lit(False))).select(F.col(path).cast("string").alias("p"), F.col(content).cast("string").alias("c")).mapInArrow(_analysing, SCHEMA)
+    return files.where(~F.coalesce(is_generated_path(path), F.lit(False))).select(F.col(path).cast("string").alias("p"), F.col(content).cast("string").alias("c")).mapInArrow(_analysing(outer_too), SCHEMA)
 
 
 def reference_edges(facts: DataFrame) -> DataFrame:

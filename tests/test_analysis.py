@@ -145,6 +145,10 @@ record R(int X);
     assert {r["name"] for r in rows if r["kind"] == "type"} == {"A.B.C", "A.B.C.Inner", "A.B.R"}
     methods = {r["name"]: r for r in rows if r["kind"] == "method"}
     assert set(methods) == {"A.B.C.C(int, string)", "A.B.C.Twice(int)", "A.B.C.None()", "A.B.C.Inner.Go()"}
+    holders = lambda rows: [r[3] for r in rows if r[0] == "method" and r[2] == "A.B.C.Inner.Go()"]
+    nested = "namespace A.B; class C { class Inner { void Go() { f++; } } void Own() { } }"
+    assert holders(frontend.analyse("n.cs", nested)) == ["A.B.C.Inner", "A.B.C"] and holders(frontend.analyse("n.cs", nested, outer_too=False)) == ["A.B.C.Inner"]
+    assert sum(r[0] == "method" and r[2] == "A.B.C.Own()" for r in frontend.analyse("n.cs", nested)) == 1
     assert (methods["A.B.C.Inner.Go()"]["complexity"], methods["A.B.C.Inner.Go()"]["lines"], methods["A.B.C.Inner.Go()"]["start_line"]) == (3, 2, 8)
     assert methods["A.B.C.None()"]["maintainability"] == 100 and methods["A.B.C.Twice(int)"]["lines"] == 1
     assert [r["name"] for r in rows if r["kind"] == "using"] == ["System.Text"]
