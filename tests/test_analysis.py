@@ -13,6 +13,7 @@ from plumbline.functions.calculator import Calculator
 from plumbline.operators import coupling, diff, references, rollup
 from plumbline.operators.tokens import depth_of_inheritance, halstead, token_counts
 from plumbline.plans import analysis_queries as A
+from plumbline.plans.comparison import comparison_of
 from plumbline.session import checkpoint_root, durable, release
 from plumbline.sources import files, frontend, reports, versions
 from plumbline.sources.model import Model
@@ -476,6 +477,19 @@ def test_sections_of_the_markdown_report_in_order():
     assert "### Maintainability" not in light and "Avg Maintainability" not in light and "| hidden |" in light and "References" not in light
 
 
+def test_a_comparison_agrees_with_the_queries_over_all_pairs(spark):
+    row = A.QUERIES["d1_compare"](spark, MIDDLE).where("added_warning > 0 and removed_warning > 0 and has_complexity").orderBy(F.desc("new_to_solution"), "head_snapshot_id").first()
+    got = comparison_of(Model(spark, MIDDLE), row["base_snapshot_id"], row["head_snapshot_id"])
+    counted = {"error": "errors", "warning": "warnings", "info": "info"}
+    assert all(got["diagnostics"][f"{o}_{counted[x]}"] == row[f"{o}_{x}"] for o in ("added", "removed", "changed") for x in counted)
+    assert all(got["totals"][c] == row[c] for c in ("projects_delta", "cc_delta", "avg_mi_delta", "errors_delta"))
+    assert len(got["fresh"]) == row["new_to_solution"] and sum(p["is_added"] for p in got["projects"]) == row["projects_added"]
+    assert sum(i["severity"] == 2 for i in got["items"]["added"]) == row["added_warning"] and sum(i["severity"] == 2 for i in got["items"]["removed"]) == row["removed_warning"]
+    text = reports.render_diff("markdown", got)
+    assert "### Diagnostics" in text and "### Overall Metrics" in text and "### NuGet Dependencies Changes" in text
+    assert json.loads(reports.render_diff("json", got))["totals"]["cc_delta"] == row["cc_delta"] and "<nav>" in reports.render_diff("html", got)
+
+
 def test_forms_of_a_comparison():
     assert json.loads(reports.render_diff("json", comparison()))["totals"]["base_errors"] == 10
     assert "Errors: 10 -> 3 (-7)" in reports.render_diff("summary", comparison()) and reports.render_diff("markdown", comparison(), max_projects=1).count("- `p") == 1
