@@ -190,13 +190,9 @@ def radix_percentiles(rows: DataFrame, measures: list[str], groupings: dict[str,
         if bits > 64 or open_ones.isEmpty():
             break
         followed = []
+        sought = durable(open_ones.groupBy(*keys).agg(*[F.collect_set(F.when(F.col("measure") == m, F.col("digit"))).alias(f"want_{m}") for m in measures]))
         for g, key in groupings.items():
-            wanted = (
-                open_ones.where(F.col("grouping") == g)
-                .groupBy("key")
-                .agg(*[F.collect_set(F.when(F.col("measure") == m, F.col("digit"))).alias(f"want_{m}") for m in measures])
-            )
-            wanted = broadcast_if_small(durable(wanted)).withColumnRenamed("key", "_key")
+            wanted = broadcast_if_small(sought.where(F.col("grouping") == g).drop("grouping").withColumnRenamed("key", "_key"))
             near = [
                 F.when(_contains(F.col(f"want_{m}"), prefix(F.col(m), bits - DIGIT)), F.struct(F.lit(m).alias("measure"), F.col(m).alias("code")))
                 for m in measures
