@@ -65,6 +65,16 @@ def test_reach_is_a_running_sum_in_line(spark):
         assert within == (want if room else set())
 
 
+def test_values_by_source_of_any_name_and_size(spark):
+    names = ["it's", 'back\\slash "q"', "{x}\nline", "é", "\\'", "%s"]
+    values = [1e-07, -5e-324, 1.7e308, 0.1, -3.0, 1e16]
+    sources = [mixing.Source(n, v, 2**31 - 1, tokens=-(2**62)) for n, v in zip(names, values, strict=True)]
+    df = spark.createDataFrame([(n,) for n in [*names, "other"]], "source string")
+    of = lambda f, kind: mixing._by_source(sources, f, kind)
+    got = {r[0]: tuple(r)[1:] for r in df.select("source", of(lambda s: s.share, "double"), of(lambda s: s.repeats, "int"), of(lambda s: s.tokens, "bigint"), of(lambda s: s.share > 0, "boolean")).collect()}
+    assert got == {n: (v, 2**31 - 1, -(2**62), v > 0) for n, v in zip(names, values, strict=True)} | {"other": (None,) * 4}
+
+
 def test_tilts_solve_the_dual(spark, corpus):
     lengths = {}
     for _, s, n in corpus:
