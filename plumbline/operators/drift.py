@@ -10,6 +10,7 @@ type spells, without reading a payload again.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b, md5
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.blocked import blocked_neighbours, int_block
 from plumbline.operators.strict_json import Number, canonical, read_fields, read_value, spelled_number
-from plumbline.session import durable, ship
+from plumbline.session import broadcast_if_small, checkpoint_root, durable, keep_until_release, ship
 
 #: Target schema of compact reports: type by field. ``json`` takes arrays and objects as JSON text, ``millis`` a time
 #: in milliseconds, which may also be spelled as seconds with a fraction or as an ISO timestamp.
@@ -173,15 +174,17 @@ def cast_json(raw: Column, kind: str) -> Column:
     return F.coalesce(seconds, stamp, whole)
 
 
-def promote(rows: DataFrame, field: str, kind: str, names: list[str] | None = None) -> DataFrame:
+def promote(rows: DataFrame, field: str, kind: str, names: list[str] | Column | None = None) -> DataFrame:
     """Replay rescued values into the column ``field``, which is added where it is missing.
 
     A row whose column is null takes the first of the rescued fields ``field`` and ``names`` whose value can be cast
-    (see ``cast_json``); that one leaves ``_rescued``, and all others stay in it as they were. All JVM-side.
+    (see ``cast_json``); that one leaves ``_rescued``, and all others stay in it as they were. ``names`` may be a
+    column with an array of each row's own. All JVM-side.
     """
     had = field in rows.columns
     own = F.col(f"`{field}`") if had else F.lit(None).cast(_SQL[kind])
-    there = F.filter(F.array(*[F.lit(n) for n in [field, *(names or [])]]), lambda n: F.map_contains_key("_rescued", n))
+    sought = F.concat(F.array(F.lit(field)), names) if isinstance(names, Column) else F.array(*[F.lit(n) for n in [field, *(names or [])]])
+    there = F.filter(sought, lambda n: F.map_contains_key("_rescued", n))
     casts = F.transform(there, lambda n: F.struct(n.alias("name"), cast_json(F.element_at("_rescued", n), kind).alias("value")))
     out = rows.withColumn("_found", F.when(own.isNull(), F.get(F.filter(casts, lambda c: c["value"].isNotNull()), F.lit(0))))
     rest = F.when(F.col("_found").isNull(), F.col("_rescued")).otherwise(F.map_filter("_rescued", lambda k, _: k != F.col("_found.name")))
@@ -189,54 +192,122 @@ def promote(rows: DataFrame, field: str, kind: str, names: list[str] | None = No
     return filled.select(*[f"`{c}`" for c in rows.columns if c != "_rescued"], *([] if had else [f"`{field}`"]), "_rescued")
 
 
+#: Links between names that the driver settles by itself; more are worked off in rounds over tables.
+PAIRS = 10_000
+
+#: Learned names that stand in the plan of a promotion; more are joined.
+FEW_NAMES = 256
+
+LEARNED = "name string, field string, votes bigint"
+
+
+def _settled(links: list[tuple[str, str, int, str | None]]) -> list[tuple[str, str, int]]:
+    """``name, field, votes`` learned from links ``name, other, n, field``, in rounds as in ``_learn``."""
+    of_name: dict[str, list[tuple[str, int, str | None]]] = defaultdict(list)
+    for name, other, n, field in links:
+        of_name[name].append((other, n, field))
+    of: dict[str, str] = {}
+    found = []
+    todo = set(of_name)
+    while todo:
+        new = []
+        for name in todo:
+            votes: Counter = Counter()
+            for other, n, field in of_name[name]:
+                if field is not None or other in of:
+                    votes[of[other] if field is None else field] += n
+            if votes and 2 * (best := votes.most_common(1)[0])[1] > sum(n for _, n, _ in of_name[name]):
+                new.append((name, *best))
+        of |= {name: field for name, field, _ in new}
+        found += new
+        todo = {other for name, _, _ in new for other, _, _ in of_name[name]} & of_name.keys() - of.keys()
+    return found
+
+
+def _learn(events: DataFrame, fields: list[str]) -> tuple[DataFrame | None, list[tuple[str, str, int]]]:
+    """The names learned in rounds over tables, if any were needed, and those that the driver settled: ``name, field, votes``.
+
+    In each round a name is learned that most of its renames link to one field or to names which earlier rounds
+    learned for it. At most ``PAIRS`` links come to the driver, which makes all rounds that are left; while more are
+    open, a round is a job. Links and learned names stay in tables, so their number is not bounded.
+    """
+    spark = events.sparkSession
+    ends = [F.struct(F.col(a).alias("name"), F.col(b).alias("other")) for a, b in (("old_field_name", "field_name"), ("field_name", "old_field_name"))]
+    renamed = events.where("drift_kind = 'renamed'").select(F.inline(F.array(*ends))).where(~F.col("name").isin(fields))
+    linked = renamed.groupBy("name", "other").agg(F.count(F.lit(1)).alias("n"))
+    links = durable(linked.withColumn("field", F.when(F.col("other").isin(fields), F.col("other"))))
+    known, had, path = None, 0, f"{checkpoint_root(spark)}/plumbline-{uuid.uuid4().hex}"
+    while True:
+        left = links
+        if known is not None:
+            small = broadcast_if_small(known)
+            to = small.select(F.col("name").alias("other"), F.col("field").alias("_of"))
+            left = links.join(small, "name", "left_anti").join(to, "other", "left").select("name", "other", "n", F.coalesce("field", "_of").alias("field"))
+        rest = left.limit(PAIRS + 1).collect()
+        if len(rest) <= PAIRS:
+            return known, _settled([tuple(r) for r in rest])
+        votes = left.groupBy("name", "field").agg(F.sum("n").alias("votes"))
+        best = F.max_by(F.struct("field", "votes"), F.when(F.col("field").isNotNull(), F.col("votes")))
+        new = votes.groupBy("name").agg(F.sum("votes").alias("total"), best.alias("best")).where("2 * best.votes > total").select("name", "best.*")
+        if known is None:
+            keep_until_release(spark, path)
+        new.write.mode("append").option("compression", "zstd").parquet(path)
+        known = spark.read.schema(LEARNED).parquet(path)
+        if (has := known.count()) == had:
+            return known, []
+        had = has
+
+
+def _by_field(learned: list[tuple[str, str, int]], fields: list[str]) -> dict[str, list[str]]:
+    names: dict[str, list[str]] = {f: [] for f in fields}
+    for name, field, _ in sorted(learned, key=lambda r: (-r[2], r[0])):
+        names[field].append(name)
+    return names
+
+
 def learned_names(events: DataFrame, fields: list[str]) -> dict[str, list[str]]:
     """Per field the further names that the found renames give it, the one found in most feeds first.
 
     A name that is renamed to or from a field, directly or by way of names learned before, is that field's if most of
-    the name's renames say so; ties go to no field. Names, not files, come to the driver: only the distinct pairs of
-    renamed fields, those of ``PAIRS`` at most that most feeds hold.
+    the name's renames say so; ties go to no field. All renames count, however many there are. The learned names all
+    come to the driver here; ``consistent_table`` leaves them in tables where they are many.
     """
-    pairs = (
-        events.where("drift_kind = 'renamed'")
-        .groupBy(F.col("old_field_name").alias("a"), F.col("field_name").alias("b"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "a", "b")
-        .limit(PAIRS)
-        .collect()
-    )
-    links: dict[str, Counter] = defaultdict(Counter)
-    for r in pairs:
-        links[r["a"]][r["b"]] += r["n"]
-        links[r["b"]][r["a"]] += r["n"]
-    of = {f: f for f in fields}
-    found: dict[str, list[tuple[int, str]]] = {f: [] for f in fields}
-    while True:
-        new = {}
-        for name in sorted(links.keys() - of.keys()):
-            votes: Counter = Counter()
-            for other, n in links[name].items():
-                if other in of:
-                    votes[of[other]] += n
-            if votes and 2 * (best := votes.most_common(1)[0])[1] > links[name].total():
-                new[name] = best[0]
-                found[best[0]].append((-best[1], name))
-        if not new:
-            return {f: [name for _, name in sorted(names)] for f, names in found.items()}
-        of |= new
-
-
-#: Pairs of renamed fields from which names are learned.
-PAIRS = 10_000
+    known, settled = _learn(events, fields)
+    return _by_field([*settled, *(map(tuple, known.collect()) if known is not None else [])], fields)
+
+
+def _with_learned(rows: DataFrame, learned: DataFrame) -> DataFrame:
+    """Add ``_learned``: the learned names among a row's rescued fields with their fields, the one found in most feeds first.
+
+    Names are looked up once per distinct set of rescued fields, and these sets are joined with the rows.
+    """
+    names = F.array_sort(F.map_keys("_rescued"))
+    sets = rows.select(names.alias("_names")).where(F.size("_names") > 0).distinct()
+    found = sets.select("_names", F.explode("_names").alias("name")).join(broadcast_if_small(learned), "name")
+    order = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("least"), "name", "field")))
+    held = durable(found.groupBy("_names").agg(order.alias("_learned")))
+    return rows.withColumn("_names", names).join(broadcast_if_small(held), "_names", "left").drop("_names")
 
 
 def consistent_table(rows: DataFrame, events: DataFrame, target: dict[str, str] | None = None, promoted: dict[str, str] | None = None) -> DataFrame:
-    """All files under one schema: the target's and the approved fields, filled from every name and type found for them."""
+    """All files under one schema: the target's and the approved fields, filled from every name and type found for them.
+
+    Up to ``FEW_NAMES`` learned names are literals of the plan. Where there are more they are joined, and ``rows`` is
+    read twice more; cut its lineage first if it is costly.
+    """
     target = COMPACT_TARGET if target is None else target
     wanted = target | (COMPACT_PROMOTED if promoted is None else promoted)
-    names = learned_names(events, list(wanted))
+    known, settled = _learn(events, list(wanted))
+    if known is None and len(settled) <= FEW_NAMES:
+        names = _by_field(settled, list(wanted))
+    else:
+        table = durable(rows.sparkSession.createDataFrame(settled, LEARNED))
+        rows = _with_learned(rows, table if known is None else known.unionByName(table))
+        of = lambda field: F.transform(F.filter("_learned", lambda e: e["field"] == field), lambda e: e["name"])
+        names = {f: F.coalesce(of(f), F.array().cast("array<string>")) for f in wanted}
     for field, kind in wanted.items():
         rows = promote(rows, field, kind, names[field])
-    return rows
+    return rows.drop("_learned")
 
 
 NOTE = "name: string, kind: string, exact: string, spelled: string"

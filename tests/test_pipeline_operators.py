@@ -217,6 +217,67 @@ def test_names_are_learned_from_renames(spark):
     assert drift.learned_names(df.limit(0), ["v"]) == {"v": []}
 
 
+def brute_names(pairs, fields):
+    """Names by field from all renames, every round over all names."""
+    links = defaultdict(Counter)
+    for a, b in pairs:
+        links[a][b] += 1
+        links[b][a] += 1
+    of, found = {f: f for f in fields}, {f: [] for f in fields}
+    while True:
+        new = {}
+        for name in links.keys() - of.keys():
+            votes = Counter()
+            for other, n in links[name].items():
+                votes[of.get(other)] += n
+            del votes[None]
+            for field, n in votes.items():
+                if 2 * n > links[name].total():
+                    new[name] = field
+                    found[field].append((-n, name))
+        if not new:
+            return {f: [name for _, name in sorted(names)] for f, names in found.items()}
+        of |= new
+
+
+def renames(spark, pairs):
+    return spark.createDataFrame([("f", i, b, "renamed", a) for i, (a, b) in enumerate(pairs)], "feed string, seq_no int, field_name string, drift_kind string, old_field_name string")
+
+
+def test_names_are_learned_from_any_number_of_renames(spark):
+    """Rare renames count beside 12,000 frequent ones, and of a name's many renames all do."""
+    pairs = [(f"x{i}", f"y{i}") for i in range(12_000)] * 2 + [("v", "ver"), ("ver", "fmt"), ("v", "ver"), ("p", "odd")] + [("odd", f"z{i:05}") for i in range(3)]
+    assert drift.learned_names(renames(spark, pairs), ["v", "p"]) == {"v": ["ver", "fmt"], "p": []} == brute_names(pairs, ["v", "p"])
+
+
+@pytest.mark.parametrize("most", [0, 40, 10_000])
+def test_names_learned_over_tables_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(drift, "PAIRS", most)
+    rng = random.Random(5)
+    chain = [(a, b) for i in range(6) for a, b in [("v", f"c{i + 1}"), (f"c{i}", f"c{i + 1}")]]
+    pairs = [("v", "c0"), ("v", "c0"), *chain] + [(rng.choice(["v", "p", f"n{rng.randrange(40)}"]), f"n{rng.randrange(40)}") for _ in range(60)]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    want = brute_names(pairs, ["v", "p"])
+    assert {f"c{i}" for i in range(7)} <= set(want["v"]) and len(want["p"]) > 1
+    assert drift.learned_names(renames(spark, pairs), ["v", "p"]) == want
+
+
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_joined_names_fill_the_table_as_literal_ones_do(spark, monkeypatch, most):
+    pairs = [("v", f"n{i}") for i in range(20) for _ in range(1 + i % 3)] + [("p", "q"), ("n7", "m"), ("x", "y")]
+    payloads = ['{"v":1,"n2":2}', '{"n2":"3","n1":4,"n0":5,"q":"s"}', '{"n2":"no","n11":6}', '{"m":7,"x":8}', '{"v":null,"n1":1.5,"n0":9}', "{}", '{"q":1,"p":"t"}', '{"n2":"3","n1":4,"n0":5,"q":"s"}']
+    files = drift.ingest(spark.createDataFrame([(i, "f", i, t) for i, t in enumerate(payloads)], "report_id long, feed string, seq_no int, payload string"), {"v": "bigint", "p": "string"})
+    build = lambda: drift.consistent_table(files, renames(spark, pairs), {"v": "bigint", "p": "string"}, {})
+    literal = build()
+    monkeypatch.setattr(drift, "PAIRS", most)
+    monkeypatch.setattr(drift, "FEW_NAMES", 0)
+    joined = build()
+    take = lambda df: {r["report_id"]: (r["v"], r["p"], r["_rescued"]) for r in df.collect()}
+    want = take(literal)
+    assert want[1] == (3, "s", {"n1": "4", "n0": "5"}) and want[2] == (6, None, {"n2": '"no"'}) and want[3] == (7, None, {"x": "8"}) and len(want) == 8
+    assert joined.columns == literal.columns and take(joined) == want
+
+
 def test_consistent_table_is_whole(spark):
     """Every spelled time is a time, and what no column takes is in the rescued text with its own spelling."""
     table = {r["report_id"]: v for r in pq.read_table(f"{MIDDLE}/compact_reports.parquet").to_pylist() if (v := loaded(r["payload"])) is not None}
